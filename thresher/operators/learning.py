@@ -13,14 +13,14 @@ from thresher.operators.ranking import hardest
 from thresher.operators.sampling import oversample
 
 
-def score_batches(df: DataFrame, features, make_model, batch_size=32, name="score", width=None) -> DataFrame:
-    """Scores an array column with a model, in fixed batches inside the tasks.
+def score_batches(df: DataFrame, features, make_model, width, batch_size=1024, name="score") -> DataFrame:
+    """Scores an array column of fixed width with a model, in batches inside the tasks.
 
     `make_model()` is called once per Python worker and returns a function from a
     (rows, width) array to one number per row.
     """
     udf = predict_batch_udf(make_model, return_type=DoubleType(), batch_size=batch_size,
-                            input_tensor_shapes=[[width]] if width else None)
+                            input_tensor_shapes=[[width]])
     return df.withColumn(name, udf(features))
 
 
@@ -66,9 +66,9 @@ def mine_replay_retrain(df: DataFrame, features, label, key, k, repeat, split="s
     """
     train = df.filter(F.col(split) == "train")
     before = train_weighted(train, features, label, iterations=iterations)
-    make = linear_scorer(before.coefficients.toArray(), before.intercept)
+    weights = before.coefficients.toArray()
     negatives = train.filter(F.col(label) == 0)
-    scored = score_batches(negatives, features, make).select(*as_list(key), F.round("score", 8).alias("score"))
+    scored = score_batches(negatives, features, linear_scorer(weights, before.intercept), len(weights)).select(*as_list(key), F.round("score", 8).alias("score"))
     mined = hardest(scored, k, "score", key)
     marks = mined.select(*as_list(key)).withColumn("_mined", F.lit(True))
     marked = train.join(marks, as_list(key), "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thresher.functions.hashing import split_70_15_15
@@ -66,12 +67,13 @@ def stream_quota_sink(df: DataFrame, targets, path, checkpoint, digest, order, s
 
 
 def earlier_batches(spark, path, batch_id):
-    """The rows of the batches before this one, or None at the start."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(folder):
+    """The rows of the batches before this one, or None while nothing is written."""
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    table = spark.read.option("basePath", path).parquet(path)
     return table.filter(F.col("batch_id") < batch_id)
 
 
