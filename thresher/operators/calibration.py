@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from thresher.fixed_values import CUT_STEPS, FUSION_STEPS, RECALL_TARGETS, ROUTE_CAPS
-from thresher.functions.scores import decide, fuse_logit, route
-from thresher.operators.metrics import aggregate, confusion, count_where, pr_curve, ratio, roc_auc
+from thresher.functions.labels import or_error
+from thresher.functions.scores import fuse_logit, route
+from thresher.operators.metrics import (
+    aggregate, classify_points, confusion, count_where, labelled_points, pr_curve, rank_area, ratio, roc_auc,
+)
 from thresher.operators.ordering import (
-    as_list, bucketed, covers, join_on, quantile_rows, score_points,
+    as_list, bucketed, covers, quantile_rows, score_points,
 )
 
 
-def recall_rank(target, method, total="n_total"):
+def recall_rank(target, method, total="_n_total"):
     """0-based rank, among ascending positives, of the threshold for a recall."""
     n, target = F.col(total), F.lit(float(target))
     if method == "misses":
@@ -32,10 +35,10 @@ def threshold_for_recall(df: DataFrame, y, score, target, method="misses", keys=
     next lower double.
     """
     keys = as_list(keys)
-    points = score_points(df.filter(F.col(y) == 1), score, {"n": F.count(F.lit(1))}, keys)
+    points = score_points(df.filter(F.col(y) == 1), score, {"_n": F.count(F.lit(1))}, keys)
     rank = recall_rank(target, method)
     return aggregate(points, keys, F.max(F.when(covers(rank), F.col(score))).alias("threshold"),
-                     F.max("n_total").alias("positives"))
+                     F.max("_n_total").alias("positives"))
 
 
 def threshold_from_curve(df: DataFrame, y, score, targets=RECALL_TARGETS, keys=(), required=False) -> DataFrame:
@@ -71,7 +74,7 @@ def fusion_grid(df: DataFrame, y, direct, class_bill, target, steps=FUSION_STEPS
         slim = rows.select(y, direct, class_bill)
         return slim.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas]))).withColumn("score", fused)
 
-    points = score_points(expanded(df.filter(F.col(y) == 1)), "score", {"n": F.count(F.lit(1))}, ["alpha"])
+    points = score_points(expanded(df.filter(F.col(y) == 1)), "score", {"_n": F.count(F.lit(1))}, ["alpha"])
     thresholds = points.groupBy("alpha").agg(F.max(F.when(covers(recall_rank(target, method)), F.col("score"))).alias("threshold"))
     cuts = F.broadcast(thresholds.withColumnRenamed("alpha", "_alpha"))  # `steps` rows
     judged = expanded(df).join(cuts, F.col("alpha") == F.col("_alpha"))
@@ -90,16 +93,21 @@ def calibrate_fusion(df: DataFrame, y, direct, class_bill, target, steps=FUSION_
     best = grid.orderBy(F.col("fpr").asc(), F.col("precision").desc_nulls_last(), F.col("alpha").asc()).limit(1)
     if not auc:
         return best
-    # The AUC plays no part in the choice, so only the winner pays for it.
-    fused = fuse_logit(direct, class_bill, best.select("alpha").scalar())
+    # One row of parameters comes to the driver. The AUC plays no part in the choice, so
+    # only the winner pays for it.
+    chosen = best.collect()
+    point = df.sparkSession.createDataFrame(chosen, best.schema)
+    if not chosen:
+        return point.withColumn("auc", F.lit(None).cast("double"))
+    fused = fuse_logit(direct, class_bill, chosen[0]["alpha"])
     fused = F.round(fused, digits) if digits is not None else fused
-    return best.withColumn("auc", roc_auc(df.withColumn("_fused", fused), y, "_fused").scalar())
+    return point.withColumn("auc", roc_auc(df.select(y, fused.alias("_fused")), y, "_fused").scalar())
 
 
 def cut_points(df: DataFrame, score, steps=CUT_STEPS) -> DataFrame:
     """Distinct exact quantiles on an even grid, and both infinities: column `cut`."""
     grid = [i / (steps - 1) for i in range(steps)]
-    points = score_points(df, score, {"n": F.count(F.lit(1))})
+    points = score_points(df, score, {"_n": F.count(F.lit(1))})
     cuts = quantile_rows(points, score, grid).select(F.col("quantile").alias("cut")).distinct()
     ends = df.sparkSession.range(1).select(F.explode(F.array(F.lit(float("-inf")), F.lit(float("inf")))).alias("cut"))
     return ends.unionByName(cuts)
@@ -179,37 +187,48 @@ def evaluate_route(df: DataFrame, y, router, large, low, high, large_threshold,
     low, high = (F.lit(v) if isinstance(v, (int, float)) else v for v in (low, high))
     predicted, uncertain = route(router, large, low, high, large_threshold)
     routed = df.withColumn("_said", predicted).withColumn("_routed", uncertain)
-    rate = aggregate(routed, keys, F.avg("_routed").alias("route_rate"))
-    flat = confusion(routed, y, "_said", keys)
-    return join_on(flat, rate, as_list(keys)) if as_list(keys) else flat.withColumn("route_rate", rate.scalar())
+    return confusion(routed, y, "_said", keys, [F.avg("_routed").alias("route_rate")])
 
 
 def select_candidate(df: DataFrame, candidate, position, y, score, target) -> DataFrame:
     """Of several scored candidates: threshold at the recall, then lowest FPR, highest AUC, earliest.
 
     `df` is long: one row per candidate and example; `position` orders the candidates.
+    Threshold, rates and AUC all come from one table of distinct scores.
     """
     keys = [candidate, position]
-    thresholds = threshold_for_recall(df, y, score, target, keys=keys)
-    areas = roc_auc(df, y, score, keys)
-    points = join_on(thresholds.drop("positives"), areas, keys)
-    # One row per candidate is broadcast; candidates are checkpoints, never rows.
-    judged = join_on(df, F.broadcast(points), keys).withColumn("_said", (F.col(score) >= F.col("threshold")).cast("int"))
-    cells = confusion(judged, y, "_said", keys).select(*keys, "recall", "fpr")
-    rows = join_on(cells, points, keys)
-    return pick(rows, [F.round("fpr", 12).asc(), F.col("auc").desc(), F.col(position).asc()]).select(
-        candidate, "threshold", "recall", "fpr", "auc")
+    points = labelled_points(df, y, score, keys)
+    rank = recall_rank(target, "misses", "_p_total")
+    at = F.max(F.when(covers(rank, "_p"), F.struct(
+        F.col(score).alias("threshold"), (F.col("_p_total") - F.col("_p_upto") + F.col("_p")).alias("tp"),
+        (F.col("_q_total") - F.col("_q_upto") + F.col("_q")).alias("fp"))))
+    rows = points.groupBy(*keys).agg(at.alias("at"), F.max("_p_total").alias("_p"), F.max("_q_total").alias("_q"), rank_area().alias("auc"))
+    rows = rows.select(*keys, "at.threshold", ratio(F.col("at.tp"), F.col("_p")).alias("recall"), ratio(F.col("at.fp"), F.col("_q")).alias("fpr"), "auc")
+    best = rows.orderBy(F.round("fpr", 12).asc_nulls_last(), F.col("auc").desc(), F.col(position).asc()).limit(1)
+    return best.select(candidate, "threshold", "recall", "fpr", "auc")
 
 
 def select_then_report(validation: DataFrame, test: DataFrame, y, score, target, extra_threshold=0.5) -> DataFrame:
-    """Chooses a threshold on validation and reports validation, test and test at a fixed one."""
-    chosen = threshold_from_curve(validation, y, score, (target,), required=True).select("threshold").scalar()
-    parts = []
-    for name, rows, threshold in (("validation", validation, chosen), ("test", test, chosen), ("test_fixed", test, F.lit(extra_threshold))):
-        report = confusion(rows.withColumn("_said", decide(score, threshold)), y, "_said")
-        report = report.withColumn("auc", roc_auc(rows, y, score).scalar())
-        parts.append(report.select(F.lit(name).alias("part"), threshold.alias("threshold"), "n", "positive", "accuracy", "precision", "recall", "auc"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Chooses a threshold on validation and reports validation, test and test at a fixed one.
+
+    Both splits become one table of points per part; the curve and all reports are read
+    off it.
+    """
+    both = validation.select(F.lit("validation").alias("part"), y, score).unionByName(test.select(F.lit("test").alias("part"), y, score))
+    points = labelled_points(both, y, score, ["part"])
+    tp = F.col("_p_total") - F.col("_p_upto") + F.col("_p")
+    fp = F.col("_q_total") - F.col("_q_upto") + F.col("_q")
+    curve = points.filter(F.col("part") == "validation").select(
+        F.col(score).alias("threshold"), ratio(tp, tp + fp).alias("precision"), ratio(tp, F.col("_p_total")).alias("recall"))
+    best = curve.filter(F.col("recall") >= target).agg(F.max(F.struct("precision", "threshold")).getField("threshold").alias("threshold"))
+    chosen = best.select(or_error(F.col("threshold"), "the recall target is unreachable")).scalar()
+    fixed = F.lit(float(extra_threshold))
+    parts = F.when(F.col("part") == "validation", F.array(F.struct(F.lit("validation").alias("name"), chosen.alias("at")))).otherwise(
+        F.array(F.struct(F.lit("test").alias("name"), chosen.alias("at")), F.struct(F.lit("test_fixed").alias("name"), fixed.alias("at"))))
+    judged = points.withColumn("_report", F.explode(parts)).select(
+        score, "_p", "_q", "_p_upto", "_q_upto", "_p_total", "_q_total", F.col("_report.name").alias("part"), F.col("_report.at").alias("threshold"))
+    report = classify_points(judged, score, F.col("threshold"), ["part", "threshold"])
+    return report.select("part", "threshold", "n", "positive", "accuracy", "precision", "recall", "auc")
 
 
 def expected_cost(df: DataFrame, routed, router_cost, large_cost) -> DataFrame:

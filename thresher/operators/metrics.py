@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from thresher.fixed_values import RECALL_FLOOR
 from thresher.functions.scores import decide
 from thresher.operators.ordering import (
-    as_list, attach_reference, guard, join_on, join_small, quantile_columns, quantile_from, score_points,
+    as_list, attach_reference, guard, join_small, quantile_columns, quantile_from, score_points,
 )
 
 
@@ -46,52 +46,70 @@ def agreement(df: DataFrame, a, b, keys=()) -> DataFrame:
     return conditional_counts(df, keys, {"agree": F.col(a) == F.col(b), "disagree": F.col(a) != F.col(b)})
 
 
-def confusion(df: DataFrame, y, predicted, keys=()) -> DataFrame:
-    """Confusion counts and rates in one pass; a rate with an empty denominator is null."""
+def confusion(df: DataFrame, y, predicted, keys=(), extra=()) -> DataFrame:
+    """Confusion counts and rates in one pass; a rate with an empty denominator is null.
+
+    `extra` are further aggregates of the same pass.
+    """
     hit, said = F.col(y) == 1, F.col(predicted) == 1
     cells = aggregate(
         df, keys, F.count(F.lit(1)).alias("n"), count_where(hit).alias("positive"), count_where(~hit).alias("negative"),
         count_where(said & hit).alias("tp"), count_where(~said & hit).alias("fn"),
-        count_where(said & ~hit).alias("fp"), count_where(~said & ~hit).alias("tn"))
-    tp, fn, fp, tn = (F.col(c) for c in ("tp", "fn", "fp", "tn"))
-    return cells.select(
-        "*", ratio(tp, F.col("positive")).alias("recall"), ratio(fp, F.col("negative")).alias("fpr"),
-        ratio(tp, tp + fp).alias("precision"), ratio(tp + tn, F.col("n")).alias("accuracy"),
-        ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
+        count_where(said & ~hit).alias("fp"), count_where(~said & ~hit).alias("tn"), *extra)
+    return rates(cells)
 
 
 def labelled_points(df: DataFrame, y, score, keys=(), descending=False) -> DataFrame:
-    """Distinct scores with their positive (p) and negative (q) counts and running totals."""
+    """Distinct scores with their positive (_p) and negative (_q) counts and running totals."""
     hit = F.col(y) == 1
     return score_points(df.filter(F.col(y).isNotNull()), score,
-                        {"p": count_where(hit), "q": count_where(~hit)}, keys, descending)
+                        {"_p": count_where(hit), "_q": count_where(~hit)}, keys, descending)
 
 
 def roc_auc(df: DataFrame, y, score, keys=()) -> DataFrame:
     """Exact area under the ROC curve; tied scores count half. Null with one class only."""
-    points = labelled_points(df, y, score, keys)
-    below = (F.col("q_upto") - F.col("q")).cast("double")
-    area = F.sum(F.col("p").cast("double") * (below + F.col("q").cast("double") / 2.0))
-    total = F.max("p_total").cast("double") * F.max("q_total").cast("double")
-    return aggregate(points, keys, F.try_divide(area, total).alias("auc"))
+    return aggregate(labelled_points(df, y, score, keys), keys, rank_area().alias("auc"))
 
 
 def pr_curve(df: DataFrame, y, score, keys=()) -> DataFrame:
     """One row per distinct score taken as an inclusive threshold."""
     points = labelled_points(df, y, score, keys, descending=True)
-    tp, fp = F.col("p_upto"), F.col("q_upto")
+    tp, fp = F.col("_p_upto"), F.col("_q_upto")
     return points.select(
         *as_list(keys), F.col(score).alias("threshold"), tp.alias("tp"), fp.alias("fp"),
-        ratio(tp, tp + fp).alias("precision"), ratio(tp, F.col("p_total")).alias("recall"))
+        ratio(tp, tp + fp).alias("precision"), ratio(tp, F.col("_p_total")).alias("recall"))
+
+
+def rank_area():
+    """AUC as an aggregate over :func:`labelled_points`."""
+    below = (F.col("_q_upto") - F.col("_q")).cast("double")
+    area = F.sum(F.col("_p").cast("double") * (below + F.col("_q").cast("double") / 2.0))
+    return F.try_divide(area, F.max("_p_total").cast("double") * F.max("_q_total").cast("double"))
+
+
+def rates(cells: DataFrame) -> DataFrame:
+    """Adds the rates to tp, fn, fp, tn; a rate with an empty denominator is null."""
+    tp, fn, fp, tn = (F.col(c) for c in ("tp", "fn", "fp", "tn"))
+    return cells.withColumns({
+        "recall": ratio(tp, tp + fn), "fpr": ratio(fp, fp + tn), "precision": ratio(tp, tp + fp),
+        "accuracy": ratio(tp + tn, tp + fn + fp + tn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
+
+
+def classify_points(points: DataFrame, score, threshold, keys=()) -> DataFrame:
+    """Confusion metrics at a threshold and the AUC, both from one table of points."""
+    threshold = F.lit(threshold) if isinstance(threshold, (int, float)) else threshold
+    said = F.col(score) >= threshold
+    total = lambda m, test: F.coalesce(F.sum(F.when(test, F.col(m))), F.lit(0).cast("bigint"))
+    cells = aggregate(
+        points, keys, (F.sum("_p") + F.sum("_q")).alias("n"), F.sum("_p").alias("positive"), F.sum("_q").alias("negative"),
+        total("_p", said).alias("tp"), total("_p", ~said).alias("fn"), total("_q", said).alias("fp"), total("_q", ~said).alias("tn"),
+        rank_area().alias("auc"))
+    return rates(cells)
 
 
 def classification(df: DataFrame, y, score, threshold, keys=()) -> DataFrame:
-    """Confusion metrics at a threshold, and the AUC."""
-    flat = confusion(df.withColumn("_said", decide(score, threshold)), y, "_said", keys)
-    area = roc_auc(df, y, score, keys)
-    if as_list(keys):
-        return join_on(flat, area, as_list(keys), how="left")
-    return flat.withColumn("auc", area.scalar())
+    """Confusion metrics at a threshold, and the AUC, in one pass over the rows."""
+    return classify_points(labelled_points(df, y, score, keys), score, threshold, keys)
 
 
 def multiclass_report(df: DataFrame, y, predicted) -> DataFrame:
@@ -117,12 +135,12 @@ def quantile_name(p):
 
 
 def summarize_points(points: DataFrame, score, threshold, keys, probabilities, tail) -> DataFrame:
-    value, n = F.col(score), F.col("n")
+    value, n = F.col(score), F.col("_n")
     over = F.coalesce(F.sum(F.when(value >= threshold, n)), F.lit(0).cast("bigint"))
     ends = {"high": F.max(score).alias("max"), "low": F.min(score).alias("min")}
     rows = aggregate(
         points, keys, F.sum(n).alias("count"), over.alias("at_or_over"), (F.sum(value * n) / F.sum(n)).alias("mean"),
-        ends[tail], F.max("n_total").alias("_total"), *quantile_columns(score, probabilities))
+        ends[tail], F.max("_n_total").alias("_total"), *quantile_columns(score, probabilities))
     rate = ratio(F.col("at_or_over"), F.col("count"))
     named = [rate.alias("rate"), "mean"]
     named += [quantile_from(i, p, "_total").alias(quantile_name(p)) for i, p in enumerate(probabilities)]
@@ -135,7 +153,7 @@ def score_summary(df: DataFrame, score, threshold, keys=(), probabilities=(0.5,
     For negatives the rate is the false-positive rate; for positives use `tail="low"`
     with low quantiles, and the rate is the recall.
     """
-    points = score_points(df, score, {"n": F.count(F.lit(1))}, keys)
+    points = score_points(df, score, {"_n": F.count(F.lit(1))}, keys)
     return summarize_points(points, score, threshold, keys, probabilities, tail)
 
 
@@ -151,7 +169,7 @@ def summary_with_totals(df: DataFrame, score, threshold, key, category, probabil
         F.struct(F.lit(1).alias("level"), F.col(category).alias("category"))))
     doubled = slim.select(key, score, "_c", levels.alias("_at")).select(
         key, F.col("_at.level").alias("level"), F.col("_at.category").alias(category), score, "_c")
-    points = score_points(doubled, score, {"n": F.sum("_c")}, [key, "level", category])
+    points = score_points(doubled, score, {"_n": F.sum("_c")}, [key, "level", category])
     return summarize_points(points, score, threshold, [key, "level", category], probabilities, tail)
 
 
@@ -175,9 +193,12 @@ def distinct_documents(df: DataFrame, category, document) -> DataFrame:
 
 
 def leaks(df: DataFrame, group, split) -> DataFrame:
-    """Groups that occur in more than one split."""
-    seen = df.groupBy(group, split).agg(F.count(F.lit(1)).alias("n"))
-    return seen.groupBy(group).agg(F.count(F.lit(1)).alias("splits"), F.sum("n").alias("n")).filter(F.col("splits") > 1)
+    """Groups that occur in more than one split.
+
+    Map-side sets hold split names only, so one shuffle of small states is enough.
+    """
+    seen = df.groupBy(group).agg(F.size(F.collect_set(split)).cast("bigint").alias("splits"), F.count(F.lit(1)).alias("n"))
+    return seen.filter(F.col("splits") > 1)
 
 
 def duplicates(df: DataFrame, key) -> DataFrame:
@@ -191,9 +212,9 @@ def class_weights(df: DataFrame, column, classes=None, cap=None) -> DataFrame:
     k is `classes` if given, otherwise the number of classes present.
     """
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("present"))
-    k = F.lit(classes) if classes else whole.select("present").scalar()
-    weight = whole.select("total").scalar().cast("double") / (k * F.col("n"))
+    whole = counts.agg(F.struct(F.sum("n").alias("total"), F.count(F.lit(1)).alias("present"))).scalar()
+    k = F.lit(classes) if classes else whole.getField("present")
+    weight = whole.getField("total").cast("double") / (k * F.col("n"))
     return counts.withColumn("weight", F.least(weight, F.lit(float(cap))) if cap else weight)
 
 
@@ -203,8 +224,8 @@ def weigh_rows(df: DataFrame, column, name="weight", classes=None, cap=None, fac
     `factors` is a list of (condition, factor); after each matching rule the weight is
     capped by `factor_cap`, or once at the end with `factor_cap=("end", cap)`.
     """
-    table = class_weights(df, column, classes, cap).select(column, "n", F.col("weight").alias(name))
-    rows = join_small(df, table, [column], "n", how="left")
+    table = class_weights(df, column, classes, cap).select(column, F.col("n").alias("_rows"), F.col("weight").alias(name))
+    rows = join_small(df, table, [column], "_rows", how="left")
     at_end = isinstance(factor_cap, tuple)
     for condition, factor in factors:
         grown = F.col(name) * factor

@@ -132,7 +132,7 @@ def score_points(df: DataFrame, score, measures, keys=(), descending=False) -> D
     return prefix_sums(bucketed(points, score, cuts), list(measures), score, "_range", keys, descending)
 
 
-def covers(rank, count="n"):
+def covers(rank, count="_n"):
     """Whether a point of `score_points` holds the 0-based rank."""
     return (F.col(f"{count}_upto") > rank) & (F.col(f"{count}_upto") - F.col(count) <= rank)
 
@@ -143,7 +143,7 @@ def interpolate(low, high, fraction):
         low + (high - low) * fraction)
 
 
-def quantile_columns(score, probabilities, count="n"):
+def quantile_columns(score, probabilities, count="_n"):
     """For an aggregation over `score_points`: two columns per probability.
 
     Combine them with :func:`quantile_from` afterwards.
@@ -161,7 +161,7 @@ def quantile_from(i, probability, total):
     return interpolate(F.col(f"_low_{i}"), F.col(f"_high_{i}"), position - F.floor(position))
 
 
-def quantile_rows(points: DataFrame, score, probabilities, keys=(), count="n") -> DataFrame:
+def quantile_rows(points: DataFrame, score, probabilities, keys=(), count="_n") -> DataFrame:
     """Exact quantiles in long form, (keys, probability, quantile), for long lists of them."""
     keys = as_list(keys)
     grid = F.array(*[F.lit(float(p)) for p in probabilities])
@@ -245,13 +245,13 @@ def take_by_hash(df: DataFrame, quota, id_columns, seed, keys=()) -> DataFrame:
     wanted = quota if callable(quota) else (lambda n: F.lit(quota))
     marked = with_digest(df, ids, seed)
     slim = marked.select(*keys, *[c for c in ids if c not in keys], "_digest", "_prefix")
-    counts = slim.groupBy(*keys, "_prefix").agg(F.count(F.lit(1)).alias("n"))
+    counts = slim.groupBy(*keys, "_prefix").agg(F.count(F.lit(1)).alias("_rows"))
     group = group_window(keys)
     upto = group.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = counts.select(*keys, "_prefix", "n", F.sum("n").over(upto).alias("_upto"), F.sum("n").over(group).alias("_size"))
+    ranges = counts.select(*keys, "_prefix", "_rows", F.sum("_rows").over(upto).alias("_upto"), F.sum("_rows").over(group).alias("_size"))
     ranges = ranges.withColumn("_quota", F.least(wanted(F.col("_size")).cast("bigint"), F.col("_size")))
-    edge = ranges.filter((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("n") < F.col("_quota"))).select(
-        *keys, "_prefix", "_size", (F.col("_quota") - F.col("_upto") + F.col("n")).alias("_need"))
+    edge = ranges.filter((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_rows") < F.col("_quota"))).select(
+        *keys, "_prefix", "_size", (F.col("_quota") - F.col("_upto") + F.col("_rows")).alias("_need"))
     near = join_on(slim, edge, [*keys, "_prefix"])  # one range per key
     place = F.row_number().over(Window.partitionBy(*keys, "_prefix").orderBy("_digest", *ids))
     cut_at = F.struct("_digest", *[F.col(c) for c in ids])

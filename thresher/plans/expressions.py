@@ -44,7 +44,7 @@ labelled AS (SELECT l.*, CASE WHEN r.source IN ('cord_receipts', 'sroie_receipts
 SELECT filepath, CASE WHEN invoice_label = 1 THEN CASE WHEN source = 'cord_receipts' THEN 'receipt' ELSE 'invoice' END
   WHEN root_source = 'coco_photos' THEN 'natural_photo' ELSE 'structured_document' END AS class_name FROM labelled""")
 def derive_classes(t):
-    rows = t.lineage()
+    rows = t.stored(t.lineage())
     roots = rows.filter(~F.col("source").startswith("synthetic_"))
     labelled = attach_reference(rows, roots.select("filepath", L.map_label("source").alias("invoice_label")), "source_doc",
                                 ["invoice_label"], "filepath")

@@ -179,7 +179,7 @@ def exact_seeded_sample(t):
 @query("G9", f"""WITH {INHERITED} SELECT filepath, invoice_label FROM (SELECT *, row_number() OVER (PARTITION BY invoice_label ORDER BY sha256('3:' || filepath), filepath) AS place
   FROM inherited WHERE source NOT LIKE 'synthetic%') WHERE place <= 30""")
 def sample_per_class(t):
-    real = inherited(t).filter(~F.col("source").startswith("synthetic_")).select("filepath", "invoice_label")
+    real = t.stored(inherited(t)).filter(~F.col("source").startswith("synthetic_")).select("filepath", "invoice_label")
     return G.per_class_sample(real, "invoice_label", 30, "filepath", 3)
 
 
@@ -191,7 +191,7 @@ draws AS (SELECT i AS draw, {number_sql("'7:hard_pos:document:' || i", 1, 13)} %
 SELECT 'syn_hard_pos_' || lpad(draw::VARCHAR, 5, '0') || '.jpg' AS filepath, 'synthetic_hard_pos' AS source, 1 AS invoice_label, docs.filepath AS source_doc, backs.filepath AS background
 FROM draws JOIN docs ON docs.i = d JOIN backs ON backs.i = b""")
 def pair_plan(t):
-    pools = G.pair_pools(inherited(t), "source", "invoice_label")
+    pools = G.pair_pools(t.stored(inherited(t)), "source", "invoice_label")
     return G.pair_plan(pools["positives"], pools["backgrounds"], "filepath", t.documents().count(), "hard_pos", 1, 7)
 
 
@@ -199,4 +199,4 @@ def pair_plan(t):
 SELECT count(*) FILTER (invoice_label = 1) AS positives, count(*) FILTER (invoice_label = 0 AND source <> 'coco_photos') AS negatives,
   count(*) FILTER (source = 'coco_photos') AS backgrounds FROM r""")
 def pair_pool_sizes(t):
-    return G.pool_sizes(G.pair_pools(inherited(t), "source", "invoice_label"))
+    return G.pool_sizes(G.pair_pools(t.stored(inherited(t)), "source", "invoice_label"))

@@ -10,19 +10,19 @@ from thresher.streaming.ingest import (
 )
 
 
-def shards(t):
-    """The events as shards on storage, and their schema."""
-    path = fresh_path(t.spark, "shards")
-    rows = t.arrivals().select("event_id", "arrived", "episode", "source_object", "digest")
-    rows.write.parquet(path)
-    return path, rows.schema
+def arriving(t):
+    """The events table as a stream of its files.
+
+    The name is given as a pattern, since the file source takes folders and patterns
+    but not the name of a single file.
+    """
+    path = t.path("events")
+    return t.arrivals(stream_ingest(t.spark, path[:-1] + f"[{path[-1]}]", t.table("events").schema, max_files=1000))
 
 
 def ingested(t, transform):
-    path, schema = shards(t)
     out = fresh_path(t.spark, "ingested")
-    stream = stream_ingest(t.spark, path, schema, max_files=8)
-    run_to_table(transform(stream), out, fresh_path(t.spark, "progress"))
+    run_to_table(transform(arriving(t)), out, fresh_path(t.spark, "progress"))
     return t.spark.read.parquet(out)
 
 
@@ -31,15 +31,15 @@ def stream_ingest_shards(t):
     return ingested(t, lambda s: s.select("event_id", "episode", "source_object", "digest"))
 
 
-@query("S1")
+@query("S1", """SELECT event_id FROM events UNION ALL SELECT event_id + 1000000000 FROM events""")
 def stream_resume(t):
     """Two runs over one checkpoint: the second reads only the shards added since."""
-    path, schema = shards(t)
-    out, progress = fresh_path(t.spark, "ingested"), fresh_path(t.spark, "progress")
-    for _ in range(2):
-        run_to_table(stream_ingest(t.spark, path, schema).select("event_id"), out, progress)
-        t.arrivals().select(F.col("event_id") + 1000000000, "arrived", "episode", "source_object", "digest").toDF(
-            *schema.names).write.mode("append").parquet(path)
+    shards, out, progress = (fresh_path(t.spark, name) for name in ("shards", "ingested", "progress"))
+    rows = t.table("events").select("event_id", "user_id")
+    rows.write.parquet(shards)
+    run_to_table(stream_ingest(t.spark, shards, rows.schema).select("event_id"), out, progress)
+    rows.withColumn("event_id", F.col("event_id") + 1000000000).write.mode("append").parquet(shards)
+    run_to_table(stream_ingest(t.spark, shards, rows.schema).select("event_id"), out, progress)
     return t.spark.read.parquet(out)
 
 
@@ -56,8 +56,7 @@ def stream_hash_split(t):
 @query("S4", f"""WITH {ARRIVALS}, firsts AS (SELECT DISTINCT digest, split FROM arrivals)
 SELECT split, least(count(*), CASE split WHEN 'train' THEN 350 WHEN 'val' THEN 75 ELSE 75 END) AS n FROM firsts GROUP BY split""")
 def stream_with_quotas(t):
-    path, schema = shards(t)
     out = fresh_path(t.spark, "quotas")
-    stream = stream_split(stream_ingest(t.spark, path, schema, max_files=8), "episode")
+    stream = stream_split(arriving(t).drop("split"), "episode")
     stream_quota_sink(stream, {"train": 350, "val": 75, "test": 75}, out, fresh_path(t.spark, "progress"), "digest", ["arrived", "event_id"])
     return batches_done(t.spark, out).groupBy("split").agg(F.count(F.lit(1)).alias("n"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from thresher.functions.hashing import split_70_15_15, split_80_10_10
 from thresher.functions.scores import argmax_class
 from thresher.operators.ordering import attach
+from thresher.session import fresh_path
 
 BIG_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -31,6 +32,12 @@ class Tables:
     def path(self, name) -> str:
         return f"{self.folder}/{name}.parquet"
 
+    def stored(self, df: DataFrame) -> DataFrame:
+        """`df` written to the shared folder and read back: a manifest between two steps."""
+        path = fresh_path(self.spark, "stored")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def documents(self) -> DataFrame:
         return self.table("documents")
 
@@ -81,8 +88,9 @@ class Tables:
         return self.table("conversations").select(
             F.concat_ws(":", text("conv_id"), text("turn")).alias("image_id"), paragraphs.alias("paragraphs"))
 
-    def arrivals(self) -> DataFrame:
-        return self.table("events").select(
+    def arrivals(self, events=None) -> DataFrame:
+        """Events as arriving records; also over a stream of events."""
+        return (self.table("events") if events is None else events).select(
             "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("arrived"), F.col("user_id").alias("episode"),
             F.col("event_type").alias("source_object"),
             F.sha2(F.concat_ws("|", text("user_id"), "event_type"), 256).alias("digest"), F.col("props").alias("payload"),
