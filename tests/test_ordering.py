@@ -32,9 +32,11 @@ def expected_top(data, k, keys=True):
     return sorted(i for g in groups.values() for _, i in sorted(g)[:k])
 
 
-@pytest.mark.parametrize("k", [1, 2, 7, 5000])
+@pytest.mark.parametrize("k", [1, 2, 7, 40, 5000])
 @pytest.mark.parametrize("keys", [["key"], []])
-def test_top_per_group(table, k, keys):
+@pytest.mark.parametrize("heap", [1000, 0])
+def test_top_per_group(table, k, keys, heap, monkeypatch):
+    monkeypatch.setattr(O, "HEAP_LIMIT", heap)
     found = O.top_per_group(table, k, ["-score", "id"], keys)
     assert sorted(r.id for r in found.collect()) == expected_top(skewed(), k, bool(keys))
 
@@ -82,7 +84,9 @@ def digest_order(ids, seed):
 
 
 @pytest.mark.parametrize("m", [0, 1, 10, 2999, 3000, 9000])
-def test_take_by_hash(table, m):
+@pytest.mark.parametrize("limit", [100_000, 5])
+def test_take_by_hash(table, m, limit, monkeypatch):
+    monkeypatch.setattr(O, "MERGE_LIMIT", limit)
     found = sorted(r.id for r in O.take_by_hash(table, m, "id", 9).collect())
     assert found == sorted(digest_order(range(3000), 9)[:m])
 

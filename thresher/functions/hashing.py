@@ -30,12 +30,12 @@ def hash_number(value, start=0, length=8):
 
 
 def hash_split(value, modulus, bounds, default):
-    """Split name by digest bucket: the first of `bounds` (name, upper) the bucket lies below."""
-    bucket = hash_number(value) % modulus
-    choice = None
-    for name, upper in bounds:
-        choice = F.when(bucket < upper, name) if choice is None else choice.when(bucket < upper, name)
-    return choice.otherwise(default)
+    """Split name by digest bucket: the first of `bounds` (name, upper) the bucket lies below.
+
+    The names are listed per bucket, so that the digest is computed once per use.
+    """
+    named = [next((name for name, upper in bounds if bucket < upper), default) for bucket in range(modulus)]
+    return F.element_at(F.array(*[F.lit(n) for n in named]), (hash_number(value) % modulus + 1).cast("int"))
 
 
 def split_80_10_10(value):

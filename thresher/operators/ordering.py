@@ -26,6 +26,10 @@ from thresher.session import parallelism
 
 # Largest k that is merged in one task; beyond it rows are ranked in range slices.
 MERGE_LIMIT = 100_000
+# Largest k of a whole-table top-k that each task keeps in a heap.
+HEAP_LIMIT = 1000
+# Smallest k for which groups are merged slice by slice first.
+SLICE_FROM = 32
 # Hex digits of a digest that name its range: 65,536 ranges.
 PREFIX_DIGITS = 4
 # A key with at least one row in HOT_SHARE is hot; there cannot be more than HOT_SHARE of them.
@@ -201,9 +205,9 @@ def rank_rows(df: DataFrame, order, keys=(), name="rank") -> DataFrame:
 def top_per_group(df: DataFrame, k, order, keys=(), rank=None) -> DataFrame:
     """The first `k` rows of each group in `order` (make it total: end with an id).
 
-    Spark limits each group before the shuffle (WindowGroupLimit); slices of a group
-    are merged in a second step, so that many input tasks do not all send their k
-    rows to one task. `rank` names a column to keep the rank in.
+    Spark limits each group before the shuffle (WindowGroupLimit). From SLICE_FROM rows
+    on, slices of a group are merged in a second step, so that many input tasks do not
+    all send their k rows to one task. `rank` names a column to keep the rank in.
     """
     keys, name = as_list(keys), rank or "_rank"
     if k < 1:
@@ -212,10 +216,12 @@ def top_per_group(df: DataFrame, k, order, keys=(), rank=None) -> DataFrame:
         kept = rank_rows(df, order, keys, name).filter(F.col(name) <= k)
         return kept if rank else kept.drop(name)
     sort = order_columns(order)
-    part = df
-    if k > 1:
-        slices = F.lit(parallelism(df.sparkSession))
-        part = df.withColumn("_salt", F.pmod(F.xxhash64(*order_names(order)), slices))
+    part, parts = df, parallelism(df.sparkSession)
+    if not keys and rank is None and k <= HEAP_LIMIT:
+        # A heap per task and no sort; fewer tasks, so that the last one merges parts x k rows.
+        return df.coalesce(parts).orderBy(*sort).limit(k)
+    if k >= SLICE_FROM:
+        part = df.withColumn("_salt", F.pmod(F.xxhash64(*order_names(order)), F.lit(parts)))
         sliced = Window.partitionBy(*keys, "_salt").orderBy(*sort)
         part = part.withColumn(name, F.row_number().over(sliced)).filter(F.col(name) <= k).drop(name, "_salt")
     if not keys and rank is None:
@@ -236,7 +242,8 @@ def with_digest(df: DataFrame, id_columns, seed) -> DataFrame:
 def take_by_hash(df: DataFrame, quota, id_columns, seed, keys=()) -> DataFrame:
     """The first `quota` rows of each group in seeded digest order, for any quota.
 
-    `quota` is a number or a function of the group-size column. Digest ranges are
+    `quota` is a number or a function of the group-size column. A number that one task
+    can merge is a plain top-k. Otherwise digest ranges are
     counted, the one range holding the last kept row is ordered, and the row found
     there becomes a cut that the table is filtered by: the rows themselves are not
     shuffled. `id_columns` must identify a row.
@@ -244,6 +251,8 @@ def take_by_hash(df: DataFrame, quota, id_columns, seed, keys=()) -> DataFrame:
     keys, ids = as_list(keys), as_list(id_columns)
     wanted = quota if callable(quota) else (lambda n: F.lit(quota))
     marked = with_digest(df, ids, seed)
+    if not callable(quota) and quota <= MERGE_LIMIT:
+        return top_per_group(marked, quota, ["_digest", *ids], keys).select(*df.columns)
     slim = marked.select(*keys, *[c for c in ids if c not in keys], "_digest", "_prefix")
     counts = slim.groupBy(*keys, "_prefix").agg(F.count(F.lit(1)).alias("_rows"))
     group = group_window(keys)

@@ -61,11 +61,11 @@ def round_robin(df: DataFrame, category, document, page, cap, quota, seed) -> Da
     gives at most `cap` pages. Two top-k steps do it: documents need no rank of their
     own because their digest already orders them.
     """
-    dealt = df.withColumn("_page_digest", F.sha2(seeded(seed, category, document, page), 256)).withColumn(
-        "_document_digest", F.sha2(seeded(seed, category, document), 256))
-    pages = top_per_group(dealt, cap, ["_page_digest", page], [category, document], rank="page_rank")
-    picked = top_per_group(pages, quota, ["page_rank", "_document_digest", document], [category], rank="pick")
-    return picked.drop("_page_digest", "_document_digest")
+    dealt = df.withColumn("_page_digest", F.sha2(seeded(seed, category, document, page), 256))
+    pages = top_per_group(dealt, cap, ["_page_digest", page], [category, document], rank="page_rank").drop("_page_digest")
+    shuffled = pages.withColumn("_document_digest", F.sha2(seeded(seed, category, document), 256))
+    picked = top_per_group(shuffled, quota, ["page_rank", "_document_digest", document], [category], rank="pick")
+    return picked.drop("_document_digest")
 
 
 def source_quotas(supply: DataFrame, spec, target) -> DataFrame:
