@@ -22,7 +22,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from thresher.functions.hashing import seeded
-from thresher.session import parallelism
+from thresher.session import parallelism, pinned
 
 # Largest k that is merged in one task; beyond it rows are ranked in range slices.
 MERGE_LIMIT = 100_000
@@ -187,18 +187,18 @@ def quantile_rows(points: DataFrame, score, probabilities, keys=(), count="_n")
 def rank_rows(df: DataFrame, order, keys=(), name="rank") -> DataFrame:
     """Exact 1-based rank within groups of any size.
 
-    Rows are range-partitioned on the whole order and checkpointed, which pins the
-    slices: a lost executor cannot move a row to another slice between the two passes.
+    Rows are range-partitioned on the whole order and written, which pins the slices:
+    a lost executor cannot move a row to another slice between the two passes.
     """
     keys = as_list(keys)
     sort = [F.col(k).asc() for k in keys] + order_columns(order)
     sliced = df.repartitionByRange(parallelism(df.sparkSession), *sort).withColumn("_slice", F.spark_partition_id())
-    pinned = sliced.checkpoint()
-    sizes = pinned.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    written = pinned(sliced)
+    sizes = written.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
     before = group_window(keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy(*keys, "_slice").orderBy(*order_columns(order))
-    ranked = join_on(pinned, offsets, [*keys, "_slice"])
+    ranked = join_on(written, offsets, [*keys, "_slice"])
     return ranked.withColumn(name, F.row_number().over(within) + F.col("_before")).drop("_slice", "_before")
 
 
@@ -313,12 +313,15 @@ def join_small(rows: DataFrame, table: DataFrame, keys, size, how="inner") -> Da
 def attach(rows: DataFrame, groups: DataFrame, key, size, columns) -> DataFrame:
     """Left-joins `groups` (one row per key, `size` = rows it has in `rows`).
 
-    Keys holding a large share of the rows are few by arithmetic, at most HOT_SHARE,
-    so those are broadcast; their rows take no part in the shuffle on the key, they
-    are spread over all tasks instead. Everything else is an ordinary shuffled join.
+    The groups are written first, since they are used three times. Keys holding a large
+    share of the rows are few by arithmetic, at most HOT_SHARE, so those are broadcast;
+    their rows take no part in the shuffle on the key, they are spread over all tasks
+    instead. The other keys are an ordinary join: Spark knows the size of the written
+    table and shuffles only if it is large.
     """
     columns = as_list(columns)
-    total = rows.agg(F.count(F.lit(1))).scalar()
+    groups = pinned(groups.select(key, size, *columns))
+    total = groups.agg(F.sum(size)).scalar()
     is_hot = F.col(size) * HOT_SHARE >= total
     hot = groups.filter(is_hot).select(F.col(key).alias("_hot_key"), F.struct(*columns).alias("_hot"))
     cold = groups.filter(~is_hot).select(F.col(key).alias("_cold_key"), F.struct(*columns).alias("_cold"), F.lit(0).alias("_cold_spread"))

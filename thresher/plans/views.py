@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from thresher.functions.hashing import split_70_15_15, split_80_10_10
 from thresher.functions.scores import argmax_class
 from thresher.operators.ordering import attach
-from thresher.session import fresh_path
+from thresher.session import pinned
 
 BIG_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -33,10 +33,8 @@ class Tables:
         return f"{self.folder}/{name}.parquet"
 
     def stored(self, df: DataFrame) -> DataFrame:
-        """`df` written to the shared folder and read back: a manifest between two steps."""
-        path = fresh_path(self.spark, "stored")
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        """A manifest between two steps, written once and read by both."""
+        return pinned(df)
 
     def documents(self) -> DataFrame:
         return self.table("documents")

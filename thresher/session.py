@@ -50,6 +50,17 @@ def fresh_path(spark, label) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def pinned(df):
+    """`df` written to the shared folder and read back.
+
+    Later steps read the table instead of repeating the work, a lost executor cannot
+    change it, and its size is known: small ones are broadcast by Spark's own limit.
+    """
+    path = fresh_path(df.sparkSession, "pinned")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parallelism(spark) -> int:
     """How many ways a shuffle is split; also how many slices hot groups get."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
