@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from thresher.operators.metrics import duplicates
-from thresher.operators.ordering import as_list, guard
+from thresher.operators.ordering import as_list, guard, join_on
 
 
 def concat_unique(*manifests: DataFrame, key) -> DataFrame:
@@ -18,8 +18,9 @@ def concat_unique(*manifests: DataFrame, key) -> DataFrame:
 
 
 def overlap(a: DataFrame, b: DataFrame, key) -> DataFrame:
-    """Keys in both tables."""
-    return a.select(*as_list(key)).intersect(b.select(*as_list(key)))
+    """Keys in both tables. Copies are dropped before the tables meet, not after."""
+    keys = as_list(key)
+    return join_on(a.select(*keys).distinct(), b.select(*keys).distinct(), keys)
 
 
 def assert_disjoint(a: DataFrame, b: DataFrame, key) -> DataFrame:

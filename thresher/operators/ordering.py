@@ -315,8 +315,8 @@ def attach(rows: DataFrame, groups: DataFrame, key, size, columns) -> DataFrame:
 
     The groups are written first, since they are used three times. Keys holding a large
     share of the rows are few by arithmetic, at most HOT_SHARE, so those are broadcast;
-    their rows take no part in the shuffle on the key, they are spread over all tasks
-    instead. The other keys are an ordinary join: Spark knows the size of the written
+    their rows, and rows without a key, are spread over all tasks of the second join
+    instead of meeting in one. The other keys are an ordinary join: Spark knows the size of the written
     table and shuffles only if it is large.
     """
     columns = as_list(columns)
@@ -328,7 +328,8 @@ def attach(rows: DataFrame, groups: DataFrame, key, size, columns) -> DataFrame:
     slices = parallelism(rows.sparkSession)
     spread = 1 + F.pmod(F.xxhash64(*[c for c in rows.columns if c != key] or [key]), F.lit(slices))
     first = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    first = first.withColumn("_spread", F.when(F.col("_hot").isNotNull(), spread).otherwise(0))
+    elsewhere = F.col("_hot").isNotNull() | F.col(key).isNull()
+    first = first.withColumn("_spread", F.when(elsewhere, spread).otherwise(0))
     both = first.join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_spread") == F.col("_cold_spread")), "left")
     kept = [c for c in rows.columns if c not in columns]
     return both.select(*kept, *[

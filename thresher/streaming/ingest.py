@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thresher.functions.hashing import split_70_15_15
 from thresher.operators.ranking import arrival_caps, first_per_key
+from thresher.session import parallelism
 
 
 def stream_ingest(spark: SparkSession, path, schema, form="parquet", max_files=None) -> DataFrame:
@@ -21,9 +22,12 @@ def stream_dedup(df: DataFrame, digest) -> DataFrame:
     """One row per digest over all shards and runs.
 
     The state grows with the number of distinct digests and is never dropped: a copy
-    must be recognised however late it comes.
+    must be recognised however late it comes. A digest with very many copies is first
+    deduplicated slice by slice, so that its copies do not all go to one task.
     """
-    return df.dropDuplicates([digest])
+    slices = F.lit(parallelism(df.sparkSession))
+    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns), slices))
+    return sliced.dropDuplicates([digest, "_slice"]).dropDuplicates([digest]).drop("_slice")
 
 
 def stream_split(df: DataFrame, key) -> DataFrame:
