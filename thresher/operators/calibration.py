@@ -13,6 +13,7 @@ from thresher.operators.metrics import (
 from thresher.operators.ordering import (
     as_list, bucketed, covers, quantile_rows, score_points,
 )
+from thresher.session import pinned
 
 
 def recall_rank(target, method, total="_n_total"):
@@ -190,6 +191,20 @@ def evaluate_route(df: DataFrame, y, router, large, low, high, large_threshold,
     return confusion(routed, y, "_said", keys, [F.avg("_routed").alias("route_rate")])
 
 
+def evaluate_routes(df: DataFrame, y, router, large, points: DataFrame, large_threshold, name="profile") -> DataFrame:
+    """Metrics and route rate of several fixed points, for a handful of calibrated profiles.
+
+    `points` has (name, low, high), one row per profile. Each task reduces its rows to one
+    row per profile.
+    """
+    table = points.select(name, "low", "high").collect()
+    choices = F.array(*[F.struct(F.lit(r[0]).alias("name"), F.lit(r[1]).alias("low"), F.lit(r[2]).alias("high")) for r in table])
+    judged = df.select(y, router, large, F.explode(choices).alias("_point"))
+    predicted, uncertain = route(router, large, F.col("_point.low"), F.col("_point.high"), large_threshold)
+    flat = judged.select(y, F.col("_point.name").alias(name), predicted.alias("_said"), uncertain.alias("_routed"))
+    return confusion(flat, y, "_said", [name], [F.avg("_routed").alias("route_rate")])
+
+
 def select_candidate(df: DataFrame, candidate, position, y, score, target) -> DataFrame:
     """Of several scored candidates: threshold at the recall, then lowest FPR, highest AUC, earliest.
 
@@ -212,9 +227,10 @@ def select_then_report(validation: DataFrame, test: DataFrame, y, score, target,
     """Chooses a threshold on validation and reports validation, test and test at a fixed one.
 
     Both splits become one table of points per part; the curve and all reports are read
-    off it.
+    off it. The two columns needed are written first, as they are read three times.
     """
-    both = validation.select(F.lit("validation").alias("part"), y, score).unionByName(test.select(F.lit("test").alias("part"), y, score))
+    both = pinned(validation.select(F.lit("validation").alias("part"), y, score).unionByName(
+        test.select(F.lit("test").alias("part"), y, score)))
     points = labelled_points(both, y, score, ["part"])
     tp = F.col("_p_total") - F.col("_p_upto") + F.col("_p")
     fp = F.col("_q_total") - F.col("_q_upto") + F.col("_q")

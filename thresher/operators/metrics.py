@@ -179,6 +179,12 @@ def context_metrics(df: DataFrame, context, y, predicted, missing="unknown") ->
     return confusion(named, y, predicted, [context])
 
 
+def context_summary(df: DataFrame, context, score, threshold, probabilities=(0.05,), tail="low", missing="unknown") -> DataFrame:
+    """Score summaries per context; a missing context is a context of its own."""
+    named = df.withColumn(context, F.coalesce(F.nullif(F.col(context), F.lit("")), F.lit(missing)))
+    return score_summary(named, score, threshold, [context], probabilities, tail)
+
+
 def masked_groups(df: DataFrame, y, predicted, screenshot) -> DataFrame:
     """Correct decisions in the four groups direct/screenshot x bill/nonbill."""
     side = F.when(screenshot, "screenshot").otherwise("direct")
@@ -259,8 +265,8 @@ def score_parity(pairs: DataFrame, threshold, on_flip="error") -> DataFrame:
     return report
 
 
-def folder_regression(df: DataFrame, folder, predicted, expected, digest, exclude: DataFrame | None = None) -> DataFrame:
-    """Correct, evaluated and skipped rows per folder.
+def folder_details(df: DataFrame, predicted, expected, digest, exclude: DataFrame | None = None) -> DataFrame:
+    """Adds `skipped` and `correct` (null if skipped) to regression rows.
 
     Rows whose digest occurs in `exclude` are skipped, not judged.
     """
@@ -269,10 +275,16 @@ def folder_regression(df: DataFrame, folder, predicted, expected, digest, exclud
     else:
         known = exclude.select(F.col(digest).alias("_other")).distinct().withColumn("_known", F.lit(1))
         flagged = attach_reference(df, known, digest, ["_known"], "_other")
-    judged = F.col("_known").isNull()
-    return flagged.groupBy(folder).agg(
-        count_where(judged & (F.col(predicted) == F.col(expected))).alias("correct"),
-        count_where(judged).alias("evaluated"), count_where(~judged).alias("skipped_duplicates"))
+    skipped = F.col("_known").isNotNull()
+    correct = F.when(~skipped, (F.col(predicted) == F.col(expected)).cast("int"))
+    return flagged.withColumn("skipped", skipped.cast("int")).withColumn("correct", correct).drop("_known")
+
+
+def folder_regression(df: DataFrame, folder, predicted, expected, digest, exclude: DataFrame | None = None) -> DataFrame:
+    """Correct, evaluated and skipped rows per folder."""
+    return folder_details(df, predicted, expected, digest, exclude).groupBy(folder).agg(
+        count_where(F.col("correct") == 1).alias("correct"), count_where(F.col("skipped") == 0).alias("evaluated"),
+        count_where(F.col("skipped") == 1).alias("skipped_duplicates"))
 
 
 def fingerprint(df: DataFrame, columns) -> DataFrame:
@@ -282,6 +294,16 @@ def fingerprint(df: DataFrame, columns) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("fingerprint"))
 
 
+def run_fingerprint(seed, arguments, **tables) -> DataFrame:
+    """One row that identifies a run: seed, arguments as a map, and a fingerprint per table."""
+    row = None
+    for name, table in tables.items():
+        mark = fingerprint(table, table.columns).select(F.struct("n", "fingerprint").alias(name))
+        row = mark if row is None else row.withColumn(name, mark.scalar())
+    entries = [F.lit(str(v)) for pair in sorted(arguments.items()) for v in pair]
+    return row.select(F.lit(seed).alias("seed"), F.create_map(*entries).alias("args"), *tables)
+
+
 def check_fingerprint(df: DataFrame, columns, expected: DataFrame, column, allow_mismatch=False) -> DataFrame:
     """`df`, refused when its fingerprint is not the recorded one (a one-row table).
 

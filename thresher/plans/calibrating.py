@@ -192,3 +192,18 @@ def expected_cost(t):
     _, routed = route("l_quantity", "l_quantity", 20, 30, 25)
     cost = K.expected_cost(rows.withColumn("routed", routed), "routed", "l_tax", "l_discount")
     return cost.select(*[F.round(c, 9).alias(c) for c in cost.columns])
+
+
+@query("K6, K7, K8", f"""WITH {route_grid_sql()}, caps AS (SELECT unnest([0.1, 0.2, 0.3, 0.5])::DOUBLE AS cap),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY cap ORDER BY (recall >= 0.5) DESC, CASE WHEN recall >= 0.5 THEN fpr ELSE -recall END,
+    CASE WHEN recall >= 0.5 THEN -recall ELSE fpr END, low, high) AS place FROM grid JOIN caps ON route_rate <= cap + 1e-12),
+points AS (SELECT 'route_cap_' || (cap * 100)::INT || 'pct' AS profile, low, high FROM ranked WHERE place = 1
+  UNION ALL SELECT 'accuracy_first', low, high FROM (SELECT * FROM grid WHERE recall >= 0.5 ORDER BY fpr, route_rate, precision DESC, low, high LIMIT 1)),
+applied AS (SELECT profile, y, CASE WHEN router >= high THEN 1 WHEN router >= low THEN (class_bill >= 0.5)::INT ELSE 0 END AS said,
+  (router >= low AND router < high)::INT AS routed FROM scored, points),
+rates AS (SELECT profile, avg(routed) AS route_rate FROM applied GROUP BY profile)
+SELECT c.*, r.route_rate FROM ({confusion_sql('y', 'said = 1', 'profile')('applied')}) c JOIN rates r ON r.profile = c.profile""")
+def profiles_with_another_model(t):
+    """Profiles calibrated with one large model, evaluated with another."""
+    points = K.calibrate_route(t.scored(), "y", "router", "direct", 0.5, 0.5, STEPS)
+    return K.evaluate_routes(t.scored(), "y", "router", "class_bill", points, 0.5)

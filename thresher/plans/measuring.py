@@ -6,7 +6,7 @@ from thresher.fixed_values import (
     ROUTER_BALANCE_CAPS, ROUTER_FACTOR_CAP, ROUTER_FACTORS, V2_PREFIX_FACTORS, V2_WEIGHT_CAPS,
 )
 from thresher.functions.hashing import split_80_10_10
-from thresher.functions.scores import decide, fuse_linear
+from thresher.functions.scores import cascade_score, decide, fuse_linear
 from thresher.operators import metrics as D
 from thresher.operators.lineage import pair_models
 from thresher.plans.calibrating import curve_sql
@@ -224,3 +224,50 @@ def category_shortfall(t):
     pages = t.doc_pages()
     targets = D.distinct_documents(pages, "category", "doc_name").select("category", (2 * F.col("documents")).alias("requested"))
     return D.shortfall(targets, pages, "category")
+
+
+@query("D20", f"""WITH {EXAMPLES}, known AS (SELECT DISTINCT source_doc FROM examples WHERE {LATE})
+SELECT d.doc_id, (k.source_doc IS NOT NULL)::INT AS skipped, CASE WHEN k.source_doc IS NULL THEN ((d.n_chars >= 500) = (d.lang = 'en'))::INT END AS correct
+FROM documents d LEFT JOIN known k ON k.source_doc = sha256(d.text) WHERE NOT ({LATE})""")
+def folder_details(t):
+    rows = t.documents().select(
+        "doc_id", "source", F.sha2("text", 256).alias("digest"), (F.col("n_chars") >= 500).alias("predicted"), (F.col("lang") == "en").alias("expected"))
+    late = F.substring("source", 4, 2).cast("int") >= 10
+    return D.folder_details(rows.filter(~late), "predicted", "expected", "digest", rows.filter(late)).select("doc_id", "skipped", "correct")
+
+
+@query("D9, D11", f"""WITH bills AS (SELECT coalesce(nullif(d.lang, 'es'), 'unknown') AS context, d.n_chars / 1000.0::DOUBLE AS score
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1) {summary_sql('bills', 'score', 0.2, (0.05,), 'context', 'min')}""")
+def low_tail_by_context(t):
+    bills = t.documents().join(t.table("labels").filter(F.col("quality") == 1), "doc_id").select(
+        F.nullif(F.col("lang"), F.lit("es")).alias("context"), (F.col("n_chars") / F.lit(1000.0)).alias("score"))
+    return rounded(D.context_summary(bills, "context", "score", 0.2))
+
+
+@query("B26, D4, T5", f"""WITH {SCORED}, parts AS (SELECT 'gate' AS part, y, direct AS score, 0.5::DOUBLE AS cut, direct AS rank FROM scored
+  UNION ALL SELECT 'verifier', y, class_bill, 0.45, class_bill FROM scored
+  UNION ALL SELECT 'cascade', y, CASE WHEN direct >= 0.5 THEN class_bill ELSE -1.0 END, 0.45, CASE WHEN direct >= 0.5 THEN class_bill ELSE -1.0 END FROM scored),
+areas AS ({auc_sql('parts', 'y', 'rank', 'part')})
+SELECT c.*, round(a.auc, 9) AS auc, (SELECT round(auc, 9) FROM ({auc_sql('(SELECT y, direct * class_bill AS s FROM scored)', 'y', 's')})) AS product_auc
+FROM ({confusion_sql('y', 'score >= cut', 'part')('parts')}) c JOIN areas a ON a.part = c.part""")
+def cascade_report(t):
+    """Gate, verifier and cascade side by side, in one pass over the three scores."""
+    scored = t.scored()
+    parts = F.explode(F.array(
+        F.struct(F.lit("gate").alias("part"), F.col("direct").alias("score"), F.lit(0.5).alias("cut")),
+        F.struct(F.lit("verifier").alias("part"), F.col("class_bill").alias("score"), F.lit(0.45).alias("cut")),
+        F.struct(F.lit("cascade").alias("part"), cascade_score("direct", 0.5, "class_bill").alias("score"), F.lit(0.45).alias("cut"))))
+    long = scored.select("y", parts.alias("p")).select("y", "p.*")
+    report = D.classification(long, "y", "score", F.col("cut"), ["part", "cut"]).drop("cut")
+    product = D.roc_auc(scored.select("y", cascade_score("direct", 0.5, "class_bill", "product").alias("s")), "y", "s")
+    return report.withColumn("auc", F.round("auc", 9)).withColumn("product_auc", F.round(product.scalar(), 9))
+
+
+@query("D21", """WITH l AS (SELECT count(*) AS n, coalesce(sum(('0x' || substr(sha256('=' || doc_id || '|' || coalesce('=' || quality, '-') || '|' || coalesce('=' || toxic, '-')), 1, 15))::BIGINT::HUGEINT), 0)::VARCHAR AS f FROM labels),
+r AS (SELECT count(*) AS n, coalesce(sum(('0x' || substr(sha256('=' || page_id || '|' || coalesce('=' || url, '-')), 1, 15))::BIGINT::HUGEINT), 0)::VARCHAR AS f FROM pages)
+SELECT 42 AS seed, 'epochs=8' AS args, l.n AS manifest_rows, l.f AS manifest, r.n AS splits_rows, r.f AS splits FROM l, r""")
+def run_record(t):
+    run = D.run_fingerprint(42, {"epochs": 8}, manifest=t.table("labels"), splits=t.table("pages").select("page_id", "url"))
+    args = F.array_join(F.transform(F.map_entries("args"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return run.select("seed", args.alias("args"), F.col("manifest.n").alias("manifest_rows"), F.col("manifest.fingerprint").alias("manifest"),
+                      F.col("splits.n").alias("splits_rows"), F.col("splits.fingerprint").alias("splits"))
