@@ -22,6 +22,7 @@ HEADLINE = (
     "best_candidate", "select_on_val_report_on_test",
     "derive_classes", "inherit_from_root", "repair_by_lineage", "exclude_known_content", "resume_arrivals", "add_mined_train",
     "eligible_text", "annotation_text", "content_digest", "batch_scores", "stream_exact_dedup", "stream_with_quotas",
+    "build_training_table", "mine_into_training_manifest", "calibrate_and_compare",
 )
 
 

@@ -39,7 +39,7 @@ def same(df, relation):
     if len(ours[1]) != len(theirs[1]):
         return f"rows {len(ours[1])} != {len(theirs[1])}"
     for a, b in zip(ours[1], theirs[1]):
-        if a != b:
+        if repr(a) != repr(b):
             return f"{ours[0]}: {a} != {b}"
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     for name, kind in zip(relation.columns, relation.types):

@@ -22,7 +22,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from thresher.functions.hashing import seeded
-from thresher.session import parallelism, pinned
+from thresher.session import busy, parallelism, pinned
 
 # Largest k that is merged in one task; beyond it rows are ranked in range slices.
 MERGE_LIMIT = 100_000
@@ -80,8 +80,8 @@ def cut_values(df: DataFrame, value, parts=None):
     parts = min(parts or parallelism(df.sparkSession), MAX_CUTS)
     if parts < 2:
         return []
-    column = df.select(F.col(value).cast("double").alias("value"))
-    found = column.approxQuantile("value", [i / parts for i in range(1, parts)], 1.0 / (4 * parts))
+    column = df.select(F.col(value).cast("double").alias("value")).coalesce(busy(df.sparkSession))
+    found = column.approxQuantile("value", [i / parts for i in range(1, parts)], 1.0 / (2 * parts))
     return sorted(set(found))
 
 
@@ -218,8 +218,8 @@ def top_per_group(df: DataFrame, k, order, keys=(), rank=None) -> DataFrame:
     sort = order_columns(order)
     part, parts = df, parallelism(df.sparkSession)
     if not keys and rank is None and k <= HEAP_LIMIT:
-        # A heap per task and no sort; fewer tasks, so that the last one merges parts x k rows.
-        return df.coalesce(parts).orderBy(*sort).limit(k)
+        # A heap per task and no sort; fewer tasks, so that the last one merges few x k rows.
+        return df.coalesce(busy(df.sparkSession)).orderBy(*sort).limit(k)
     if k >= SLICE_FROM:
         part = df.withColumn("_salt", F.pmod(F.xxhash64(*order_names(order)), F.lit(parts)))
         sliced = Window.partitionBy(*keys, "_salt").orderBy(*sort)
@@ -254,7 +254,7 @@ def take_by_hash(df: DataFrame, quota, id_columns, seed, keys=()) -> DataFrame:
     if not callable(quota) and quota <= MERGE_LIMIT:
         return top_per_group(marked, quota, ["_digest", *ids], keys).select(*df.columns)
     slim = marked.select(*keys, *[c for c in ids if c not in keys], "_digest", "_prefix")
-    counts = slim.groupBy(*keys, "_prefix").agg(F.count(F.lit(1)).alias("_rows"))
+    counts = slim.coalesce(busy(df.sparkSession)).groupBy(*keys, "_prefix").agg(F.count(F.lit(1)).alias("_rows"))
     group = group_window(keys)
     upto = group.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
     ranges = counts.select(*keys, "_prefix", "_rows", F.sum("_rows").over(upto).alias("_upto"), F.sum("_rows").over(group).alias("_size"))

@@ -111,15 +111,16 @@ def scores_by_grid(t):
     return fusion_grid(t.scored(), "y", "direct", "class_bill", 0.9, steps=5, digits=9).select("alpha", "threshold", "tp", "fp")
 
 
-@query("C10", "SELECT source || '.csv' AS filepath FROM (SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'es'))")
+@query("C10, A8", """SELECT DISTINCT lang || '_' || source || '.csv' AS filepath FROM documents
+WHERE lang || '_' || source NOT IN (SELECT lang || '_' || source FROM documents WHERE n_chars >= 3000)""")
 def manifest_without_files(t):
-    # Every source is expected to have a folder of Spanish documents; the listing says which do.
+    # The manifest expects a folder per language and source; only long documents are written.
     path = fresh_path(t.spark, "present")
-    spanish = t.documents().filter(F.col("lang") == "es")
-    spanish.select("doc_id", "source").write.partitionBy("source").csv(path)
-    name = F.concat(F.regexp_extract("path", "source=([^/]+)/", 1), F.lit(".csv"))
+    rows = t.documents().select("doc_id", F.concat_ws("_", "lang", "source").alias("folder"), "n_chars")
+    rows.filter(F.col("n_chars") >= 3000).select("doc_id", "folder").write.partitionBy("folder").csv(path)
+    name = F.concat(F.regexp_extract("path", "folder=([^/]+)/", 1), F.lit(".csv"))
     listing = scan_files(t.spark, path, (".csv",), recursive=True).select(name.alias("filepath")).distinct()
-    wanted = t.documents().select(F.concat("source", F.lit(".csv")).alias("filepath")).distinct()
+    wanted = rows.select(F.concat("folder", F.lit(".csv")).alias("filepath")).distinct()
     return G.missing_files(wanted, listing, "filepath")
 
 
