@@ -477,6 +477,13 @@ def test_manifest_guards(spark):
     fails(M.add_train_only(a, mined.withColumn("filepath", F.lit("x")), "filepath", fields), "already exist")
 
 
+def test_overlap_drops_copies_and_pairs_nulls(spark):
+    a = spark.createDataFrame([("x", 1), ("x", 1), ("y", 2), (None, 3)], "k string, n int")
+    b = spark.createDataFrame([("x", 1), (None, 3), ("y", 9)], "k string, n int")
+    assert rows(M.overlap(a, b, ["k", "n"])) == [("x", 1), (None, 3)]
+    assert rows(M.overlap(a, b, "k")) == [("x",), ("y",), (None,)]
+
+
 def test_keep_selected_and_listed(spark):
     df = spark.createDataFrame([("a", "train"), ("b", "train"), ("c", "val")], "filepath string, split string")
     chosen = spark.createDataFrame([("a",), ("a",)], "filepath string")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from thresher.operators.metrics import duplicates
-from thresher.operators.ordering import as_list, guard, join_on
+from thresher.operators.ordering import as_list, guard
 
 
 def concat_unique(*manifests: DataFrame, key) -> DataFrame:
@@ -19,8 +19,9 @@ def concat_unique(*manifests: DataFrame, key) -> DataFrame:
 
 def overlap(a: DataFrame, b: DataFrame, key) -> DataFrame:
     """Keys in both tables. Copies are dropped before the tables meet, not after."""
-    keys = as_list(key)
-    return join_on(a.select(*keys).distinct(), b.select(*keys).distinct(), keys)
+    packed = F.struct(*as_list(key))
+    left, right = a.select(packed.alias("_left")).distinct(), b.select(packed.alias("_right")).distinct()
+    return left.join(right, F.col("_left") == F.col("_right")).select("_left.*")
 
 
 def assert_disjoint(a: DataFrame, b: DataFrame, key) -> DataFrame:

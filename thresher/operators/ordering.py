@@ -106,20 +106,24 @@ def prefix_sums(points: DataFrame, measures, order, range_column, keys=(), desce
     """
     keys, measures, order = as_list(keys), as_list(measures), as_list(order)
     direct = F.desc if descending else F.asc
-    totals = points.groupBy(*keys, range_column).agg(*[F.sum(m).alias(m) for m in measures])
-    group = group_window(keys)
-    before = group.orderBy(direct(range_column)).rowsBetween(Window.unboundedPreceding, -1)
+    # One struct names a range of a key. It is never null, so a plain equality will do, and
+    # the window and the join agree on one shuffle of the points.
+    grouped = points.withColumn("_group", F.struct(*keys, range_column))
+    totals = grouped.groupBy("_group").agg(*[F.sum(m).alias(m) for m in measures])
+    group = group_window([F.col("_group")[k] for k in keys])
+    before = group.orderBy(direct(F.col("_group")[range_column])).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, range_column,
+        F.col("_group").alias("_of"),
         *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_{m}_before") for m in measures],
         *[F.sum(m).over(group).alias(f"{m}_total") for m in measures],
     )
-    within = (Window.partitionBy(*keys, range_column).orderBy(*[direct(o) for o in order])
+    within = (Window.partitionBy("_group").orderBy(*[direct(o) for o in order])
               .rowsBetween(Window.unboundedPreceding, 0))
-    joined = join_on(points, offsets, [*keys, range_column])
+    running = grouped.withColumns({f"_{m}_within": F.sum(m).over(within) for m in measures})
+    joined = running.join(offsets, F.col("_group") == F.col("_of"))
     return joined.select(
         *[c for c in points.columns if c != range_column],
-        *[(F.sum(m).over(within) + F.col(f"_{m}_before")).alias(f"{m}_upto") for m in measures],
+        *[(F.col(f"_{m}_within") + F.col(f"_{m}_before")).alias(f"{m}_upto") for m in measures],
         *[F.col(f"{m}_total") for m in measures],
     )
 
@@ -193,13 +197,14 @@ def rank_rows(df: DataFrame, order, keys=(), name="rank") -> DataFrame:
     keys = as_list(keys)
     sort = [F.col(k).asc() for k in keys] + order_columns(order)
     sliced = df.repartitionByRange(parallelism(df.sparkSession), *sort).withColumn("_slice", F.spark_partition_id())
-    written = pinned(sliced)
-    sizes = written.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
-    before = group_window(keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*keys, "_slice").orderBy(*order_columns(order))
-    ranked = join_on(written, offsets, [*keys, "_slice"])
-    return ranked.withColumn(name, F.row_number().over(within) + F.col("_before")).drop("_slice", "_before")
+    written = pinned(sliced).withColumn("_group", F.struct(*keys, "_slice"))
+    sizes = written.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"))
+    whole = group_window([F.col("_group")[k] for k in keys])
+    before = whole.orderBy(F.col("_group")["_slice"]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("_group").alias("_of"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    placed = written.withColumn("_within", F.row_number().over(Window.partitionBy("_group").orderBy(*order_columns(order))))
+    ranked = placed.join(offsets, F.col("_group") == F.col("_of"))
+    return ranked.select(*df.columns, (F.col("_within") + F.col("_before")).alias(name))
 
 
 def top_per_group(df: DataFrame, k, order, keys=(), rank=None) -> DataFrame:
@@ -260,11 +265,17 @@ def take_by_hash(df: DataFrame, quota, id_columns, seed, keys=()) -> DataFrame:
     ranges = counts.select(*keys, "_prefix", "_rows", F.sum("_rows").over(upto).alias("_upto"), F.sum("_rows").over(group).alias("_size"))
     ranges = ranges.withColumn("_quota", F.least(wanted(F.col("_size")).cast("bigint"), F.col("_size")))
     edge = ranges.filter((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_rows") < F.col("_quota"))).select(
-        *keys, "_prefix", "_size", (F.col("_quota") - F.col("_upto") + F.col("_rows")).alias("_need"))
-    near = join_on(slim, edge, [*keys, "_prefix"])  # one range per key
+        *keys, F.struct(F.col("_prefix").alias("prefix"), (F.col("_quota") - F.col("_upto") + F.col("_rows")).alias("need"),
+                        F.col("_size").alias("size")).alias("_edge"), "_size")
+    if keys:
+        near = join_small(slim, edge, keys, "_size")
+    else:
+        near = slim.withColumn("_edge", edge.select("_edge").scalar())
+    near = near.filter(F.col("_prefix") == F.col("_edge.prefix"))  # one range per key
     place = F.row_number().over(Window.partitionBy(*keys, "_prefix").orderBy("_digest", *ids))
     cut_at = F.struct("_digest", *[F.col(c) for c in ids])
-    cut = near.withColumn("_place", place).filter(F.col("_place") == F.col("_need")).select(*keys, "_size", cut_at.alias("_cut"))
+    cut = near.withColumn("_place", place).filter(F.col("_place") == F.col("_edge.need")).select(
+        *keys, F.col("_edge.size").alias("_size"), cut_at.alias("_cut"))
     if keys:
         kept = join_small(marked, cut, keys, "_size")
     else:
