@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from thresher.operators.metrics import weigh_rows
-from thresher.operators.ordering import as_list
+from thresher.operators.ordering import BROADCAST_ROWS, as_list
 from thresher.operators.ranking import hardest
 from thresher.operators.sampling import oversample
 
@@ -71,6 +71,8 @@ def mine_replay_retrain(df: DataFrame, features, label, key, k, repeat, split="s
     scored = score_batches(negatives, features, linear_scorer(weights, before.intercept), len(weights)).select(*as_list(key), F.round("score", 8).alias("score"))
     mined = hardest(scored, k, "score", key)
     marks = mined.select(*as_list(key)).withColumn("_mined", F.lit(True))
+    if k <= BROADCAST_ROWS:  # at most k rows; the feature vectors stay where they are
+        marks = F.broadcast(marks)
     marked = train.join(marks, as_list(key), "left")
     replayed = oversample(marked, F.col("_mined").isNotNull(), repeat).drop("_mined")
     after = train_weighted(replayed, features, label, iterations=iterations)

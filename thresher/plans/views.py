@@ -42,10 +42,10 @@ class Tables:
     def examples(self) -> DataFrame:
         """Documents as a labelled manifest; exact copies share a source_doc."""
         labels = self.table("labels").select("doc_id", F.col("quality").alias("invoice_label"))
-        joined = self.documents().join(labels, "doc_id", "left")
-        return joined.select(
-            F.col("doc_id").alias("id"), "source", F.col("lang").alias("category"), "invoice_label",
-            F.sha2("text", 256).alias("source_doc"))
+        # The digest is taken before the join, so that no text is shuffled.
+        rows = self.documents().select("doc_id", "source", "lang", F.sha2("text", 256).alias("source_doc"))
+        return rows.join(labels, "doc_id", "left").select(
+            F.col("doc_id").alias("id"), "source", F.col("lang").alias("category"), "invoice_label", "source_doc")
 
     def split_examples(self) -> DataFrame:
         """Examples with the 80/10/10 split of their lineage group."""
