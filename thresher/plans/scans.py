@@ -122,11 +122,11 @@ def operating_point(t):
 
 @query("A11", f"""WITH {ARRIVALS}
 SELECT event_id, source_object, digest FROM arrivals
-WHERE source_object <> 'click' AND digest NOT IN (SELECT digest FROM arrivals WHERE arrived < 1704153600000000)""")
+WHERE source_object <> 'click' AND digest NOT IN (SELECT digest FROM arrivals WHERE arrived < TIMESTAMP '2024-01-02 00:00:00')""")
 def resume_arrivals(t):
     rows = t.arrivals()
     # Seen before: the whole click shard, and everything of the first day.
-    first_day = rows.filter(F.col("arrived") < 1704153600000000)
+    first_day = rows.filter(F.col("arrived") < F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"))
     shard = rows.filter(F.col("source_object") == "click").select("source_object")
     fresh = new_arrivals(new_arrivals(rows, shard, "source_object"), first_day, "digest")
     return fresh.select("event_id", "source_object", "digest")

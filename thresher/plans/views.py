@@ -89,7 +89,7 @@ class Tables:
     def arrivals(self, events=None) -> DataFrame:
         """Events as arriving records; also over a stream of events."""
         return (self.table("events") if events is None else events).select(
-            "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("arrived"), F.col("user_id").alias("episode"),
+            "event_id", F.col("ts").alias("arrived"), F.col("user_id").alias("episode"),
             F.col("event_type").alias("source_object"),
             F.sha2(F.concat_ws("|", text("user_id"), "event_type"), 256).alias("digest"), F.col("props").alias("payload"),
             split_70_15_15(text("user_id")).alias("split"))
@@ -156,7 +156,7 @@ NESTED_TEXT = """nested_texts AS (
   FROM conversations)"""
 
 ARRIVALS = f"""arrivals AS (
-  SELECT event_id, epoch_us(ts) AS arrived, user_id AS episode, event_type AS source_object,
+  SELECT event_id, ts AS arrived, user_id AS episode, event_type AS source_object,
     sha256(user_id::VARCHAR || '|' || event_type) AS digest, props AS payload,
     {split_100_sql('user_id::VARCHAR')} AS split
   FROM events)"""

@@ -46,8 +46,12 @@ def shared_folder(spark) -> str:
 
 
 def fresh_path(spark, label) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path below the shared folder that nothing else uses.
+
+    Everything a session writes lies below its application id, so that it can be removed
+    when the session is over.
+    """
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def pinned(df):
