@@ -102,6 +102,23 @@ def test_weight_rules_cap_each_step_or_once(spark):
     assert rows(at_end, "c", "weight") == [(0, 1.25)] * 3 + [(0, 2.5), (1, 3.0)]
 
 
+def test_published_weights(spark):
+    data = [("Negative/a", 0, 4, 0), ("data/raw/public_hard_negatives/b", 0, 2, 0), ("c", 0, 2, 0), ("d", 1, 0, 1)]
+    df = spark.createDataFrame(data, "path string, bill int, cls int, ctx int")
+    v2 = {r.path: (r.bill_weight, r.class_weight) for r in D.verifier_weights(df, "path", "bill", "cls").collect()}
+    assert v2["Negative/a"] == pytest.approx((4 / 6 * 2.0, 4 / 7 * 1.5))
+    assert v2["data/raw/public_hard_negatives/b"] == pytest.approx((4 / 6 * 1.35, 2 / 7))
+    assert v2["d"] == pytest.approx((2.0, 4 / 7))
+    router = {r.path: (r.bill_weight, r.class_weight, r.context_weight) for r in D.router_weights(df, "path", "bill", "cls", "ctx").collect()}
+    assert router["Negative/a"] == pytest.approx((4 / 6 * 2.0, 4 / 3, 4 / 6))
+    assert router["d"] == pytest.approx((2.0 * 1.15, 4 / 3, 2.0))
+
+
+def test_targeted_labels(spark):
+    df = spark.createDataFrame([(5,), (15,), (11,)], "n int")
+    assert [r.l for r in df.select(L.targeted_label("n").alias("l")).collect()] == ["scientific_report", "memo", None]
+
+
 def test_parity_fails_on_a_flip(spark):
     pairs = spark.createDataFrame([(.5, .5001), (.2, .3)], "score_a double, score_b double")
     row = one(D.score_parity(pairs, .4))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from thresher.fixed_values import (
     ADVERTISEMENT_LABELS, BILL_CLASSES, CAPTURE_CONTEXTS, CLASS_NAMES, NARRATIVE_LABELS,
-    PAGE_CLASSES, SCENE_LABELS, SCREENSHOT_PREFIXES, SOURCE_LABELS, STRUCTURED_LABELS,
+    PAGE_CLASSES, SCENE_LABELS, SCREENSHOT_PREFIXES, SOURCE_LABELS, STRUCTURED_LABELS, TARGETED_LABELS,
 )
 from thresher.functions.hashing import as_column
 
@@ -43,6 +43,11 @@ def map_label(source, mapping=SOURCE_LABELS, on_unknown="error"):
     return label
 
 
+def targeted_label(number, mapping=TARGETED_LABELS):
+    """Name of a numeric label that is imported as a targeted negative; null for others."""
+    return value_map(number, mapping)
+
+
 def teacher_flag(predicted_class, positive="invoice"):
     """The teacher's opinion: recorded for audits, never used as the label."""
     return (as_column(predicted_class) == positive).cast("int")

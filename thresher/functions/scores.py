@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from thresher.fixed_values import BILL_CLASSES, LINEAR_WEIGHTS, LOGIT_CLIP
+from thresher.fixed_values import BILL_CLASSES, BINARY_THRESHOLD, LINEAR_WEIGHTS, LOGIT_CLIP
 from thresher.functions.hashing import as_column
 
 
@@ -47,7 +47,7 @@ def argmax_class(vector):
     return (F.array_position(vector, F.array_max(vector)) - 1).cast("int")
 
 
-def decide(score, threshold):
+def decide(score, threshold=BINARY_THRESHOLD):
     """1 where the score reaches the threshold (inclusive)."""
     threshold = F.lit(threshold) if isinstance(threshold, (int, float)) else threshold
     return (as_column(score) >= threshold).cast("int")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from thresher.fixed_values import RECALL_FLOOR
-from thresher.functions.scores import decide
+from thresher.fixed_values import (
+    CLASS_NAMES, PROTECTED_PREFIX, RECALL_FLOOR, ROUTER_BALANCE_CAPS, ROUTER_FACTOR_CAP, ROUTER_FACTORS, V2_PREFIX_FACTORS, V2_WEIGHT_CAPS,
+)
 from thresher.operators.ordering import (
     as_list, attach_reference, guard, join_small, quantile_columns, quantile_from, score_points,
 )
@@ -243,6 +244,22 @@ def weigh_rows(df: DataFrame, column, name="weight", classes=None, cap=None, fac
     return rows
 
 
+def verifier_weights(df: DataFrame, path, bill, class_index) -> DataFrame:
+    """Adds `bill_weight` and `class_weight` with the published prefixes, factors and caps."""
+    for column, name, k in ((bill, "bill", 2), (class_index, "class", len(CLASS_NAMES))):
+        factors = [(F.col(path).startswith(prefix), factor) for prefix, factor in V2_PREFIX_FACTORS[name].items()]
+        df = weigh_rows(df, column, f"{name}_weight", k, factors=factors, factor_cap=("end", V2_WEIGHT_CAPS[name]))
+    return df
+
+
+def router_weights(df: DataFrame, path, bill, class_index, context) -> DataFrame:
+    """Adds `bill_weight`, `class_weight` and `context_weight` of the router training."""
+    factors = [(F.col(path).startswith(PROTECTED_PREFIX), ROUTER_FACTORS["protected"]), (F.col(context) == 1, ROUTER_FACTORS["screenshot"])]
+    df = weigh_rows(df, bill, "bill_weight", cap=ROUTER_BALANCE_CAPS["bill"], factors=factors, factor_cap=ROUTER_FACTOR_CAP)
+    df = weigh_rows(df, class_index, "class_weight", cap=ROUTER_BALANCE_CAPS["class"])
+    return weigh_rows(df, context, "context_weight", cap=ROUTER_BALANCE_CAPS["context"])
+
+
 def paired_changes(pairs: DataFrame, y, before, after) -> DataFrame:
     """Decisions that changed between two models on the same rows."""
     hit, was, now = F.col(y) == 1, F.col(before) == 1, F.col(after) == 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from thresher.fixed_values import SOURCE_QUOTAS
 from thresher.functions.hashing import seeded
 from thresher.functions.scores import mined_flag
 from thresher.operators.ordering import as_list, take_by_hash, top_per_group
@@ -92,7 +93,7 @@ def source_quotas(supply: DataFrame, spec, target) -> DataFrame:
         "position", "source", "pool", "available", "first", "extra", (F.col("first") + F.col("extra")).alias("quota"))
 
 
-def quota_topup(df: DataFrame, source, order, spec, target) -> DataFrame:
+def quota_topup(df: DataFrame, source, order, spec=SOURCE_QUOTAS, target=3000) -> DataFrame:
     """The rows :func:`source_quotas` asks for, in scan order within each source."""
     supply = df.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("available"))
     quotas = F.broadcast(source_quotas(supply, spec, target).select(  # one row per entry of `spec`

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from thresher.fixed_values import OPERATING_TARGET
-from thresher.functions.text import nested_text, token_count
+from thresher.functions.text import nested_text
 from thresher.operators.calibration import calibrate_fusion
 from thresher.plans.calibrating import BEST_FUSION
 from thresher.plans.registry import query
