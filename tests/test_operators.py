@@ -569,7 +569,7 @@ def test_screenshot_prefixes(spark):
 def test_hash_split_and_choice_agree_with_plain_python(spark):
     from hashlib import sha256
 
-    keys = [f"rvl:memo:{i}" for i in range(200)]
+    keys = [f"class:memo:{i}" for i in range(200)]
     df = spark.createDataFrame([(k,) for k in keys], "k string")
     wanted = [{0: "val", 1: "test"}.get(int(sha256(k.encode()).hexdigest()[:8], 16) % 10, "train") for k in keys]
     assert [r.s for r in df.select(split_80_10_10("k").alias("s")).collect()] == wanted

@@ -54,7 +54,7 @@ def screenshot_positive_manifest(t):
 
 
 @query("E4, B11, B12, B15, B19, B20, G1, G8", f"""WITH {NESTED_TEXT},
-classed AS (SELECT 'neg_' || lang || '_' || substr(sha256(text), 1, 16) AS name, 'targeted_' || lang AS source, 'rvl:' || lang || ':' || substr(sha256(text), 1, 16) AS source_doc,
+classed AS (SELECT 'neg_' || lang || '_' || substr(sha256(text), 1, 16) AS name, 'targeted_' || lang AS source, 'class:' || lang || ':' || substr(sha256(text), 1, 16) AS source_doc,
   row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents WHERE lang IN ('en', 'fr', 'de')),
 eligible AS (SELECT image_id FROM nested_texts WHERE NOT contains(text, 'and') AND NOT contains(text, 'que')
   AND CASE WHEN trim(text) = '' THEN 0 ELSE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) END >= 20),
@@ -66,7 +66,7 @@ def public_negative_manifest(t):
     rows = t.documents().filter(F.col("lang") != "es").select("doc_id", "lang", short_name("", "text", 16).alias("name"))
     classed = E.first_per_key(rows, "lang", "doc_id", 50).select(
         F.concat(F.lit("neg_"), "lang", F.lit("_"), "name", F.lit(".jpg")).alias("filepath"), F.concat(F.lit("targeted_"), "lang").alias("source"),
-        L.lineage_key(F.lit("rvl"), "lang", "name").alias("source_doc"))
+        L.lineage_key(F.lit("class"), "lang", "name").alias("source_doc"))
     texts = t.nested().select("image_id", nested_text("paragraphs").alias("text"))
     eligible = texts.filter(text_eligible("text", 20, ("and", "que"))).select("image_id")
     scenes = P.seeded_sample(eligible, 20, "image_id", 42).select(
@@ -100,7 +100,7 @@ def aligned_class_splits(t):
 train AS (SELECT * FROM shots WHERE split = 'train'), hard AS (SELECT id FROM train ORDER BY direct DESC, id LIMIT 45),
 easy AS (SELECT id FROM train WHERE id NOT IN (SELECT id FROM hard) ORDER BY sha256('20260820:' || id), id LIMIT 5)
 SELECT 'base/' || doc_id AS filepath, 2 AS class_index, 'structured_document' AS class_name, 'train' AS split, 'base:' || doc_id AS source_doc FROM documents
-UNION ALL SELECT 'shot/' || id, 4, 'advertisement_presentation', split, 'aitw:shard:' || id || ':0' FROM shots WHERE split <> 'train' OR id IN (SELECT id FROM hard UNION ALL SELECT id FROM easy)""")
+UNION ALL SELECT 'shot/' || id, 4, 'advertisement_presentation', split, 'shots:shard:' || id || ':0' FROM shots WHERE split <> 'train' OR id IN (SELECT id FROM hard UNION ALL SELECT id FROM easy)""")
 def screenshot_training_splits(t):
     """Base rows plus the hardest and a few random train screenshots and all held-out ones."""
     shots = t.scored().select("id", "direct").withColumn("split", split_70_15_15(text("id")))
@@ -112,5 +112,5 @@ def screenshot_training_splits(t):
         "source_doc": L.lineage_key(F.lit("base"), "doc_id")})
     added = M.conform(kept, fields, {
         "filepath": F.concat(F.lit("shot/"), text("id")), "class_index": 4, "class_name": CLASS_NAMES[4],
-        "source_doc": L.lineage_key(F.lit("aitw"), F.lit("shard"), "id", F.lit(0))})
+        "source_doc": L.lineage_key(F.lit("shots"), F.lit("shard"), "id", F.lit(0))})
     return M.concat_unique(base, added, key="filepath")

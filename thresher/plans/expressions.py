@@ -146,10 +146,10 @@ def content_digest(t):
     return t.documents().select("doc_id", digest("text").alias("digest"))
 
 
-@query("B20", """SELECT doc_id, 'rvl_' || substr(sha256(text), 1, 16) AS n16, 'page_' || substr(sha256(text), 1, 20) AS n20,
+@query("B20", """SELECT doc_id, 'img_' || substr(sha256(text), 1, 16) AS n16, 'page_' || substr(sha256(text), 1, 20) AS n20,
   substr(sha256(text), 1, 24) AS n24 FROM documents""")
 def short_names(t):
-    return t.documents().select("doc_id", short_name("rvl_", "text", 16).alias("n16"), short_name("page_", "text", 20).alias("n20"),
+    return t.documents().select("doc_id", short_name("img_", "text", 16).alias("n16"), short_name("page_", "text", 20).alias("n20"),
                                 short_name("", "text", 24).alias("n24"))
 
 
