@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from thresher.llm import packing, records  # noqa: F401
+from thresher.llm import contamination, host_rules, overlap_join, packing, records  # noqa: F401
 from thresher.llm.registry import QUERIES
 
 __all__ = ["QUERIES"]

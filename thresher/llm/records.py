@@ -218,7 +218,8 @@ def read_records(chunks: DataFrame) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = chunks.groupBy("part").agg(F.sum("tokens").alias("_tokens"))
     starts = parts.select(F.col("part").alias("_part"), F.coalesce(F.sum("_tokens").over(before), F.lit(0)).alias("_before"))
-    spread = chunks.repartition(F.col("path"), F.col("chunk"))
+    # A row here is megabytes of work, so their number and not their bytes decides how they are dealt.
+    spread = chunks.repartition(max(1, chunks.count() // 2), "path", "chunk")
     read = spread.mapInArrow(read_chunks, READ)
     return read.join(starts, F.col("part") == F.col("_part")).select(
         "doc_id", (F.col("_before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32", "part", "record",

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -17,18 +18,31 @@ import regex
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 ID_TYPE = np.dtype("<u2")  # of the default vocabulary: 50,257 ids
-KEPT_PIECES = 700_000
+KEPT_PIECES = 1_200_000
 KEPT_LENGTH = 64
 CUT = re.compile(r" (?=[!-~\u00a1-\u02ff])")
+# A blank and another white space: no border where there is one of these.
+WHITE_PAIRS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c", " \x85", " \xa0")
 # The published pre-tokenization of the vocabulary, used on pieces of these characters only;
 # the model alone then gives their ids, at half the cost.
 LATIN = re.compile(r"[\n -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+MARKS = ".,"
 # Byte-level vocabularies show a byte as a visible character: itself, or one from U+0100 on.
 HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
 VISIBLE = {b: 256 + i for i, b in enumerate(HIDDEN)}
 
 
+def cut_pieces(text):
+    """The first piece of a text, and the others without the blank they begin with."""
+    try:
+        simple = not any(pair in text for pair in WHITE_PAIRS) and text.encode("latin-1") is not None
+    except UnicodeEncodeError:
+        simple = False
+    first, *rest = text.split(" ") if simple else CUT.split(text)
+    return first, rest
+
+
 def vocabulary_path(name=VOCABULARY):
     import public_tokenizers
 
@@ -46,39 +60,58 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.tokenizer.get_vocab_size() > np.iinfo(ID_TYPE).max:
             raise ValueError("the record format holds ids below 65,536")
-        self.known = {}  # by piece, without the blank it begins with
-
-    def ids_of(self, pieces):
-        """A map from each of the pieces to its ids."""
-        found, other, model = {}, [], self.tokenizer.model
+        self.marks = {m: self.one(m, False) for m in MARKS}
+        self.known, self.older = {}, {}  # by piece, without the blank it begins with
+
+    def one(self, word, blank):
+        """The ids of one pre-token: the letters of a word, with a blank in front or none, or any other."""
+        shown = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(VISIBLE)
+        ids = [t.id for t in self.tokenizer.model.tokenize("\u0120" + shown if blank else shown)]
+        return ids[0].to_bytes(2, "little") if len(ids) == 1 else array("H", ids).tobytes()
+
+    def ids_of(self, pieces, blank=True):
+        """A map from each of the pieces to its ids, with a blank in front of each or none."""
+        found, other, known, one = {}, [], self.known if blank else {}, self.one
         for p in pieces:
-            if len(p) <= KEPT_LENGTH and LATIN.fullmatch(p):
-                ids = [t.id for w in WORD.findall(p) for t in model.tokenize(w.encode().decode("latin-1").translate(VISIBLE))]
-                found[p] = np.array(ids, ID_TYPE).tobytes() if len(ids) > 1 else ids[0].to_bytes(2, "little")
-            else:
+            if len(p) > KEPT_LENGTH or not LATIN.fullmatch(p):
                 other.append(p)
+            elif p.isalpha():
+                found[p] = one(p, blank)
+            elif p and p[-1] in MARKS and p[:-1].isalpha():
+                found[p] = (known.get(p[:-1]) or one(p[:-1], blank)) + self.marks[p[-1]]
+            else:
+                words = WORD.findall(" " + p if blank else p)
+                found[p] = b"".join([one(w, False) for w in words])
         for start in range(0, len(other), 20_000):
             part = other[start:start + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                found[p] = np.array(e.ids, ID_TYPE).tobytes()
+            whole = [" " + p for p in part] if blank else part
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
+                found[p] = array("H", e.ids).tobytes()
         return found
 
     def encode_all(self, texts):
         """The ids of each text, as bytes; none of an empty one or a null."""
-        cut = [CUT.split(t or "") for t in texts]
-        get = self.known.get  # learning may start an empty memory; this batch goes on with the old one
-        ids = [list(map(get, rest)) for _, *rest in cut]
-        missing = {p for (_, *rest), got in zip(cut, ids) if None in got for p, i in zip(rest, got) if i is None}
-        found = {p[1:]: i for p, i in self.ids_of([" " + p for p in missing]).items()}
-        first = self.ids_of({pieces[0] for pieces in cut if pieces[0]})
+        cut = [cut_pieces(t or "") for t in texts]
+        get = self.known.get
+        ids, gaps = [list(map(get, rest)) for _, rest in cut], []
+        for (_, rest), got in zip(cut, ids):
+            at = -1
+            for _ in range(got.count(None)):
+                at = got.index(None, at + 1)
+                gaps.append((got, at, rest[at]))
+        missing = {p for _, _, p in gaps}
+        found = {p: self.older[p] for p in missing if p in self.older}
+        found.update(self.ids_of(missing.difference(found)))
+        for got, at, p in gaps:
+            got[at] = found[p]
+        first = self.ids_of({p for p, _ in cut if p}, blank=False)
         first[""] = b""
         short = {p: i for p, i in found.items() if len(p) < KEPT_LENGTH}
-        if len(self.known) + len(short) > KEPT_PIECES:
-            self.known = {}
-        if len(short) <= KEPT_PIECES:
+        if len(self.known) + len(short) > KEPT_PIECES // 2:  # the pieces in use come back from the older half
+            self.known, self.older = {}, self.known
+        if len(short) <= KEPT_PIECES // 2:
             self.known.update(short)
-        return [first[pieces[0]] + b"".join([i or found[p] for p, i in zip(pieces[1:], got)] if None in got else got)
-                for pieces, got in zip(cut, ids)]
+        return [first[p] + b"".join(got) for (p, _), got in zip(cut, ids)]
 
     def decode(self, ids):
         return self.tokenizer.decode(list(ids), skip_special_tokens=False)
