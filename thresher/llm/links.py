@@ -81,10 +81,11 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("a", "b")).alias("item"), F.col("b").alias("component")).distinct()
 
 
-def runs_of(postings: DataFrame, percent) -> DataFrame:
+def runs_of(postings: DataFrame, percent, copies=False) -> DataFrame:
     """Postings of the keys that more than one item has, each with its leader.
 
-    Rows stream through sorted by key; one key and leader are held at a time.
+    With `copies`, keys that one item has more than once count too. Rows stream through
+    sorted by key; one key and leader are held at a time.
     """
 
     def run(batches):
@@ -102,6 +103,9 @@ def runs_of(postings: DataFrame, percent) -> DataFrame:
                     key, leader, leader_size, waiting, last = k, item, size, (k, item, size, item), item
                     continue
                 if item == last:
+                    if copies and waiting:
+                        out.append(waiting)
+                        waiting = None
                     continue
                 last = item
                 if not lowest(leader_size, size, percent):
@@ -175,20 +179,16 @@ def compared(pairs: DataFrame, sets: DataFrame, percent) -> DataFrame:
     return ordered.mapInArrow(run, FOUND)
 
 
-def linked(postings: DataFrame, fetch, percent) -> DataFrame:
+def linked(runs: DataFrame, compare, percent) -> DataFrame:
     """(item, component) of all items that have a link.
 
-    `postings` (key, item, size) holds every key a set can be found by; `fetch` takes a
-    DataFrame of items and gives their (item, hashes).
+    `runs` is what :func:`runs_of` gives, written; `compare` takes pairs (a, b) and gives
+    those that are similar.
     """
-    runs = pinned(runs_of(postings, percent))
-    sets = pinned(fetch(runs.select("item").distinct()))
     star = pinned(runs.filter("item <> leader").select(F.col("leader").alias("a"), F.col("item").alias("b")).distinct())
-    links = pinned(compared(star, sets, percent))
-    found = components(links)
-    placed = runs.select("key", "item", "size").join(found.withColumnRenamed("item", "of"), F.col("item") == F.col("of"), "left").select(
-        "key", "item", "size", F.coalesce("component", "item").alias("component"))
-    placed = pinned(placed)
+    found = components(pinned(compare(star)))
+    placed = pinned(runs.join(found.withColumnRenamed("item", "of"), F.col("item") == F.col("of"), "left").select(
+        "key", "item", "size", F.coalesce("component", "item").alias("component")))
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(F.col("key").alias("split_key"))
     apart = placed.join(split, F.col("key") == F.col("split_key")).select("key", "item", "size", "component")
     other = apart.toDF("other_key", "other", "other_size", "other_component")
@@ -198,7 +198,38 @@ def linked(postings: DataFrame, fetch, percent) -> DataFrame:
     seen = star.select(F.col("a").alias("seen_a"), F.col("b").alias("seen_b"))
     seen = seen.union(seen.select("seen_b", "seen_a"))
     rest = pinned(rest.join(seen, (F.col("a") == F.col("seen_a")) & (F.col("b") == F.col("seen_b")), "left_anti"))
-    more = pinned(compared(rest, sets, percent))
+    more = pinned(compare(rest))
     if more.isEmpty():
         return found
     return components(found.select(F.col("item").alias("a"), F.col("component").alias("b")).union(more))
+
+
+# Bits of a table of wanted rows that is sent to every task.
+BITS = 1 << 23
+BITS_PER_CHUNK = 1 << 15
+
+
+def bit_table(hashes):
+    """A table of BITS bits, packed, in which the bits of a one-column DataFrame of longs are set."""
+
+    def run(batches):
+        totals = {}
+        for one in batches:
+            spots = one.column(0).to_numpy()
+            for chunk in np.unique(spots // BITS_PER_CHUNK).tolist():
+                bits = totals.setdefault(chunk, np.zeros(BITS_PER_CHUNK, bool))
+                bits[spots[spots // BITS_PER_CHUNK == chunk] % BITS_PER_CHUNK] = True
+        yield batch(arrow("chunk int, bits binary"), list(totals), [np.packbits(b).tobytes() for b in totals.values()])
+
+    spots = hashes.toDF("hash").select(F.pmod("hash", F.lit(BITS)).cast("long").alias("spot")).distinct()
+    dealt = spots.repartition((F.col("spot") / BITS_PER_CHUNK).cast("int"))
+    table = np.zeros((BITS // BITS_PER_CHUNK, BITS_PER_CHUNK // 8), np.uint8)
+    for row in dealt.mapInArrow(run, "chunk int, bits binary").collect():  # BITS / 8 bytes in all
+        table[row["chunk"]] |= np.frombuffer(row["bits"], np.uint8)
+    return table.ravel()
+
+
+def told(table, hashes):
+    """Which of an array of longs may be in a bit table."""
+    spots = np.mod(hashes, BITS)
+    return (table[spots >> 3] >> (7 - (spots & 7)).astype(np.uint8)) & 1 == 1

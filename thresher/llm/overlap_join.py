@@ -6,7 +6,8 @@ are divided: its n - T + 1 shortest inverted lists are merged, which a partner m
 occur in at least once, and the T - 1 longest are never merged but probed by binary
 search for the partners found. Which lists are short is told by a table of counts of
 fixed size that n-grams are hashed to; a wrong count makes a list longer, never a link
-lost, since any one order of the n-grams gives the same result.
+lost, since any one order of the n-grams gives the same result. Partners whose parity
+sketches differ too much to be linked are dropped before their sets are fetched.
 
 Documents with equal sets are one class, found by a digest, and take part once. Null,
 empty and blank texts have an empty set and no links. Repeated doc_ids are separate rows.
@@ -16,9 +17,10 @@ Only doc_id and text are read of the input.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from thresher.llm.links import linked
+from thresher.llm.links import bit_table, compared, linked, runs_of, told
 from thresher.llm.registry import query, table
 from thresher.llm.texts import arrow, batch, digest, shingles, signed, slices, word_hashes, words_of
 from thresher.session import pinned
@@ -28,7 +30,9 @@ PERCENT = 85
 # Cells of the count table; its logarithms, a byte each, are what is broadcast.
 CELL_BITS = 20
 CELLS_PER_CHUNK = 4096
-SURVEY = "doc_id long, item long, size long, chunk int, cells binary, counts binary"
+SURVEY = "doc_id long, item long, size long, sketch binary, chunk int, cells binary, counts binary"
+# Bits of a set's sketch; it rules out most chance partners of sets of up to about 2.5 times as many elements.
+SKETCH_BITS = 1024
 
 
 def set_of(text, words):
@@ -46,17 +50,18 @@ def surveyed(documents: DataFrame, words) -> DataFrame:
     def run(batches):
         schema, counts = arrow(SURVEY), np.zeros(1 << CELL_BITS, np.int64)
         for one in slices(batches):
-            ids, items, sizes = one.column(0).to_pylist(), [], []
+            ids, items, sizes, sketches = one.column(0).to_pylist(), [], [], []
             for text in one.column(1):
                 hashes = set_of(text.as_py(), words)
                 np.add.at(counts, hashes & np.uint64((1 << CELL_BITS) - 1), 1)
                 items.append(item_of(hashes))
                 sizes.append(len(hashes))
-            yield batch(schema, ids, items, sizes, *[[None] * len(ids)] * 3)
+                sketches.append(np.packbits(np.bincount(hashes.astype(np.int64) & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1).tobytes())
+            yield batch(schema, ids, items, sizes, sketches, *[[None] * len(ids)] * 3)
         table = counts.reshape(-1, CELLS_PER_CHUNK)
-        rows = [(None, None, None, c, np.flatnonzero(table[c]).astype("<u2").tobytes(), table[c][table[c] > 0].astype("<i8").tobytes())
+        rows = [(None, None, None, None, c, np.flatnonzero(table[c]).astype("<u2").tobytes(), table[c][table[c] > 0].astype("<i8").tobytes())
                 for c in np.flatnonzero(table.any(axis=1)).tolist()]
-        yield batch(schema, *(zip(*rows) if rows else [[]] * 6))
+        yield batch(schema, *(zip(*rows) if rows else [[]] * 7))
 
     return documents.select("doc_id", "text").mapInArrow(run, SURVEY)
 
@@ -106,34 +111,68 @@ def short_lists(documents: DataFrame, ranks, words, percent) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "key long, item long, size long")
 
 
-def sets_of(documents: DataFrame, classes: DataFrame, wanted: DataFrame, words) -> DataFrame:
-    """(item, hashes) of the wanted classes, each made again from the text of its first document."""
+def alike(pairs: DataFrame, classes: DataFrame, percent) -> DataFrame:
+    """The pairs whose sketches do not rule out a link.
+
+    A sketch has one bit per cell, the parity of the elements in it, so sketches of two
+    sets differ in no more bits than the sets do in elements.
+    """
+
+    def run(batches):
+        for one in batches:
+            a, b = (np.frombuffer(b"".join(one.column(i).to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64) for i in (2, 3))
+            differ = np.bitwise_count(a ^ b).sum(axis=1)
+            sizes = one.column(4).to_numpy()
+            # intersection >= t * union is the same as difference * (1 + t) <= (1 - t) * (sum of sizes)
+            keep = differ * (100 + percent) <= (100 - percent) * sizes
+            yield one.filter(pa.array(keep)).select([0, 1])
+
+    left = classes.select(F.col("item").alias("of_a"), F.col("sketch").alias("sketch_a"), F.col("size").alias("size_a"))
+    right = classes.select(F.col("item").alias("of_b"), F.col("sketch").alias("sketch_b"), F.col("size").alias("size_b"))
+    both = pairs.join(left, F.col("a") == F.col("of_a")).join(right, F.col("b") == F.col("of_b"))
+    return both.select("a", "b", "sketch_a", "sketch_b", (F.col("size_a") + F.col("size_b")).alias("sizes")).mapInArrow(run, "a long, b long")
+
+
+def sets_of(documents: DataFrame, wanted: DataFrame, words) -> DataFrame:
+    """(item, hashes) of the wanted (item, first), made again from the texts of these documents.
+
+    A bit table of fixed size tells the documents, so that no other text is looked at or
+    shuffled; what it lets through by chance is joined away.
+    """
+    spark = documents.sparkSession
+    ids = F.xxhash64("doc_id").alias("hash")
+    shared = spark.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64("first"))))
 
     def run(batches):
         schema = arrow("item long, hashes binary")
         for one in slices(batches):
             found = {}
-            for text in one.column(0):
-                hashes = set_of(text.as_py(), words)
+            for i in np.flatnonzero(told(shared.value, one.column(0).to_numpy())):
+                hashes = set_of(one.column(1)[i].as_py(), words)
                 found[item_of(hashes)] = hashes.tobytes()
             yield batch(schema, list(found), list(found.values()))
 
-    first = classes.join(wanted.withColumnRenamed("item", "wanted"), F.col("item") == F.col("wanted"), "left_semi").select(F.col("first").alias("wanted_id"))
-    texts = documents.select("doc_id", "text").join(first, F.col("doc_id") == F.col("wanted_id"), "left_semi").select("text")
-    # A repeated doc_id brings other texts along; only one row per class is kept.
-    return texts.mapInArrow(run, "item long, hashes binary").groupBy("item").agg(F.first("hashes").alias("hashes"))
+    made = documents.select(ids, "text").mapInArrow(run, "item long, hashes binary")
+    return made.join(wanted.select(F.col("item").alias("wanted")), F.col("item") == F.col("wanted"), "left_semi")
 
 
 def near_duplicates(documents: DataFrame, words=WORDS, percent=PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id it is linked with, over any steps)."""
     survey = pinned(surveyed(documents, words))
-    rows = survey.filter("chunk is null").select("doc_id", "item", "size")
-    classes = pinned(rows.filter("item is not null").groupBy("item").agg(F.min("doc_id").alias("first")))
-    postings = short_lists(documents, cell_ranks(survey), words, percent)
-    found = linked(postings, lambda wanted: sets_of(documents, classes, wanted, words), percent)
-    placed = classes.join(found.withColumnRenamed("item", "of"), F.col("item") == F.col("of"), "left").select(
-        "item", "first", F.coalesce("component", "item").alias("component"))
-    placed = pinned(placed)
+    rows = survey.filter("chunk is null").select("doc_id", "item", "size", "sketch")
+    classes = pinned(rows.filter("item is not null").groupBy("item").agg(
+        F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"), F.first("size").alias("size")))
+    runs = pinned(runs_of(short_lists(documents, cell_ranks(survey), words, percent), percent))
+
+    def compare(pairs):
+        pairs = pinned(alike(pairs, classes, percent))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+        wanted = pinned(classes.join(ends, F.col("item") == F.col("end"), "left_semi").select("item", "first"))
+        return compared(pairs, pinned(sets_of(documents, wanted, words)), percent)
+
+    found = linked(runs, compare, percent)
+    placed = pinned(classes.join(found.withColumnRenamed("item", "of"), F.col("item") == F.col("of"), "left").select(
+        "item", "first", F.coalesce("component", "item").alias("component")))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     named = placed.join(least.withColumnRenamed("component", "of"), F.col("component") == F.col("of")).select(
         F.col("item").alias("of"), "component_id")
