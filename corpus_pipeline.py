@@ -1,25 +1,50 @@
 """From raw documents to packed sequences, stage by stage.
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet
-and read back as the next stage's docs.
+and read back as the next stage's docs. All but the last return the columns of docs.
 """
 
 from __future__ import annotations
 
-from thresher.llm import packing
+from thresher.llm import contamination, host_rules, overlap_join, packing, passages
 from thresher.llm.registry import Query, table
 from thresher.session import pinned
 
 
+def quality_rules(spark, docs, sf_dir):
+    """Documents that the rules, or the rules applied to their host, reject go."""
+    return host_rules.kept_documents(docs)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """Of each group of near duplicates the document with the least doc_id stays."""
+    return overlap_join.first_documents(docs)
+
+
+def substring_dedup(spark, docs, sf_dir):
+    """Passages that an earlier document has are cut out of the texts."""
+    return passages.deduplicated(docs)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents that hold a benchmark item go."""
+    return contamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
 def best_fit_packing(spark, docs, sf_dir):
+    """Token pieces and their places in sequences."""
     return packing.pack(docs)
 
 
 STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", decontamination),
     ("best-fit packing", best_fit_packing),
 ]
 
-# Tokenizing and packing have no SQL form; tests/llm compares run() with a brute-force version.
+# Tokenizing and packing have no SQL form; tests/llm compares the stages with brute-force versions.
 ORACLE_SQL = None
 
 

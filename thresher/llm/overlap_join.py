@@ -180,6 +180,21 @@ def near_duplicates(documents: DataFrame, words=WORDS, percent=PERCENT) -> DataF
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def first_documents(documents: DataFrame, words=WORDS, percent=PERCENT) -> DataFrame:
+    """The documents whose doc_id is that of their component.
+
+    Repeated rows are one document; rows that share a doc_id and differ in text all stay.
+    """
+    named = pinned(near_duplicates(documents, words, percent))
+    gone = named.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    twice = named.groupBy(F.col("doc_id").alias("_twice")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_twice")
+    if twice.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("_twice"))
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 @query()
 def op10_overlap_join(spark, sf_dir):
     """The component of every document."""
