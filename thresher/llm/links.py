@@ -10,6 +10,7 @@ So no link between different components is lost, and none inside a component is
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from thresher.llm.texts import arrow, batch
@@ -179,25 +180,96 @@ def compared(pairs: DataFrame, sets: DataFrame, percent) -> DataFrame:
     return ordered.mapInArrow(run, FOUND)
 
 
-def linked(runs: DataFrame, compare, percent) -> DataFrame:
+def sketch(hashes, bits):
+    """The parity of the number of elements in each of `bits` cells.
+
+    Sketches of two sets differ in no more bits than the sets do in elements.
+    """
+    return np.packbits(np.bincount(hashes.astype(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def sketched(column):
+    """Sketches of an Arrow column as rows of bytes."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+
+
+def may_link(differ, sizes, percent):
+    """Whether sets whose sketches differ in so many bits can have the similarity; `sizes` is the sum of theirs."""
+    return differ * (100 + percent) <= (100 - percent) * sizes
+
+
+def alike(pairs: DataFrame, sketches: DataFrame, percent) -> DataFrame:
+    """The pairs (a, b) that their sketches (item, size, sketch) do not rule out."""
+
+    def run(batches):
+        for one in batches:
+            differ = np.bitwise_count(sketched(one.column(2)) ^ sketched(one.column(3))).sum(axis=1, dtype=np.int64) if one.num_rows else np.empty(0)
+            yield one.filter(pa.array(may_link(differ, one.column(4).to_numpy(), percent))).select([0, 1])
+
+    side = lambda end: sketches.select(F.col("item").alias(f"of_{end}"), F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}"))
+    both = pairs.join(side("a"), F.col("a") == F.col("of_a")).join(side("b"), F.col("b") == F.col("of_b"))
+    return both.select("a", "b", "sketch_a", "sketch_b", (F.col("size_a") + F.col("size_b")).alias("sizes")).mapInArrow(run, FOUND)
+
+
+def apart(placed: DataFrame, percent) -> DataFrame:
+    """The pairs of one key and different components that sizes and sketches do not rule out.
+
+    `placed` is (key, size, item, component, sketch). Rows stream through sorted by key and
+    size; of a key, only the rows not yet too small for the next one are held, and pairs
+    are dropped where they are made.
+    """
+
+    def run(batches):
+        schema = arrow(FOUND)
+        last, window = None, None
+        for one in batches:
+            keys = one.column(0).to_numpy()
+            columns = [one.column(i).to_numpy() for i in (1, 2, 3)] + [sketched(one.column(4)) if one.num_rows else np.empty((0, 1), np.uint8)]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+            found = []
+            for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if start == end:
+                    continue
+                rows = [c[start:end] for c in columns]
+                before = 0
+                if keys[start] == last:
+                    before = len(window[0])
+                    rows = [np.concatenate([w, r]) for w, r in zip(window, rows)]
+                sizes, items, kinds, prints = rows
+                least = np.searchsorted(sizes, (sizes * percent + 99) // 100)
+                for i in range(before, len(sizes)):
+                    other = np.flatnonzero(kinds[least[i]:i] != kinds[i]) + least[i]
+                    if len(other):
+                        differ = np.bitwise_count(prints[other] ^ prints[i]).sum(axis=1, dtype=np.int64)
+                        found += [(int(items[i]), int(items[j])) for j in other[may_link(differ, sizes[other] + sizes[i], percent)]]
+                last, window = keys[start], [r[least[-1]:] for r in rows]
+            found = list(set(found))
+            yield batch(schema, *(zip(*found) if found else [[]] * 2))
+
+    ordered = placed.select("key", "size", "item", "component", "sketch").repartition("key").sortWithinPartitions("key", "size", "item")
+    return ordered.mapInArrow(run, FOUND).distinct()
+
+
+def linked(runs: DataFrame, sketches: DataFrame, compare, percent) -> DataFrame:
     """(item, component) of all items that have a link.
 
-    `runs` is what :func:`runs_of` gives, written; `compare` takes pairs (a, b) and gives
-    those that are similar.
+    `runs` is what :func:`runs_of` gives, written; `sketches` is (item, size, sketch) of its
+    items; `compare` takes pairs (a, b) and gives those that are similar.
     """
-    star = pinned(runs.filter("item <> leader").select(F.col("leader").alias("a"), F.col("item").alias("b")).distinct())
-    found = components(pinned(compare(star)))
+    star_pairs = runs.filter("item <> leader").select(F.col("leader").alias("a"), F.col("item").alias("b")).distinct()
+    seen = pinned(alike(star_pairs, sketches, percent))
+    found = components(pinned(compare(seen)))
     placed = pinned(runs.join(found.withColumnRenamed("item", "of"), F.col("item") == F.col("of"), "left").select(
         "key", "item", "size", F.coalesce("component", "item").alias("component")))
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(F.col("key").alias("split_key"))
-    apart = placed.join(split, F.col("key") == F.col("split_key")).select("key", "item", "size", "component")
-    other = apart.toDF("other_key", "other", "other_size", "other_component")
-    near = (F.col("key") == F.col("other_key")) & (F.col("component") < F.col("other_component"))
-    near &= lowest(F.least("size", "other_size"), F.greatest("size", "other_size"), percent)
-    rest = apart.join(other, near).select(F.col("item").alias("a"), F.col("other").alias("b")).distinct()
-    seen = star.select(F.col("a").alias("seen_a"), F.col("b").alias("seen_b"))
+    rest = placed.join(split, F.col("key") == F.col("split_key"), "left_semi")
+    rest = apart(rest.join(sketches.select(F.col("item").alias("of"), "sketch"), F.col("item") == F.col("of")), percent)
+    seen = seen.select(F.col("a").alias("seen_a"), F.col("b").alias("seen_b"))
     seen = seen.union(seen.select("seen_b", "seen_a"))
     rest = pinned(rest.join(seen, (F.col("a") == F.col("seen_a")) & (F.col("b") == F.col("seen_b")), "left_anti"))
+    if rest.isEmpty():
+        return found
     more = pinned(compare(rest))
     if more.isEmpty():
         return found

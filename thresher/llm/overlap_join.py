@@ -17,18 +17,17 @@ Only doc_id and text are read of the input.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from thresher.llm.links import bit_table, compared, linked, runs_of, told
+from thresher.llm.links import bit_table, compared, linked, runs_of, sketch, told
 from thresher.llm.registry import query, table
 from thresher.llm.texts import arrow, batch, digest, shingles, signed, slices, word_hashes, words_of
 from thresher.session import pinned
 
 WORDS = 4
 PERCENT = 85
-# Cells of the count table; its logarithms, a byte each, are what is broadcast.
-CELL_BITS = 20
+# Cells of the count table that is broadcast, two bytes each.
+CELL_BITS = 21
 CELLS_PER_CHUNK = 4096
 SURVEY = "doc_id long, item long, size long, sketch binary, chunk int, cells binary, counts binary"
 # Bits of a set's sketch; it rules out most chance partners of sets of up to about 2.5 times as many elements.
@@ -56,10 +55,10 @@ def surveyed(documents: DataFrame, words) -> DataFrame:
                 np.add.at(counts, hashes & np.uint64((1 << CELL_BITS) - 1), 1)
                 items.append(item_of(hashes))
                 sizes.append(len(hashes))
-                sketches.append(np.packbits(np.bincount(hashes.astype(np.int64) & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1).tobytes())
+                sketches.append(sketch(hashes, SKETCH_BITS))
             yield batch(schema, ids, items, sizes, sketches, *[[None] * len(ids)] * 3)
         table = counts.reshape(-1, CELLS_PER_CHUNK)
-        rows = [(None, None, None, None, c, np.flatnonzero(table[c]).astype("<u2").tobytes(), table[c][table[c] > 0].astype("<i8").tobytes())
+        rows = [(None, None, None, None, c, np.flatnonzero(table[c]).astype("<u2").tobytes(), table[c][table[c] > 0].astype("<u4").tobytes())
                 for c in np.flatnonzero(table.any(axis=1)).tolist()]
         yield batch(schema, *(zip(*rows) if rows else [[]] * 7))
 
@@ -67,21 +66,21 @@ def surveyed(documents: DataFrame, words) -> DataFrame:
 
 
 def cell_ranks(survey: DataFrame):
-    """Eight times the logarithm of each cell's count, a byte per cell; fixed in size."""
+    """The count of each cell, as far as two bytes tell it; fixed in size."""
 
     def run(batches):
         totals = {}
         for one in batches:
             for chunk, cells, counts in zip(*(one.column(i).to_pylist() for i in range(3))):
                 total = totals.setdefault(chunk, np.zeros(CELLS_PER_CHUNK, np.int64))
-                total[np.frombuffer(cells, "<u2")] += np.frombuffer(counts, "<i8")
+                total[np.frombuffer(cells, "<u2")] += np.frombuffer(counts, "<u4")
         yield batch(arrow("chunk int, ranks binary"), list(totals), [
-            np.minimum(255, 4 * np.log2(t + 1)).astype(np.uint8).tobytes() for t in totals.values()])
+            np.minimum(t, 65535).astype(np.uint16).tobytes() for t in totals.values()])
 
     parts = survey.filter("chunk is not null").select("chunk", "cells", "counts").repartition("chunk")
-    ranks = np.zeros((1 << CELL_BITS) // CELLS_PER_CHUNK * CELLS_PER_CHUNK, np.uint8).reshape(-1, CELLS_PER_CHUNK)
+    ranks = np.zeros(((1 << CELL_BITS) // CELLS_PER_CHUNK, CELLS_PER_CHUNK), np.uint16)
     for row in parts.mapInArrow(run, "chunk int, ranks binary").collect():
-        ranks[row["chunk"]] = np.frombuffer(row["ranks"], np.uint8)
+        ranks[row["chunk"]] = np.frombuffer(row["ranks"], np.uint16)
     return ranks.ravel()
 
 
@@ -111,28 +110,6 @@ def short_lists(documents: DataFrame, ranks, words, percent) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "key long, item long, size long")
 
 
-def alike(pairs: DataFrame, classes: DataFrame, percent) -> DataFrame:
-    """The pairs whose sketches do not rule out a link.
-
-    A sketch has one bit per cell, the parity of the elements in it, so sketches of two
-    sets differ in no more bits than the sets do in elements.
-    """
-
-    def run(batches):
-        for one in batches:
-            a, b = (np.frombuffer(b"".join(one.column(i).to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64) for i in (2, 3))
-            differ = np.bitwise_count(a ^ b).sum(axis=1)
-            sizes = one.column(4).to_numpy()
-            # intersection >= t * union is the same as difference * (1 + t) <= (1 - t) * (sum of sizes)
-            keep = differ * (100 + percent) <= (100 - percent) * sizes
-            yield one.filter(pa.array(keep)).select([0, 1])
-
-    left = classes.select(F.col("item").alias("of_a"), F.col("sketch").alias("sketch_a"), F.col("size").alias("size_a"))
-    right = classes.select(F.col("item").alias("of_b"), F.col("sketch").alias("sketch_b"), F.col("size").alias("size_b"))
-    both = pairs.join(left, F.col("a") == F.col("of_a")).join(right, F.col("b") == F.col("of_b"))
-    return both.select("a", "b", "sketch_a", "sketch_b", (F.col("size_a") + F.col("size_b")).alias("sizes")).mapInArrow(run, "a long, b long")
-
-
 def sets_of(documents: DataFrame, wanted: DataFrame, words) -> DataFrame:
     """(item, hashes) of the wanted (item, first), made again from the texts of these documents.
 
@@ -165,12 +142,11 @@ def near_duplicates(documents: DataFrame, words=WORDS, percent=PERCENT) -> DataF
     runs = pinned(runs_of(short_lists(documents, cell_ranks(survey), words, percent), percent))
 
     def compare(pairs):
-        pairs = pinned(alike(pairs, classes, percent))
         ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
         wanted = pinned(classes.join(ends, F.col("item") == F.col("end"), "left_semi").select("item", "first"))
         return compared(pairs, pinned(sets_of(documents, wanted, words)), percent)
 
-    found = linked(runs, compare, percent)
+    found = linked(runs, classes.select("item", "size", "sketch"), compare, percent)
     placed = pinned(classes.join(found.withColumnRenamed("item", "of"), F.col("item") == F.col("of"), "left").select(
         "item", "first", F.coalesce("component", "item").alias("component")))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -13,7 +13,7 @@ others are removed if, with the linked paragraphs next to them, they make up at
 LEAST_WORDS words. Shorter repeats, such as licence lines, stay.
 
 Null, empty and blank texts have no paragraphs and stay as they are. Repeats inside one
-doc_id are left alone. Rows with equal doc_id and text are the same document and lose
+doc_id are left alone, and so are texts without a doc_id. Rows with equal doc_id and text are the same document and lose
 the same words. Columns other than doc_id and text travel along under their names.
 """
 
@@ -25,7 +25,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from thresher.llm.links import bit_table, compared, linked, runs_of, told
+from thresher.llm.links import bit_table, compared, linked, runs_of, sketch, told
 from thresher.llm.registry import query, table
 from thresher.llm.texts import arrow, batch, digest, mix, shingles, signed, slices, word_hashes, words_of
 from thresher.session import pinned
@@ -36,6 +36,7 @@ RECALL = 0.98
 ROWS = 2
 REACH = 5
 LEAST_WORDS = 15
+SKETCH_BITS = 64
 PLACES = "doc_id long, text_hash long, item long, block int, first int, words int, hashes binary"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -125,6 +126,12 @@ def places_of(documents: DataFrame, wanted: DataFrame, differing: DataFrame) ->
     return found.join(wanted.withColumnRenamed("item", "wanted"), F.col("item") == F.col("wanted"), "left_semi")
 
 
+def sketches_of(batches):
+    for one in batches:
+        prints = [sketch(np.frombuffer(h, np.uint64), SKETCH_BITS) for h in one.column(2).to_pylist()]
+        yield batch(arrow("item long, size long, sketch binary"), one.column(0), [n // 8 for n in one.column(1).to_pylist()], prints)
+
+
 def shared_passages(documents: DataFrame, percent=PERCENT, recall=RECALL, least_words=LEAST_WORDS) -> DataFrame:
     """One row per run of linked paragraphs of a document.
 
@@ -132,13 +139,15 @@ def shared_passages(documents: DataFrame, percent=PERCENT, recall=RECALL, least_
     of the paragraphs), removed (false for the copy that stays).
     """
     bands = bands_for(percent, recall)
+    documents = documents.filter("doc_id is not null")
     runs = pinned(runs_of(postings(documents, bands, ROWS), percent, copies=True))
     wanted = pinned(runs.select("item").distinct())
     differing = pinned(runs.groupBy("key").agg(F.min("item").alias("low"), F.max("item").alias("high")).filter("low <> high")
                        .select(F.col("key").alias("of")).join(runs, F.col("of") == F.col("key")).select("key", "item", "size", "leader"))
     places = pinned(places_of(documents, wanted, differing.select("item")))
     sets = pinned(places.filter("hashes is not null").groupBy("item").agg(F.first("hashes").alias("hashes")))
-    found = linked(differing, lambda pairs: compared(pairs, sets, percent), percent)
+    sketches = sets.select("item", F.length("hashes").cast("long").alias("bytes"), "hashes").mapInArrow(sketches_of, "item long, size long, sketch binary")
+    found = linked(differing, pinned(sketches), lambda pairs: compared(pairs, sets, percent), percent)
     named = places.join(found.withColumnRenamed("item", "of"), F.col("item") == F.col("of"), "left").select(
         "doc_id", "text_hash", "block", "first", "words", F.coalesce("component", "item").alias("component"))
     named = pinned(named)

@@ -17,7 +17,8 @@ only the rows of the attempt that Spark commits are kept, so a lost executor or
 speculative copy leaves at most files that nothing refers to.
 
 Null texts are empty documents (the end id alone); empty tables give no files. Other
-columns of the input are ignored. Repeated doc_ids stay separate records.
+columns of the input are ignored. Repeated doc_ids stay separate records; a null one is
+written as 0.
 """
 
 from __future__ import annotations
@@ -163,7 +164,7 @@ def write_files(batches, folder, vocabulary):
         state["tokens"] += int(counts.sum())
 
     waiting, held = [], 0
-    for one in slices(batches, 500):
+    for one in slices(batches):
         for doc_id, ids in zip(one.column(0).to_pylist(), encode(one.column(1).to_pylist())):
             waiting.append(int(doc_id or 0).to_bytes(8, "little", signed=True) + ids + END)
             held += len(waiting[-1])

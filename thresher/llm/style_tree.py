@@ -9,7 +9,7 @@ below IMPORTANCE are removed from every page of the host.
 
 Entropy cannot tell an advert that changes from page to page, so nodes whose tag or
 presentation names a role (menu, footer, advert, form, comments and so on) are removed
-whatever their entropy, and so are blocks that are links for the most part. A page with
+whatever their entropy, and so are lists, tables and paragraphs that are mostly links. A page with
 an article or main element is reduced to it first, and inside it only named roles go.
 
 Counts are totalled per host, node and value before any row of a host meets another, so
@@ -166,7 +166,7 @@ def main_text(source, removed):
             continue
         if one.noise and one not in found:
             continue
-        if not inside and one is not root and (hashed(one.path) in removed or one.tag in ("ul", "ol", "table", "div", "p", "section") and link_share(one) > LINK_SHARE):
+        if not inside and one is not root and (hashed(one.path) in removed or one.tag in ("ul", "ol", "dl", "table", "p") and link_share(one) > LINK_SHARE):
             continue
         apart = one.tag not in INLINE
         todo += ([" "] if apart else []) + one.children[::-1] + ([" "] if apart else [])

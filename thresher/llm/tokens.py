@@ -2,24 +2,26 @@
 
 A text is cut before every blank that a visible ASCII character or Latin letter follows. The
 tokenizer's own pre-tokenization always has a border there, so the pieces encode to
-the same ids as the whole text, and the ids of a piece are remembered.
+the same ids as the whole text, and the ids of frequent pieces are remembered.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 ID_TYPE = np.dtype("<u2")  # of the default vocabulary: 50,257 ids
-KEPT_PIECES = 1_200_000
+KEPT_PIECES = 400_000
 KEPT_LENGTH = 64
+KEPT_TAILS = 50_000
 CUT = re.compile(r" (?=[!-~\u00a1-\u02ff])")
 # A blank and another white space: no border where there is one of these.
 WHITE_PAIRS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c", " \x85", " \xa0")
@@ -27,20 +29,18 @@ WHITE_PAIRS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c", " \x85", " \xa0")
 # the model alone then gives their ids, at half the cost.
 LATIN = re.compile(r"[\n -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-MARKS = ".,"
 # Byte-level vocabularies show a byte as a visible character: itself, or one from U+0100 on.
 HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
 VISIBLE = {b: 256 + i for i, b in enumerate(HIDDEN)}
 
 
-def cut_pieces(text):
-    """The first piece of a text, and the others without the blank they begin with."""
+def is_simple(text):
+    """Whether every blank of a text is a border."""
     try:
-        simple = not any(pair in text for pair in WHITE_PAIRS) and text.encode("latin-1") is not None
+        text.encode("latin-1")
     except UnicodeEncodeError:
-        simple = False
-    first, *rest = text.split(" ") if simple else CUT.split(text)
-    return first, rest
+        return False
+    return not any(pair in text for pair in WHITE_PAIRS)
 
 
 def vocabulary_path(name=VOCABULARY):
@@ -50,7 +50,7 @@ def vocabulary_path(name=VOCABULARY):
 
 
 class Encoder:
-    """Encodes texts to little-endian bytes of ids; keeps at most KEPT_PIECES pieces."""
+    """Encodes texts to little-endian bytes of ids; keeps about KEPT_PIECES pieces."""
 
     def __init__(self, path):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -60,58 +60,94 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.tokenizer.get_vocab_size() > np.iinfo(ID_TYPE).max:
             raise ValueError("the record format holds ids below 65,536")
-        self.marks = {m: self.one(m, False) for m in MARKS}
-        self.known, self.older = {}, {}  # by piece, without the blank it begins with
-
-    def one(self, word, blank):
-        """The ids of one pre-token: the letters of a word, with a blank in front or none, or any other."""
-        shown = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(VISIBLE)
-        ids = [t.id for t in self.tokenizer.model.tokenize("\u0120" + shown if blank else shown)]
-        return ids[0].to_bytes(2, "little") if len(ids) == 1 else array("H", ids).tobytes()
+        self.model = Tokenizer(self.tokenizer.model)  # without its pre-tokenization
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.tokenizer.get_vocab_size())])
+        self.tails = {}
+        self.known = {}  # by piece, without the blank it begins with
+
+    def tail(self, word):
+        """The ids of one pre-token."""
+        ids = self.tails.get(word)
+        if ids is None:
+            shown = word.encode().decode("latin-1").translate(VISIBLE)
+            ids = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], ID_TYPE).tobytes()
+            if len(self.tails) < KEPT_TAILS:
+                self.tails[word] = ids
+        return ids
+
+    def words(self, words):
+        """The ids of words of letters, each with a blank in front, as a list.
+
+        Only the first token of such a word shows the blank, which tells the words apart.
+        """
+        shown = ["\u0120" + (w if w.isascii() else w.encode().decode("latin-1").translate(VISIBLE)) for w in words]
+        out = []
+        for start in range(0, len(shown), 10_000):
+            ids = np.array(self.model.encode_batch_fast([shown[start:start + 10_000]], is_pretokenized=True, add_special_tokens=False)[0].ids, ID_TYPE)
+            cuts = (2 * np.flatnonzero(self.begins[ids])).tolist() + [2 * len(ids)]
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
 
     def ids_of(self, pieces, blank=True):
         """A map from each of the pieces to its ids, with a blank in front of each or none."""
-        found, other, known, one = {}, [], self.known if blank else {}, self.one
+        found, other, plain = {}, [], {}
         for p in pieces:
             if len(p) > KEPT_LENGTH or not LATIN.fullmatch(p):
                 other.append(p)
-            elif p.isalpha():
-                found[p] = one(p, blank)
-            elif p and p[-1] in MARKS and p[:-1].isalpha():
-                found[p] = (known.get(p[:-1]) or one(p[:-1], blank)) + self.marks[p[-1]]
+            elif blank and p.isalpha():
+                plain[p] = p, b""
             else:
-                words = WORD.findall(" " + p if blank else p)
-                found[p] = b"".join([one(w, False) for w in words])
+                first, *rest = WORD.findall(" " + p if blank else p)
+                if blank and first[1:].isalpha():
+                    plain[p] = first[1:], b"".join(map(self.tail, rest))
+                else:
+                    found[p] = b"".join(map(self.tail, [first, *rest]))
+        if plain:
+            found.update((p, ids + tail) for (p, (_, tail)), ids in zip(plain.items(), self.words([w for w, _ in plain.values()])))
         for start in range(0, len(other), 20_000):
             part = other[start:start + 20_000]
             whole = [" " + p for p in part] if blank else part
             for p, e in zip(part, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
-                found[p] = array("H", e.ids).tobytes()
+                found[p] = np.array(e.ids, ID_TYPE).tobytes()
         return found
 
+    def found(self, pieces, counts):
+        """The ids of distinct pieces, with a blank in front, as a list; remembers those that came more than once."""
+        ids = list(map(self.known.get, pieces))
+        fresh = self.ids_of([p for p, i in zip(pieces, ids) if i is None])
+        if len(self.known) > KEPT_PIECES:
+            self.known = {}
+        self.known.update((p, fresh[p]) for p, i, n in zip(pieces, ids, counts) if i is None and n > 1 and len(p) < KEPT_LENGTH)
+        return [fresh[p] if i is None else i for p, i in zip(pieces, ids)]
+
     def encode_all(self, texts):
-        """The ids of each text, as bytes; none of an empty one or a null."""
-        cut = [cut_pieces(t or "") for t in texts]
-        get = self.known.get
-        ids, gaps = [list(map(get, rest)) for _, rest in cut], []
-        for (_, rest), got in zip(cut, ids):
-            at = -1
-            for _ in range(got.count(None)):
-                at = got.index(None, at + 1)
-                gaps.append((got, at, rest[at]))
-        missing = {p for _, _, p in gaps}
-        found = {p: self.older[p] for p in missing if p in self.older}
-        found.update(self.ids_of(missing.difference(found)))
-        for got, at, p in gaps:
-            got[at] = found[p]
-        first = self.ids_of({p for p, _ in cut if p}, blank=False)
-        first[""] = b""
-        short = {p: i for p, i in found.items() if len(p) < KEPT_LENGTH}
-        if len(self.known) + len(short) > KEPT_PIECES // 2:  # the pieces in use come back from the older half
-            self.known, self.older = {}, self.known
-        if len(short) <= KEPT_PIECES // 2:
-            self.known.update(short)
-        return [first[p] + b"".join(got) for (p, _), got in zip(cut, ids)]
+        """The ids of each text, as bytes; none of an empty one or a null.
+
+        Arrow splits the texts, tells the distinct pieces and puts their ids in place, so
+        Python meets a piece once per call.
+        """
+        simple = [is_simple(t) if t else False for t in texts]
+        cut = pc.split_pattern(pa.array([t if s else None for t, s in zip(texts, simple)], pa.large_string()), " ")
+        others = [None if s or not t else CUT.split(t) for t, s in zip(texts, simple)]
+        pieces = cut.flatten()
+        flat = pa.concat_arrays([pieces, pa.array([p for o in others if o for p in o], pa.large_string())])
+        counts = pc.fill_null(pc.list_value_length(cut), 0).to_numpy().astype(np.int64)
+        ends, extra = np.cumsum(counts), len(pieces)
+        coded = flat.dictionary_encode()
+        placed = pa.array(self.found(coded.dictionary.to_pylist(), np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)).tolist()), pa.large_binary()).take(coded.indices)
+        offsets = np.frombuffer(placed.buffers()[1], np.int64)[placed.offset:placed.offset + len(placed) + 1]
+        data = placed.buffers()[2].to_pybytes() if len(placed) else b""
+        firsts = [t.partition(" ")[0] if s else o[0] if o else "" for t, s, o in zip(texts, simple, others)]
+        head = self.ids_of({f for f in firsts if f}, blank=False)
+        out = []
+        for i, first in enumerate(firsts):
+            end, count = (int(ends[i]), int(counts[i])) if simple[i] else (extra, 0)
+            if others[i]:
+                count = len(others[i])
+                extra = end = extra + count
+            out.append(head.get(first, b"") + data[offsets[end - count + 1]:offsets[end]] if count else b"")
+        return out
 
     def decode(self, ids):
         return self.tokenizer.decode(list(ids), skip_special_tokens=False)
