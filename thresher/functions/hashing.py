@@ -55,5 +55,5 @@ def hash_choice(value, options):
 
 
 def seeded(seed, *parts):
-    """`seed:part:part...`, the string that seeded orders hash."""
-    return F.concat_ws(":", F.lit(str(seed)), *[as_column(p).cast("string") for p in parts])
+    """`seed:part:part...`, the string that seeded orders hash; a null part is empty."""
+    return F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(as_column(p).cast("string"), F.lit("")) for p in parts])

@@ -55,7 +55,7 @@ def teacher_flag(predicted_class, positive="invoice"):
 
 def taxonomy(label, families=FAMILIES_WITH_SCENES, default=DEFAULT_FAMILY):
     """Family of a free-form document label."""
-    clean = F.regexp_replace(F.lower(F.trim(as_column(label))), "_", " ")
+    clean = F.regexp_replace(F.lower(F.regexp_replace(as_column(label), r"^\s+|\s+$", "")), "_", " ")
     chain = None
     for family, members in families.items():
         test = clean.isin(*members)
@@ -116,8 +116,8 @@ def force_prefix(split, path, prefix, target="train"):
 
 
 def lineage_key(*parts):
-    """Parts joined with colons."""
-    return F.concat_ws(":", *[as_column(p).cast("string") for p in parts])
+    """Parts joined with colons; a null part is empty, and keeps its colon."""
+    return F.concat_ws(":", *[F.coalesce(as_column(p).cast("string"), F.lit("")) for p in parts])
 
 
 def root_or_self(source_doc, path):

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from thresher.operators.metrics import weigh_rows
-from thresher.operators.ordering import BROADCAST_ROWS, as_list
+from thresher.operators.ordering import as_list
 from thresher.operators.ranking import hardest
 from thresher.operators.sampling import oversample
 
+# Most hard examples that are broadcast to the rows they are taken from.
+BROADCAST_ROWS = 100_000
+
 
 def score_batches(df: DataFrame, features, make_model, width, batch_size=1024, name="score") -> DataFrame:
     """Scores an array column of fixed width with a model, in batches inside the tasks.

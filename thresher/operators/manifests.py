@@ -14,7 +14,7 @@ def concat_unique(*manifests: DataFrame, key) -> DataFrame:
     """All rows of all manifests; a key that occurs twice fails the query."""
     whole = reduce(lambda a, b: a.unionByName(b), manifests)
     repeated = duplicates(whole, key).agg(F.count(F.lit(1)).alias("n"))
-    return guard(whole, as_list(key)[0], repeated, "duplicate keys in the combined manifest")
+    return guard(whole, repeated, "duplicate keys in the combined manifest")
 
 
 def overlap(a: DataFrame, b: DataFrame, key) -> DataFrame:
@@ -27,7 +27,7 @@ def overlap(a: DataFrame, b: DataFrame, key) -> DataFrame:
 def assert_disjoint(a: DataFrame, b: DataFrame, key) -> DataFrame:
     """`b`, failing if any of its keys is in `a`."""
     shared = overlap(a, b, key).agg(F.count(F.lit(1)).alias("n"))
-    return guard(b, as_list(key)[0], shared, "keys already exist in the base manifest")
+    return guard(b, shared, "keys already exist in the base manifest")
 
 
 def conform(df: DataFrame, shape, constants=None) -> DataFrame:
@@ -63,14 +63,14 @@ def add_train_only(base: DataFrame, mined: DataFrame, key, fields, split="split"
         F.col(selection) == "external_holdout", F.raise_error(F.lit("a held-out row is marked train"))).otherwise(F.col(key)))
     none = train.agg(F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).alias("none"))
     additions = assert_disjoint(base, checked.select(*fields), key)
-    return guard(base.select(*fields), key, none, "no train rows in the mined manifest").unionByName(additions)
+    return guard(base.select(*fields), none, "no train rows in the mined manifest").unionByName(additions)
 
 
-def preserve_count(before: DataFrame, after: DataFrame, column) -> DataFrame:
+def preserve_count(before: DataFrame, after: DataFrame) -> DataFrame:
     """`after`, failing unless it has as many rows as `before`."""
     n_before = before.agg(F.count(F.lit(1))).scalar()
     changed = after.agg(F.when(F.count(F.lit(1)) != n_before, 1).otherwise(0).alias("changed"))
-    return guard(after, column, changed, "rows were lost or added")
+    return guard(after, changed, "rows were lost or added")
 
 
 def row_counts(before: DataFrame, after: DataFrame) -> DataFrame:

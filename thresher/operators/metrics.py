@@ -16,6 +16,9 @@ def ratio(a, b):
     """a / b as double; null for an empty denominator."""
     return F.try_divide(a.cast("double"), b.cast("double"))
 
+# Most entries of a report's map.
+MAP_ENTRIES = 10_000
+
 
 def count_where(test):
     return F.coalesce(F.sum(test.cast("bigint")), F.lit(0).cast("bigint"))
@@ -31,9 +34,13 @@ def counts_by(df: DataFrame, keys) -> DataFrame:
 
 
 def counts_map(df: DataFrame, keys) -> DataFrame:
-    """One row, one map `"a/b" -> n`, for reports over fixed enumerations."""
-    keys = as_list(keys)
-    counted = counts_by(df, keys).select(F.concat_ws("/", *keys).alias("key"), "n")
+    """One row, one map `"a/b" -> n`, for reports over fixed enumerations.
+
+    A null key reads "null", as a text of that name does. More than MAP_ENTRIES entries are an error.
+    """
+    named = [F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in as_list(keys)]
+    counted = counts_by(df.select(F.concat_ws("/", *named).alias("key")), "key")
+    counted = guard(counted, counted.agg(F.when(F.count(F.lit(1)) > MAP_ENTRIES, 1).otherwise(0).alias("n")), "too many keys for one map")
     return counted.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))).alias("counts"))
 
 
@@ -260,10 +267,10 @@ def router_weights(df: DataFrame, path, bill, class_index, context) -> DataFrame
     return weigh_rows(df, context, "context_weight", cap=ROUTER_BALANCE_CAPS["context"])
 
 
-def paired_changes(pairs: DataFrame, y, before, after) -> DataFrame:
-    """Decisions that changed between two models on the same rows."""
+def paired_changes(pairs: DataFrame, y, before, after, keys=()) -> DataFrame:
+    """Decisions that changed between two models on the same rows, by population if `keys` name it."""
     hit, was, now = F.col(y) == 1, F.col(before) == 1, F.col(after) == 1
-    return conditional_counts(pairs, (), {
+    return conditional_counts(pairs, keys, {
         "negatives_fixed": ~hit & was & ~now, "negatives_regressed": ~hit & ~was & now,
         "bills_lost": hit & was & ~now, "bills_recovered": hit & ~was & now})
 
@@ -306,7 +313,8 @@ def folder_regression(df: DataFrame, folder, predicted, expected, digest, exclud
 
 def fingerprint(df: DataFrame, columns) -> DataFrame:
     """Row count and an order-free digest sum that change when any value changes."""
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in as_list(columns)]
+    # Each cell is a digest of its own or a dash, so no value can reach into the next one.
+    parts = [F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("-")) for c in as_list(columns)]
     number = F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("fingerprint"))
 
@@ -321,7 +329,7 @@ def run_fingerprint(seed, arguments, **tables) -> DataFrame:
     return row.select(F.lit(seed).alias("seed"), F.create_map(*entries).alias("args"), *tables)
 
 
-def check_fingerprint(df: DataFrame, columns, expected: DataFrame, column, allow_mismatch=False) -> DataFrame:
+def check_fingerprint(df: DataFrame, columns, expected: DataFrame, allow_mismatch=False) -> DataFrame:
     """`df`, refused when its fingerprint is not the recorded one (a one-row table).
 
     An absent record cannot be checked and passes.
@@ -331,7 +339,7 @@ def check_fingerprint(df: DataFrame, columns, expected: DataFrame, column, allow
     recorded = expected.select("fingerprint").scalar()
     changed = fingerprint(df, columns).select(
         F.when(recorded.isNotNull() & (F.col("fingerprint") != recorded), 1).otherwise(0).alias("changed"))
-    return guard(df, column, changed, "the table is not the one recorded with the model")
+    return guard(df, changed, "the table is not the one recorded with the model")
 
 
 def release_gate(metrics: DataFrame, floor=RECALL_FLOOR, on_fail="report") -> DataFrame:

@@ -5,9 +5,9 @@ Three ways are used, and every operator picks one of them:
 * *prefix sums* (:func:`prefix_sums`): rows are first reduced to one row per key and
   value, spread over value ranges, totalled per range, and only then ordered within
   each range. Areas under curves, quantiles and thresholds come from this.
-* *top-k* (:func:`top_per_group`): each slice of a group keeps its best k rows, then
-  the slices are merged, so a group holding a third of the table costs one task
-  `slices x k` rows.
+* *top-k* (:func:`top_per_group`): each input task keeps its best k rows of a group and
+  sends them to one slice of it, then the slices are merged, so a group holding a third
+  of the table costs the last task `slices x k` rows, and that number is bounded.
 * *digest order* (:func:`take_by_hash`, :func:`dense_index`): digests are uniform, so
   their leading digits are ready-made ranges of equal size.
 
@@ -22,10 +22,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from thresher.functions.hashing import seeded
-from thresher.session import busy, parallelism, pinned
+from thresher.session import parallelism, pinned
 
-# Largest k that is merged in one task; beyond it rows are ranked in range slices.
-MERGE_LIMIT = 100_000
+# Most rows of a group, slices times k, that are merged in one task; beyond it rows are ranked in range slices.
+MERGE_LIMIT = 1_000_000
 # Largest k of a whole-table top-k that each task keeps in a heap.
 HEAP_LIMIT = 1000
 # Smallest k for which groups are merged slice by slice first.
@@ -34,10 +34,8 @@ SLICE_FROM = 32
 PREFIX_DIGITS = 4
 # A key with at least one row in HOT_SHARE is hot; there cannot be more than HOT_SHARE of them.
 HOT_SHARE = 1000
-# Most rows a table may have to be broadcast.
-BROADCAST_ROWS = 100_000
-# Most ranges a score column is cut into.
-MAX_CUTS = 4096
+# Points of a score column that one range holds, about.
+RANGE_POINTS = 1_000_000
 
 
 def as_list(names):
@@ -73,14 +71,14 @@ def join_on(left: DataFrame, right: DataFrame, keys, how="inner") -> DataFrame:
 
 
 def cut_values(df: DataFrame, value, parts=None):
-    """At most `parts - 1` values that divide a numeric column into similar shares.
+    """At most `parts - 1` values that divide the rows of a numeric column into similar shares.
 
-    Runs one narrow job over the column; what comes back is bounded by MAX_CUTS.
+    Without `parts` there is one for every RANGE_POINTS rows, and one per shuffle task at least.
     """
-    parts = min(parts or parallelism(df.sparkSession), MAX_CUTS)
+    parts = parts or max(parallelism(df.sparkSession), df.count() // RANGE_POINTS)
     if parts < 2:
         return []
-    column = df.select(F.col(value).cast("double").alias("value")).coalesce(busy(df.sparkSession))
+    column = df.select(F.col(value).cast("double").alias("value"))
     found = column.approxQuantile("value", [i / parts for i in range(1, parts)], 1.0 / (2 * parts))
     return sorted(set(found))
 
@@ -131,12 +129,14 @@ def prefix_sums(points: DataFrame, measures, order, range_column, keys=(), desce
 def score_points(df: DataFrame, score, measures, keys=(), descending=False) -> DataFrame:
     """One row per key and distinct score, with measures and their running totals.
 
-    `measures` maps a name to an aggregate column.
+    `measures` maps a name to an aggregate column. The table is read once: its points are
+    written, and the ranges are cut by points, so a score that most rows share is one
+    point of one range.
     """
     keys = as_list(keys)
     known = df.filter(F.col(score).isNotNull())
-    cuts = cut_values(known, score)
-    points = known.groupBy(*keys, score).agg(*[c.alias(name) for name, c in measures.items()])
+    points = pinned(known.groupBy(*keys, score).agg(*[c.alias(name) for name, c in measures.items()]))
+    cuts = cut_values(points, score)
     return prefix_sums(bucketed(points, score, cuts), list(measures), score, "_range", keys, descending)
 
 
@@ -212,21 +212,22 @@ def top_per_group(df: DataFrame, k, order, keys=(), rank=None) -> DataFrame:
 
     Spark limits each group before the shuffle (WindowGroupLimit). From SLICE_FROM rows
     on, slices of a group are merged in a second step, so that many input tasks do not
-    all send their k rows to one task. `rank` names a column to keep the rank in.
+    all send their k rows to one task; an input task feeds one slice and so sends k rows
+    of a group at most. `rank` names a column to keep the rank in.
     """
     keys, name = as_list(keys), rank or "_rank"
     if k < 1:
         return df.limit(0) if rank is None else df.withColumn(rank, F.lit(0)).limit(0)
-    if k > MERGE_LIMIT:
+    parts = parallelism(df.sparkSession)
+    if k * (parts if k >= SLICE_FROM else 1) > MERGE_LIMIT:
         kept = rank_rows(df, order, keys, name).filter(F.col(name) <= k)
         return kept if rank else kept.drop(name)
     sort = order_columns(order)
-    part, parts = df, parallelism(df.sparkSession)
+    part = df
     if not keys and rank is None and k <= HEAP_LIMIT:
-        # A heap per task and no sort; fewer tasks, so that the last one merges few x k rows.
-        return df.coalesce(busy(df.sparkSession)).orderBy(*sort).limit(k)
+        return df.orderBy(*sort).limit(k)  # a heap per task and no sort
     if k >= SLICE_FROM:
-        part = df.withColumn("_salt", F.pmod(F.xxhash64(*order_names(order)), F.lit(parts)))
+        part = df.withColumn("_salt", F.spark_partition_id() % parts)
         sliced = Window.partitionBy(*keys, "_salt").orderBy(*sort)
         part = part.withColumn(name, F.row_number().over(sliced)).filter(F.col(name) <= k).drop(name, "_salt")
     if not keys and rank is None:
@@ -259,7 +260,7 @@ def take_by_hash(df: DataFrame, quota, id_columns, seed, keys=()) -> DataFrame:
     if not callable(quota) and quota <= MERGE_LIMIT:
         return top_per_group(marked, quota, ["_digest", *ids], keys).select(*df.columns)
     slim = marked.select(*keys, *[c for c in ids if c not in keys], "_digest", "_prefix")
-    counts = slim.coalesce(busy(df.sparkSession)).groupBy(*keys, "_prefix").agg(F.count(F.lit(1)).alias("_rows"))
+    counts = slim.groupBy(*keys, "_prefix").agg(F.count(F.lit(1)).alias("_rows"))
     group = group_window(keys)
     upto = group.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
     ranges = counts.select(*keys, "_prefix", "_rows", F.sum("_rows").over(upto).alias("_upto"), F.sum("_rows").over(group).alias("_size"))
@@ -294,28 +295,17 @@ def dense_index(df: DataFrame, id_columns, seed, name="index") -> DataFrame:
 # --- joins on keys that may be hot --------------------------------------------------
 
 
-def checked_broadcast(table: DataFrame, limit=BROADCAST_ROWS):
-    """`table` as a broadcast local table if it has at most `limit` rows, else None."""
-    rows = table.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
-
-
 def join_small(rows: DataFrame, table: DataFrame, keys, size, how="inner") -> DataFrame:
-    """Joins a table that has one row per key and is usually small.
+    """Joins a table that has one row per key; `size` is the number of rows each key has.
 
-    Its size is checked first: small enough, it is broadcast and the rows stay where
-    they are; otherwise hot keys are split off by :func:`attach`. `size` is the number
-    of rows each key has.
+    The keys travel as one struct, in which Spark takes nulls, NaN, and zeros of either
+    sign for equal as grouping does, and :func:`attach` does the rest: hot keys are split
+    off, and a small table is broadcast by its real size.
     """
     keys = as_list(keys)
-    small = checked_broadcast(table)
-    if small is not None:
-        return join_on(rows, small.drop(size), keys, how=how)
     values = [c for c in table.columns if c not in keys + [size]]
-    packed = table.select(F.to_json(F.struct(*keys)).alias("_packed"), size, F.struct(*values).alias("_found"))
-    joined = attach(rows.withColumn("_packed", F.to_json(F.struct(*keys))), packed, "_packed", size, ["_found"])
+    packed = table.select(F.struct(*keys).alias("_packed"), size, F.struct(*values).alias("_found"))
+    joined = attach(rows.withColumn("_packed", F.struct(*keys)), packed, "_packed", size, ["_found"])
     if how == "inner":
         joined = joined.filter(F.col("_found").isNotNull())
     return joined.select(*rows.columns, "_found.*")
@@ -365,12 +355,10 @@ def attach_reference(rows: DataFrame, reference: DataFrame, key, columns, refere
 # --- guards -------------------------------------------------------------------------
 
 
-def guard(df: DataFrame, column, violations: DataFrame, message) -> DataFrame:
+def guard(df: DataFrame, violations: DataFrame, message) -> DataFrame:
     """`df`, failing when `violations` (one row, one count) is not zero.
 
-    The check sits on a column of the output: a plan that drops the column drops the
-    check, so pick one that every reader needs.
+    The check is a filter, so it holds for a count or any choice of columns too.
     """
     found = violations.scalar()
-    failing = F.when(found > 0, F.raise_error(F.lit(message))).otherwise(F.col(column))
-    return df.withColumn(column, failing)
+    return df.filter(F.when(found > 0, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True)))

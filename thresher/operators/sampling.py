@@ -68,7 +68,7 @@ def seeded_sample(df: DataFrame, m, key, seed) -> DataFrame:
 def exact_sample(df: DataFrame, m, key, seed) -> DataFrame:
     """m rows without replacement; too few rows fail the query."""
     short = df.agg(F.when(F.count(F.lit(1)) < m, 1).otherwise(0).alias("short"))
-    return guard(seeded_sample(df, m, key, seed), as_list(key)[0], short, f"fewer than {m} eligible rows")
+    return guard(seeded_sample(df, m, key, seed), short, f"fewer than {m} eligible rows")
 
 
 def per_class_sample(df: DataFrame, label, m, key, seed) -> DataFrame:

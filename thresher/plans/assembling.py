@@ -50,7 +50,7 @@ def screenshot_positive_manifest(t):
     named = chosen.select(
         F.concat(short_name("shot/", identity, 24), F.lit(".jpg")).alias("filepath"), "split", F.col("filepath").alias("parent_filepath"),
         "source_doc", hash_choice(identity, UI_CONTEXTS).alias("context"))
-    return guard(named, "filepath", leaked, "bill sources cross splits")
+    return guard(named, leaked, "bill sources cross splits")
 
 
 @query("E4, B11, B12, B15, B19, B20, G1, G8", f"""WITH {NESTED_TEXT},
@@ -92,7 +92,7 @@ def aligned_class_splits(t):
     fixes = t.table("labels").filter(F.col("quality") == 0).select(
         text("doc_id").alias("filepath"), L.taxonomy(F.when(F.col("toxic") == 1, "memo").otherwise("form")).alias("class_name"))
     fixed = t.stored(G.repair_classes(classed, fixes, "filepath", "source_doc", "class_name"))
-    checked = M.preserve_count(splits, fixed, "filepath")
+    checked = M.preserve_count(splits, fixed)
     return checked.withColumn("class_index", L.class_position("class_name")).select(*FIELDS["class_splits"])
 
 

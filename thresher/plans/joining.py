@@ -70,7 +70,7 @@ LATE = "substr(source, 4)::INT >= 10"
 
 
 def early_and_late(t):
-    number = F.substring("source", 4, 2).cast("int")
+    number = F.expr("substring(source, 4)").cast("int")
     rows = t.examples().select("id", "source", "source_doc")
     return rows.filter(number < 10), rows.filter(number >= 10)
 

@@ -196,11 +196,11 @@ SELECT folder, count(*) FILTER (judged AND correct) AS correct, count(*) FILTER
 def folder_regression(t):
     rows = t.documents().select(
         F.col("source").alias("folder"), F.sha2("text", 256).alias("digest"), (F.col("n_chars") >= 500).alias("predicted"), (F.col("lang") == "en").alias("expected"))
-    late = F.substring("folder", 4, 2).cast("int") >= 10
+    late = F.expr("substring(folder, 4)").cast("int") >= 10
     return D.folder_regression(rows.filter(~late), "folder", "predicted", "expected", "digest", rows.filter(late))
 
 
-@query("D21", """SELECT count(*) AS n, coalesce(sum(('0x' || substr(sha256('=' || doc_id || '|' || coalesce('=' || quality, '-') || '|' || coalesce('=' || toxic, '-')), 1, 15))::BIGINT::HUGEINT), 0)::VARCHAR AS fingerprint FROM labels""")
+@query("D21", """SELECT count(*) AS n, coalesce(sum(('0x' || substr(sha256(sha256(doc_id::VARCHAR) || '|' || coalesce(sha256(quality::VARCHAR), '-') || '|' || coalesce(sha256(toxic::VARCHAR), '-')), 1, 15))::BIGINT::HUGEINT), 0)::VARCHAR AS fingerprint FROM labels""")
 def table_fingerprint(t):
     return D.fingerprint(t.table("labels"), ["doc_id", "quality", "toxic"])
 
@@ -208,7 +208,7 @@ def table_fingerprint(t):
 @query("D21", "SELECT doc_id, quality, toxic FROM labels")
 def fingerprint_checked(t):
     labels = t.table("labels")
-    return D.check_fingerprint(labels, labels.columns, D.fingerprint(labels.orderBy(F.desc("doc_id")), labels.columns), "doc_id")
+    return D.check_fingerprint(labels, labels.columns, D.fingerprint(labels.orderBy(F.desc("doc_id")), labels.columns))
 
 
 @query("D22", f"""WITH {SCORED_BIG} SELECT split, recall, (recall >= 0.95)::INT AS released FROM ({confusion_sql('y', 's1 >= 0.06', 'split')('scored_big')})""")
@@ -232,7 +232,7 @@ FROM documents d LEFT JOIN known k ON k.source_doc = sha256(d.text) WHERE NOT ({
 def folder_details(t):
     rows = t.documents().select(
         "doc_id", "source", F.sha2("text", 256).alias("digest"), (F.col("n_chars") >= 500).alias("predicted"), (F.col("lang") == "en").alias("expected"))
-    late = F.substring("source", 4, 2).cast("int") >= 10
+    late = F.expr("substring(source, 4)").cast("int") >= 10
     return D.folder_details(rows.filter(~late), "predicted", "expected", "digest", rows.filter(late)).select("doc_id", "skipped", "correct")
 
 
@@ -263,8 +263,8 @@ def cascade_report(t):
     return report.withColumn("auc", F.round("auc", 9)).withColumn("product_auc", F.round(product.scalar(), 9))
 
 
-@query("D21", """WITH l AS (SELECT count(*) AS n, coalesce(sum(('0x' || substr(sha256('=' || doc_id || '|' || coalesce('=' || quality, '-') || '|' || coalesce('=' || toxic, '-')), 1, 15))::BIGINT::HUGEINT), 0)::VARCHAR AS f FROM labels),
-r AS (SELECT count(*) AS n, coalesce(sum(('0x' || substr(sha256('=' || page_id || '|' || coalesce('=' || url, '-')), 1, 15))::BIGINT::HUGEINT), 0)::VARCHAR AS f FROM pages)
+@query("D21", """WITH l AS (SELECT count(*) AS n, coalesce(sum(('0x' || substr(sha256(sha256(doc_id::VARCHAR) || '|' || coalesce(sha256(quality::VARCHAR), '-') || '|' || coalesce(sha256(toxic::VARCHAR), '-')), 1, 15))::BIGINT::HUGEINT), 0)::VARCHAR AS f FROM labels),
+r AS (SELECT count(*) AS n, coalesce(sum(('0x' || substr(sha256(sha256(page_id::VARCHAR) || '|' || coalesce(sha256(url), '-')), 1, 15))::BIGINT::HUGEINT), 0)::VARCHAR AS f FROM pages)
 SELECT 42 AS seed, 'epochs=8' AS args, l.n AS manifest_rows, l.f AS manifest, r.n AS splits_rows, r.f AS splits FROM l, r""")
 def run_record(t):
     run = D.run_fingerprint(42, {"epochs": 8}, manifest=t.table("labels"), splits=t.table("pages").select("page_id", "url"))

@@ -69,11 +69,3 @@ def parallelism(spark) -> int:
     """How many ways a shuffle is split; also how many slices hot groups get."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-
-def busy(spark) -> int:
-    """Enough tasks to keep every core busy.
-
-    Passes whose tasks each send a summary of fixed size are coalesced to this many, so
-    that the summaries do not grow with the number of input files.
-    """
-    return max(parallelism(spark), spark.sparkContext.defaultParallelism)

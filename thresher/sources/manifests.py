@@ -19,15 +19,19 @@ def string_schema(fields):
     return StructType([StructField(name, StringType()) for name in fields])
 
 
-def read_manifest(spark: SparkSession, path, kind) -> DataFrame:
+def read_manifest(spark: SparkSession, path, kind, multi_line=False) -> DataFrame:
     """A CSV manifest with a header: all columns are read as strings, then cast.
 
+    Values keep their blanks. Values with line breaks need `multi_line`, which reads a
+    file in one task; large tables are better kept as Parquet.
+
     `kind` names a declared field list or is one. Types are never inferred; a value
     that cannot be cast fails the query, as an empty one does not (it is null).
     """
     fields = FIELDS[kind] if isinstance(kind, str) else tuple(kind)
     raw = (spark.read.schema(string_schema(fields)).option("header", True).option("enforceSchema", False)
-           .option("escape", '"').option("mode", "FAILFAST").csv(path))
+           .option("escape", '"').option("mode", "FAILFAST").option("multiLine", multi_line)
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return raw.select(*[F.col(f).cast(FIELD_TYPES[f]).alias(f) if f in FIELD_TYPES else F.col(f) for f in fields])
 
 
@@ -50,7 +54,8 @@ def write_manifest(df: DataFrame, path, kind, form="csv") -> None:
     fields = FIELDS[kind] if isinstance(kind, str) else tuple(kind)
     writer = df.select(*fields).write.mode("error")
     if form == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        (writer.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         writer.format(form).save(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thresher.functions.hashing import split_70_15_15
@@ -43,8 +43,20 @@ def run_to_table(df: DataFrame, path, checkpoint, form="parquet"):
     return query
 
 
-def stream_quota_sink(df: DataFrame, targets, path, checkpoint, digest, order, split="split"):
-    """Appends each micro-batch until the split targets are reached.
+class QuotasFull(Exception):
+    """Ends the query before a batch that nothing is wanted of, so that its shards stay unread."""
+
+
+class QuotasShort(ValueError):
+    """The input is at an end and a target is not reached."""
+
+
+def stream_quota_sink(df: DataFrame, targets, path, checkpoint, digest, order, split="split", on_short="report"):
+    """Appends each micro-batch until the split targets are reached, and then stops.
+
+    A batch that comes when all targets are reached is not committed: a later run with
+    higher targets begins with its shards. Targets that the input cannot reach are an
+    error with `on_short="error"`.
 
     Per batch: first occurrence per digest, minus digests already in the table, then as
     many rows per split, in arrival order, as the target still allows. A batch writes
@@ -62,11 +74,20 @@ def stream_quota_sink(df: DataFrame, targets, path, checkpoint, digest, order, s
             fresh = fresh.join(earlier.select(digest), digest, "left_anti")
         left = {name: n for name, n in left.items() if n > 0}
         if not left:
-            return
+            raise QuotasFull("all targets are reached")
         arrival_caps(fresh, split, order, left).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     query = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as ended:
+        if QuotasFull.__name__ not in str(ended):
+            raise
+    if on_short == "error":
+        got = {r[split]: r["count"] for r in batches_done(spark, path).groupBy(split).count().collect()}  # one row per split
+        short = {name: n - got.get(name, 0) for name, n in targets.items() if n > got.get(name, 0)}
+        if short:
+            raise QuotasShort(f"rows missing by split: {short}")
     return query
 
 
