@@ -1,10 +1,12 @@
 """Links between similar sets, and their components, without comparing all pairs of a group.
 
 Postings say under which keys a set can be found. Sets under one key are sorted by size
-and each is first compared with the leader of its size range only, so a group of n near
-copies costs n comparisons. The components of the links found then tell which sets of a
-key are still apart; of those, and only of those, every pair of matching size is compared.
-So no link between different components is lost, and none inside a component is needed.
+and, among equals, by a digest that differs from key to key, and each is first compared with the
+one before it only. So a group of n near copies costs n comparisons per key, and each member
+meets others under other keys. The components of the links found then tell which sets
+of a key are still apart; of those, and only of those, every pair that sizes and sketches
+do not rule out is compared. So no link between different components is lost, and none
+inside a component is needed.
 """
 
 from __future__ import annotations
@@ -18,7 +20,11 @@ from thresher.session import pinned
 
 # Sets that meet one set in one task; a set with more partners is sent to several tasks.
 PARTNERS = 500
-RUNS = "key long, item long, size long, leader long"
+RUNS = "key long, item long, size long, before long"
+# About one key in (size / CHAIN_SIZE) of a large set is used for the first comparisons.
+CHAIN_SIZE = 150
+# Pairs a task holds before it passes them on.
+HELD_PAIRS = 50_000
 FOUND = "a long, b long"
 
 
@@ -83,38 +89,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def runs_of(postings: DataFrame, percent, copies=False) -> DataFrame:
-    """Postings of the keys that more than one item has, each with its leader.
+    """Postings of the keys that more than one item has, each with the item before it.
 
-    With `copies`, keys that one item has more than once count too. Rows stream through
-    sorted by key; one key and leader are held at a time.
+    `before` is the item itself where none of its size range comes before. With `copies`,
+    keys that one item has more than once count too. Rows stream through sorted by key;
+    a row or two are held at a time.
     """
 
     def run(batches):
         schema = arrow(RUNS)
-        key = leader = last = None
-        leader_size, waiting = 0, None
-        held = None
+        key = last = waiting = held = None
+        last_size = 0
 
         def walk(rows, keep):
-            nonlocal key, leader, last, leader_size, waiting
+            nonlocal key, last, last_size, waiting
             out = []
             for i in keep:
-                k, item, size = rows[0][i], rows[2][i], rows[1][i]
+                k, size, item = rows[0][i], rows[1][i], rows[2][i]
                 if k != key:
-                    key, leader, leader_size, waiting, last = k, item, size, (k, item, size, item), item
+                    key, last, last_size, waiting = k, item, size, (k, item, size, item)
                     continue
-                if item == last:
-                    if copies and waiting:
-                        out.append(waiting)
-                        waiting = None
-                    continue
-                last = item
-                if not lowest(leader_size, size, percent):
-                    leader, leader_size = item, size
-                if waiting:
+                if waiting and (item != last or copies):
                     out.append(waiting)
                     waiting = None
-                out.append((k, item, size, leader))
+                if item != last:
+                    out.append((k, item, size, last if lowest(last_size, size, percent) else item))
+                    last, last_size = item, size
             return out
 
         for one in batches:
@@ -137,7 +137,7 @@ def runs_of(postings: DataFrame, percent, copies=False) -> DataFrame:
             out = walk([c.tolist() for c in held], [0])
             yield batch(schema, *(zip(*out) if out else [[]] * 4))
 
-    ordered = postings.select("key", "size", "item").repartition("key").sortWithinPartitions("key", "size", "item")
+    ordered = postings.select("key", "size", "item").repartition("key").sortWithinPartitions("key", "size", F.xxhash64("item", "key"), "item")
     return ordered.mapInArrow(run, RUNS)
 
 
@@ -227,7 +227,7 @@ def apart(placed: DataFrame, percent) -> DataFrame:
             keys = one.column(0).to_numpy()
             columns = [one.column(i).to_numpy() for i in (1, 2, 3)] + [sketched(one.column(4)) if one.num_rows else np.empty((0, 1), np.uint8)]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
-            found = []
+            found = set()
             for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if start == end:
                     continue
@@ -242,9 +242,11 @@ def apart(placed: DataFrame, percent) -> DataFrame:
                     other = np.flatnonzero(kinds[least[i]:i] != kinds[i]) + least[i]
                     if len(other):
                         differ = np.bitwise_count(prints[other] ^ prints[i]).sum(axis=1, dtype=np.int64)
-                        found += [(int(items[i]), int(items[j])) for j in other[may_link(differ, sizes[other] + sizes[i], percent)]]
+                        found.update((int(items[i]), int(items[j])) for j in other[may_link(differ, sizes[other] + sizes[i], percent)])
+                        if len(found) > HELD_PAIRS:
+                            yield batch(schema, *zip(*found))
+                            found = set()
                 last, window = keys[start], [r[least[-1]:] for r in rows]
-            found = list(set(found))
             yield batch(schema, *(zip(*found) if found else [[]] * 2))
 
     ordered = placed.select("key", "size", "item", "component", "sketch").repartition("key").sortWithinPartitions("key", "size", "item")
@@ -257,8 +259,10 @@ def linked(runs: DataFrame, sketches: DataFrame, compare, percent) -> DataFrame:
     `runs` is what :func:`runs_of` gives, written; `sketches` is (item, size, sketch) of its
     items; `compare` takes pairs (a, b) and gives those that are similar.
     """
-    star_pairs = runs.filter("item <> leader").select(F.col("leader").alias("a"), F.col("item").alias("b")).distinct()
-    seen = pinned(alike(star_pairs, sketches, percent))
+    some = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.floor(F.col("size") / CHAIN_SIZE))) == 0
+    chain = runs.filter(F.col("item") != F.col("before")).filter(some).select(
+        F.least("item", "before").alias("a"), F.greatest("item", "before").alias("b")).distinct()
+    seen = pinned(alike(chain, sketches, percent))
     found = components(pinned(compare(seen)))
     placed = pinned(runs.join(found.withColumnRenamed("item", "of"), F.col("item") == F.col("of"), "left").select(
         "key", "item", "size", F.coalesce("component", "item").alias("component")))

@@ -143,7 +143,7 @@ def shared_passages(documents: DataFrame, percent=PERCENT, recall=RECALL, least_
     runs = pinned(runs_of(postings(documents, bands, ROWS), percent, copies=True))
     wanted = pinned(runs.select("item").distinct())
     differing = pinned(runs.groupBy("key").agg(F.min("item").alias("low"), F.max("item").alias("high")).filter("low <> high")
-                       .select(F.col("key").alias("of")).join(runs, F.col("of") == F.col("key")).select("key", "item", "size", "leader"))
+                       .select(F.col("key").alias("of")).join(runs, F.col("of") == F.col("key")).select("key", "item", "size", "before"))
     places = pinned(places_of(documents, wanted, differing.select("item")))
     sets = pinned(places.filter("hashes is not null").groupBy("item").agg(F.first("hashes").alias("hashes")))
     sketches = sets.select("item", F.length("hashes").cast("long").alias("bytes"), "hashes").mapInArrow(sketches_of, "item long, size long, sketch binary")
