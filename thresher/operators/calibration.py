@@ -11,7 +11,7 @@ from thresher.operators.metrics import (
     aggregate, classify_points, confusion, count_where, labelled_points, pr_curve, rank_area, ratio, roc_auc,
 )
 from thresher.operators.ordering import (
-    as_list, bucketed, covers, quantile_rows, score_points,
+    as_list, bucketed, covers, guard, quantile_rows, score_points,
 )
 from thresher.session import pinned
 
@@ -53,10 +53,10 @@ def threshold_from_curve(df: DataFrame, y, score, targets=RECALL_TARGETS, keys=(
     reached = curve.withColumn("target", grid).filter(F.col("recall") >= F.col("target"))
     best = F.max(F.struct("precision", "threshold", "recall"))
     rows = aggregate(reached, [*keys, "target"], best.alias("best")).select(*keys, "target", "best.threshold", "best.recall", "best.precision")
-    if required and not keys:
-        found = rows.agg(F.count(F.lit(1))).scalar()
-        failing = F.when(found < len(set(targets)), F.raise_error(F.lit("a recall target is unreachable")))
-        rows = rows.withColumn("threshold", failing.otherwise(F.col("threshold")))
+    if required:
+        wanted = curve.select(*keys, F.lit(len(set(targets))).alias("_n")).distinct() if keys else None
+        total = wanted.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar() if keys else F.lit(len(set(targets)))
+        rows = guard(rows, rows.agg((total - F.count(F.lit(1))).alias("missing")), "a recall target is unreachable")
     return rows
 
 
@@ -160,9 +160,13 @@ def pick(df: DataFrame, order, keys=()) -> DataFrame:
 
 
 def accuracy_first(grid: DataFrame, target) -> DataFrame:
-    """Among pairs reaching the recall: lowest FPR, route rate, then highest precision."""
-    return pick(grid.filter(F.col("recall") >= target), [
-        F.col("fpr").asc(), F.col("route_rate").asc(), F.col("precision").desc(), F.col("low").asc(), F.col("high").asc()])
+    """Among pairs reaching the recall: lowest FPR, route rate, then highest precision.
+
+    A recall that no pair reaches fails the query.
+    """
+    none = grid.agg(F.when(F.count_if(F.col("recall") >= target) == 0, 1).otherwise(0).alias("none"))
+    return guard(pick(grid.filter(F.col("recall") >= target), [
+        F.col("fpr").asc(), F.col("route_rate").asc(), F.col("precision").desc(), F.col("low").asc(), F.col("high").asc()]), none, "no route reaches the recall")
 
 
 def speed_profiles(grid: DataFrame, target, caps=ROUTE_CAPS) -> DataFrame:

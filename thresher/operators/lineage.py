@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from thresher.fixed_values import BILL_CLASSES, CLASS_NAMES
-from thresher.functions.labels import or_error, own_class
+from thresher.functions.labels import or_error, own_class, taxonomy
 from thresher.operators.ordering import attach_reference
 
 
@@ -29,6 +29,20 @@ def override(df: DataFrame, overrides: DataFrame, key, column) -> DataFrame:
     return joined.withColumn(column, F.coalesce("_value", column)).drop("_key", "_value")
 
 
+def derive_fixes(manifest: DataFrame, overrides: DataFrame, source, expected, key="filepath", predicted="predicted_class", column="class_name") -> DataFrame:
+    """(key, column): the class fixes of one source's rows.
+
+    A reviewed label of `overrides` (key, label) comes first; without one, a row whose
+    teacher class is not the expected one gets the family of that class.
+    """
+    rows = manifest.filter(F.col("source") == source).select(key, predicted)
+    reviewed = overrides.select(F.col(key).alias("_key"), F.col("label").alias("_label"))
+    teacher = F.lower(F.regexp_replace(F.coalesce(predicted, F.lit("")), r"^\s+|\s+$", ""))
+    label = F.coalesce("_label", F.when(teacher != expected, teacher))
+    joined = rows.join(reviewed, F.col(key) == F.col("_key"), "left").withColumn("_fix", label)
+    return joined.filter(F.col("_fix").isNotNull()).select(key, taxonomy("_fix").alias(column))
+
+
 def repair_classes(df: DataFrame, fixes: DataFrame, key, parent, column,
                    positives=tuple(CLASS_NAMES[i] for i in BILL_CLASSES)) -> DataFrame:
     """Applies a class fix of the row itself, else of its lineage root.

@@ -358,7 +358,10 @@ def attach_reference(rows: DataFrame, reference: DataFrame, key, columns, refere
 def guard(df: DataFrame, violations: DataFrame, message) -> DataFrame:
     """`df`, failing when `violations` (one row, one count) is not zero.
 
-    The check is a filter, so it holds for a count or any choice of columns too.
+    The check is a filter, so it holds for a count or any choice of columns too, and a
+    branch that never has rows, so it holds for an empty table.
     """
-    found = violations.scalar()
-    return df.filter(F.when(found > 0, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True)))
+    fails = lambda n: F.when(n > 0, F.raise_error(F.lit(message)).cast("boolean"))
+    never = violations.filter(fails(F.col(violations.columns[0])).otherwise(F.lit(False)))
+    nothing = never.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+    return df.filter(fails(violations.scalar()).otherwise(F.lit(True))).unionByName(nothing)

@@ -32,6 +32,12 @@ def stratified_group_split(df: DataFrame, group, label, seed, fractions=(0.8, 0.
     return attach(df, decided, group, "_rows", ["split"])
 
 
+def assert_no_leaks(df: DataFrame, group, split="split") -> DataFrame:
+    """`df`, failing if a group stands in more than one split; apply it to the final table, forced rows included."""
+    apart = df.groupBy(group).agg(F.min(split).alias("_low"), F.max(split).alias("_high")).agg(F.count_if(F.col("_low") != F.col("_high")).alias("leaks"))
+    return guard(df, apart, "a group stands in more than one split")
+
+
 def force_splits(df: DataFrame, forced: DataFrame, split="split", names=SPLITS) -> DataFrame:
     """Appends rows whose split is given; an unknown split name fails the query."""
     checked = F.when(F.col(split).isin(*names), F.col(split)).otherwise(

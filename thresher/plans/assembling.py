@@ -96,6 +96,23 @@ def aligned_class_splits(t):
     return checked.withColumn("class_index", L.class_position("class_name")).select(*FIELDS["class_splits"])
 
 
+FAMILY_SQL = "CASE " + " ".join(f"WHEN fix IN ({', '.join(repr(m) for m in members)}) THEN '{family}'" for family, members in L.FAMILIES_WITH_SCENES.items()) + f" ELSE '{L.DEFAULT_FAMILY}' END"
+
+
+@query("C2, B8", f"""WITH {LINEAGE}, taught AS (SELECT filepath, CASE WHEN filepath LIKE '%7' THEN ' Memo' WHEN filepath LIKE '%3' THEN 'form' ELSE 'Invoice' END AS predicted
+  FROM lineage WHERE source = 'rvlcdip_invoice'),
+fixes AS (SELECT t.filepath, coalesce(CASE WHEN l.quality = 0 THEN CASE WHEN l.toxic = 1 THEN 'memo' ELSE 'form' END END,
+  CASE WHEN lower(trim(predicted)) <> 'invoice' THEN lower(trim(predicted)) END) AS fix FROM taught t LEFT JOIN labels l ON l.doc_id::VARCHAR = t.filepath)
+SELECT filepath, {FAMILY_SQL} AS class_name FROM fixes WHERE fix IS NOT NULL""")
+def derived_fixes(t):
+    """Class fixes of one source: reviewed labels first, then the teacher's disagreement."""
+    path = F.col("filepath")
+    taught = F.when(path.endswith("7"), " Memo\t").when(path.endswith("3"), "form").otherwise("Invoice")
+    reviewed = t.table("labels").filter(F.col("quality") == 0).select(
+        text("doc_id").alias("filepath"), F.when(F.col("toxic") == 1, "memo").otherwise("form").alias("label"))
+    return G.derive_fixes(t.lineage().withColumn("predicted_class", taught), reviewed, "rvlcdip_invoice", "invoice")
+
+
 @query("E3, C7, B10, H1, G2", f"""WITH {SCORED}, shots AS (SELECT id, direct, CASE WHEN b < 70 THEN 'train' WHEN b < 85 THEN 'val' ELSE 'test' END AS split FROM (SELECT id, direct, {number_sql('id::VARCHAR')} % 100 AS b FROM scored)),
 train AS (SELECT * FROM shots WHERE split = 'train'), hard AS (SELECT id FROM train ORDER BY direct DESC, id LIMIT 45),
 easy AS (SELECT id FROM train WHERE id NOT IN (SELECT id FROM hard) ORDER BY sha256('20260820:' || id), id LIMIT 5)

@@ -181,6 +181,15 @@ def paired_changes(t):
     return D.paired_changes(pairs.select("y", decide("score_a", 0.5).alias("was"), decide("score_b", 0.5).alias("now")), "y", "was", "now")
 
 
+@query("D18", f"""WITH {SCORED}, d AS (SELECT split, y, direct >= 0.5 AS was, router >= 0.5 AS now FROM scored)
+SELECT split, count(*) AS n, count(*) FILTER (y = 0 AND was AND NOT now) AS negatives_fixed, count(*) FILTER (y = 0 AND NOT was AND now) AS negatives_regressed,
+  count(*) FILTER (y = 1 AND was AND NOT now) AS bills_lost, count(*) FILTER (y = 1 AND NOT was AND now) AS bills_recovered FROM d GROUP BY split""")
+def paired_changes_by_population(t):
+    scored = t.scored()
+    pairs = pair_models(scored.select("id", "split", "y", F.col("direct").alias("s")), scored.select("id", F.col("router").alias("s")), "id", "s")
+    return D.paired_changes(pairs.select("split", "y", decide("score_a", 0.5).alias("was"), decide("score_b", 0.5).alias("now")), "y", "was", "now", ["split"])
+
+
 @query("D19", f"""WITH {SCORED}, p AS (SELECT direct AS a, 0.8::DOUBLE * direct + 0.2::DOUBLE * class_bill AS b FROM scored)
 SELECT count(*) AS checked, round(max(abs(a - b)), 9) AS max_error, count(*) FILTER ((a >= 0.5) <> (b >= 0.5)) AS flips FROM p""")
 def score_parity(t):
