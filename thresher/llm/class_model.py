@@ -38,7 +38,7 @@ HASHED = 4096
 SLOTS = TOP_WORDS + HASHED + 1  # the last one is the end token's
 END = SLOTS - 1
 ROUNDS = 3
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 CELLS_PER_CHUNK = 8192
 BLOCKS = "block long, doc_ids array<long>, sizes array<int>, held array<boolean>, tokens binary, words array<long>, counts array<long>"
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
@@ -86,6 +86,12 @@ def blocks_of(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, BLOCKS)
 
 
+def listed(rows, column, i):
+    """A list of a record batch as an array, without Python objects; empty for a null."""
+    values = rows.column(column)[i].values
+    return np.empty(0, np.int64) if values is None else values.to_numpy(zero_copy_only=False)
+
+
 def tokens_of(packed):
     import zstandard
 
@@ -146,8 +152,9 @@ def neighbours(blocks: DataFrame, slots, classes):
         slots, classes = shared.value
         total = np.zeros(size, np.int64)
         for one in batches:
-            for sizes, held, packed, words in zip(*(one.column(i).to_pylist() for i in range(4))):
-                own, sizes, held = slots(words), np.array(sizes), np.array(held, bool)
+            for i in range(one.num_rows):
+                sizes, held, words = (listed(one, c, i) for c in (0, 1, 3))
+                own, packed = slots(words), one.column(2)[i].as_py()
                 kept = own[tokens_of(packed)[np.repeat(~held, sizes)]]
                 # One end token before the first text and one after each.
                 line = np.insert(kept, np.concatenate([[0], np.cumsum(sizes[~held])]), END)
@@ -242,26 +249,28 @@ def scores(documents: DataFrame, rounds=ROUNDS) -> DataFrame:
         slots, classes, moves, below = shared.value
         whole = train_tokens + DELTA * (distinct + 1)
         for one in batches:
-            for ids, sizes, held, packed, words, found in zip(*(one.column(i).to_pylist() for i in range(6))):
+            for i in range(one.num_rows):
+                sizes, words, places, totals = (listed(one, c, i) for c in (1, 4, 5, 6))
+                packed = one.column(3)[i].as_py()
                 n = np.zeros(len(words) + 1)
-                for f in found or ():
-                    n[f["at"]] = f["n"]
+                n[places] = totals
                 n[-1] = texts  # the end token stands last
                 kinds = np.append(classes[slots(words)], 0).astype(np.int64)
                 base = np.log10((n + DELTA) / whole)
                 emit = np.log10((n + DELTA) / below[kinds])
-                tokens, sizes = tokens_of(packed), np.array(sizes)
+                tokens = tokens_of(packed)
                 line = np.insert(tokens.astype(np.int64), np.cumsum(sizes), len(words))
                 turn = kinds[line]
                 steps = moves[np.concatenate([[0], turn[:-1]]), turn]
                 starts = np.cumsum(sizes + 1) - (sizes + 1)
                 total = lambda x: np.add.reduceat(x, starts)
                 score, count = total(emit[line] + steps), sizes + 1
-                yield batch(arrow(SCORES), ids, held, count, total((n > 0)[line].astype(np.int64)), np.full(len(ids), train_tokens),
+                yield batch(arrow(SCORES), one.column(0)[i].values, one.column(2)[i].values, count, total((n > 0)[line].astype(np.int64)), np.full(len(sizes), train_tokens),
                             total(base[line]), score, 10 ** (-score / count))
 
     lists = counts.filter("n > 0").groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("at", "n")).alias("found"))
-    joined = blocks.join(lists, F.col("block") == F.col("of"), "left").select("doc_ids", "sizes", "held", "tokens", "words", "found")
+    joined = blocks.join(lists, F.col("block") == F.col("of"), "left").select(
+        "doc_ids", "sizes", "held", "tokens", "words", F.col("found.at").alias("places"), F.col("found.n").alias("totals"))
     return joined.mapInArrow(run, SCORES)
 
 

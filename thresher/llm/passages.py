@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from thresher.llm.links import bit_table, compared, linked, runs_of, sketch, told
 from thresher.llm.registry import query, table
-from thresher.llm.texts import arrow, batch, digest, mix, shingles, signed, slices, word_hashes, words_of
+from thresher.llm.texts import arrow, batch, mix, shingles, signed, slices, word_hashes, words_of
 from thresher.session import pinned
 
 WORDS = 5
@@ -59,22 +59,48 @@ def cuts(hashes, reach=REACH):
     return [0, *[int(c) for c in found if c > 0], count]
 
 
-def paragraphs(text):
-    """(first word, number of words, sorted shingle hashes) of each paragraph of a text."""
-    hashes = word_hashes(words_of(text))
-    ends = cuts(hashes)
-    return [(a, b - a, np.unique(shingles(hashes[a:b], WORDS))) for a, b in zip(ends, ends[1:])]
+class Paragraphs:
+    """The paragraphs of a text: first words, numbers of words, and shingles one after the other.
 
+    `elements[starts[i]:starts[i + 1]]` are the shingles of the i-th, `items` name their
+    multisets, `sizes` count distinct ones. A paragraph of fewer words than a shingle is one element.
+    """
 
-def band_keys(sets, bands, rows, seeds):
-    """The band keys of many sets: one row per set."""
-    sizes = np.array([len(s) for s in sets])
-    starts = np.cumsum(sizes) - sizes
-    whole = np.concatenate(sets)
-    values = np.empty((bands * rows, len(sets)), np.uint64)
-    for i, seed in enumerate(seeds):
-        values[i] = np.minimum.reduceat(mix(whole ^ seed), starts)
-    keys = np.zeros((bands, len(sets)), np.uint64)
+    def __init__(self, text):
+        hashes = word_hashes(words_of(text))
+        ends = np.array(cuts(hashes))
+        self.firsts, self.words = ends[:-1], np.diff(ends)
+        count = len(self.firsts)
+        if not count:
+            self.elements, self.starts, self.items, self.sizes = np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+            return
+        of = np.repeat(np.arange(count), self.words)
+        inside = of[:1 - WORDS] == of[WORDS - 1:]
+        elements, of = (shingles(hashes, WORDS)[inside], of[:1 - WORDS][inside]) if len(hashes) >= WORDS else (np.empty(0, np.uint64), of[:0])
+        short = np.flatnonzero(self.words < WORDS)
+        if len(short):
+            own = np.concatenate([shingles(hashes[self.firsts[i]:self.firsts[i] + self.words[i]], WORDS) for i in short])
+            spots = np.searchsorted(of, short)
+            elements, of = np.insert(elements, spots, own), np.insert(of, spots, short)
+        self.elements, self.starts = elements, np.searchsorted(of, np.arange(count + 1))
+        order = np.lexsort((elements, of))
+        new = np.ones(len(order), np.int64)
+        new[1:] = (np.diff(of) != 0) | (elements[order][1:] != elements[order][:-1])
+        self.sizes = np.add.reduceat(new, self.starts[:-1])
+        self.items = signed(mix(np.add.reduceat(mix(elements + np.uint64(1)), self.starts[:-1]) + np.diff(self.starts).astype(np.uint64)))
+
+    def __len__(self):
+        return len(self.firsts)
+
+    def set(self, i):
+        """The sorted distinct shingles of a paragraph."""
+        return np.unique(self.elements[self.starts[i]:self.starts[i + 1]])
+
+
+def band_keys(whole, starts, bands, rows, seeds):
+    """The band keys of sets that stand one after the other in `whole`: one row per band."""
+    values = [np.minimum.reduceat(mix(whole ^ seed), starts) for seed in seeds]
+    keys = np.zeros((bands, len(starts)), np.uint64)
     for i in range(bands):
         for j in range(rows):
             keys[i] = mix(keys[i] + values[i * rows + j] + np.uint64(i + 1))
@@ -91,10 +117,12 @@ def postings(documents: DataFrame, bands, rows) -> DataFrame:
     def run(batches):
         schema, seeds = arrow("key long, item long, size long"), seeds_of(bands * rows)
         for one in slices(batches, 500):
-            sets = [s for text in one.column(0) for _, _, s in paragraphs(text.as_py())]
-            if sets:
-                keys = band_keys(sets, bands, rows, seeds)
-                items, sizes = np.array([digest(s) for s in sets]), np.array([len(s) for s in sets])
+            found = [p for p in (Paragraphs(text.as_py()) for text in one.column(0)) if len(p)]
+            if found:
+                shifts = np.cumsum([0] + [len(p.elements) for p in found])
+                starts = np.concatenate([p.starts[:-1] + shift for p, shift in zip(found, shifts)])
+                keys = band_keys(np.concatenate([p.elements for p in found]), starts, bands, rows, seeds)
+                items, sizes = np.concatenate([p.items for p in found]), np.concatenate([p.sizes for p in found])
                 yield batch(schema, signed(keys.ravel()), np.tile(items, bands), np.tile(sizes, bands))
 
     return documents.select("text").mapInArrow(run, "key long, item long, size long")
@@ -114,12 +142,11 @@ def places_of(documents: DataFrame, wanted: DataFrame, differing: DataFrame) ->
         for one in slices(batches, 500):
             rows = []
             for doc_id, text, text_hash in zip(*(one.column(i).to_pylist() for i in range(3))):
-                found = paragraphs(text)
-                items = np.array([digest(s) for _, _, s in found], np.int64)
-                differs = told(unlike, items)
-                for block in np.flatnonzero(told(known, items)).tolist():
-                    first, count, hashes = found[block]
-                    rows.append((doc_id, text_hash, int(items[block]), block, first, count, hashes.tobytes() if differs[block] else None))
+                found = Paragraphs(text)
+                differs = told(unlike, found.items)
+                for i in np.flatnonzero(told(known, found.items)).tolist():
+                    rows.append((doc_id, text_hash, int(found.items[i]), i, int(found.firsts[i]), int(found.words[i]),
+                                 found.set(i).tobytes() if differs[i] else None))
             yield batch(schema, *(zip(*rows) if rows else [[]] * len(schema)))
 
     found = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, PLACES)

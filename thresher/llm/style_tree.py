@@ -122,15 +122,16 @@ def hashed(text):
 
 
 def nodes_of(root):
-    """(node, presentation, content) hashes of the elements of a page."""
+    """(node, presentation, content) hashes of the elements of a page that hold text."""
     todo = [root]
     while todo:
         one = todo.pop()
         below = [c for c in one.children if not isinstance(c, str)]
         todo += below
         if one is not root:
-            shape = ",".join(f"{c.tag}[{c.style}]" for c in below)
-            yield hashed(one.path), hashed(shape), hashed(" ".join(text_of(one).split()))
+            shape, text = ",".join(f"{c.tag}[{c.style}]" for c in below), " ".join(text_of(one).split())
+            if text:
+                yield hashed(one.path), hashed(shape), hashed(text)
 
 
 def link_share(node):
@@ -165,8 +166,10 @@ def main_text(source, removed):
             out.append(one)
             continue
         if one.noise and one not in found:
+            out.append(" ")
             continue
         if not inside and one is not root and (hashed(one.path) in removed or one.tag in ("ul", "ol", "dl", "table", "p") and link_share(one) > LINK_SHARE):
+            out.append(" ")
             continue
         apart = one.tag not in INLINE
         todo += ([" "] if apart else []) + one.children[::-1] + ([" "] if apart else [])
