@@ -91,8 +91,9 @@ def components(edges: DataFrame) -> DataFrame:
 def runs_of(postings: DataFrame, percent, copies=False) -> DataFrame:
     """Postings of the keys that more than one item has, each with the item before it.
 
-    `before` is the item itself where none of its size range comes before. With `copies`,
-    keys that one item has more than once count too. Rows stream through sorted by key;
+    Items none of whose neighbours in size can be linked to them are left out; `before` is
+    the item itself where only the next one can. With `copies`, items that a key has more
+    than once stay too. Rows stream through sorted by key;
     a row or two are held at a time.
     """
 
@@ -106,15 +107,19 @@ def runs_of(postings: DataFrame, percent, copies=False) -> DataFrame:
             out = []
             for i in keep:
                 k, size, item = rows[0][i], rows[1][i], rows[2][i]
-                if k != key:
-                    key, last, last_size, waiting = k, item, size, (k, item, size, item)
+                if k == key and item == last:
+                    if copies and waiting:
+                        out.append(waiting)
+                        waiting = None
                     continue
-                if waiting and (item != last or copies):
-                    out.append(waiting)
-                    waiting = None
-                if item != last:
-                    out.append((k, item, size, last if lowest(last_size, size, percent) else item))
-                    last, last_size = item, size
+                if k == key and lowest(last_size, size, percent):
+                    if waiting:
+                        out.append(waiting)
+                        waiting = None
+                    out.append((k, item, size, last))
+                else:  # a row that waits is dropped: nothing of its size is near
+                    waiting = k, item, size, item
+                key, last, last_size = k, item, size
             return out
 
         for one in batches:
