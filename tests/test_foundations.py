@@ -132,3 +132,16 @@ def test_full_quotas_leave_shards_for_later(spark, tmp_path):
     assert len(first) == 10 and first < after and len(after) == 25
     with pytest.raises(QuotasShort):
         stream_quota_sink(stream(), {split: 100}, out, progress, "digest", "at", on_short="error")
+
+
+def test_release_drops_only_what_the_session_wrote(spark, tmp_path):
+    from pathlib import Path
+
+    from thresher.session import pinned, release, shared_folder
+
+    other = Path(shared_folder(spark)) / "other"
+    other.mkdir(exist_ok=True)
+    assert pinned(spark.range(3)).count() == 3
+    release(spark)
+    assert other.exists() and not (Path(shared_folder(spark)) / spark.sparkContext.applicationId).exists()
+    assert pinned(spark.range(3)).count() == 3

@@ -54,6 +54,15 @@ def fresh_path(spark, label) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def release(spark) -> None:
+    """Deletes what this session wrote below the shared folder.
+
+    For a caller that has read all results; tables and queries made before stop working.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def pinned(df):
     """`df` written to the shared folder and read back.
 
@@ -68,4 +77,3 @@ def pinned(df):
 def parallelism(spark) -> int:
     """How many ways a shuffle is split; also how many slices hot groups get."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
