@@ -127,6 +127,10 @@ class Encoder:
         Arrow splits the texts, tells the distinct pieces and puts their ids in place, so
         Python meets a piece once per call.
         """
+        distinct = dict.fromkeys(texts)
+        if len(distinct) < len(texts):
+            distinct = dict(zip(distinct, self.encode_all(list(distinct))))
+            return [distinct[t] for t in texts]
         simple = [is_simple(t) if t else False for t in texts]
         cut = pc.split_pattern(pa.array([t if s else None for t, s in zip(texts, simple)], pa.large_string()), " ")
         others = [None if s or not t else CUT.split(t) for t, s in zip(texts, simple)]
