@@ -47,7 +47,7 @@ def tokenized(documents: DataFrame, capacity=CAPACITY, vocabulary=None) -> DataF
 
     def run(batches):
         schema, encode = arrow(PIECES), encoder(vocabulary).encode_all
-        for one in slices(batches):
+        for one in slices(batches, 1_000):
             rows = []
             for doc_id, ids in zip(one.column(0).to_pylist(), encode(one.column(1).to_pylist())):
                 wide = np.frombuffer(ids, ID_TYPE).astype("<u4").tobytes() + end

@@ -164,7 +164,7 @@ def write_files(batches, folder, vocabulary):
         state["tokens"] += int(counts.sum())
 
     waiting, held = [], 0
-    for one in slices(batches):
+    for one in slices(batches, 1_000):
         for doc_id, ids in zip(one.column(0).to_pylist(), encode(one.column(1).to_pylist())):
             waiting.append(int(doc_id or 0).to_bytes(8, "little", signed=True) + ids + END)
             held += len(waiting[-1])

@@ -73,7 +73,12 @@ def batch(schema, *columns):
 
 
 def slices(batches, limit=2_000):
-    """Batches cut to at most `limit` rows, so that a task holds few texts at once."""
+    """Batches cut to at most `limit` rows, so that a task holds few texts at once.
+
+    Workers outlive their tasks, so what Arrow keeps for later goes back at the end.
+    """
     for one in batches:
         for start in range(0, one.num_rows, limit):
             yield one.slice(start, limit)
+    del batches
+    pa.default_memory_pool().release_unused()

@@ -19,9 +19,9 @@ import regex
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 ID_TYPE = np.dtype("<u2")  # of the default vocabulary: 50,257 ids
-KEPT_PIECES = 400_000
+KEPT_PIECES = 150_000
 KEPT_LENGTH = 64
-KEPT_TAILS = 50_000
+KEPT_TAILS = 20_000
 CUT = re.compile(r" (?=[!-~\u00a1-\u02ff])")
 # A blank and another white space: no border where there is one of these.
 WHITE_PAIRS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c", " \x85", " \xa0")
