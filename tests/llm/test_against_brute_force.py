@@ -218,6 +218,20 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert found[50] == "Same words on every page Own words 50 of page & more line"
 
 
+def test_style_tree_decides_inside_articles(spark):
+    body = lambda i: (f"<body><div class='k1'>Day {i}</div><div class='k2'>Same line</div><article><p>Own words {i} are <em>not</em> here</p>"
+                      f"<div class='x7'><p>Read also our offers</p></div><p>End {i}</p></article></body>")
+    for count in (3, 12):
+        pages = spark.createDataFrame([(i, f"http://h.example/{i}", body(i)) for i in range(count)] + [(50, "http://other.example/", body(50))]
+                                      + [(60 + i, "http://copies.example/", "<article>All <b>copied</b><p>words</p></article>") for i in range(count)],
+                                      "page_id long, url string, html string")
+        found = {r.page_id: r.text for r in style_tree.extracted(pages).collect()}
+        assert found[2] == "Day 2 Own words 2 are not here End 2"
+        assert found[50] == "Own words 50 are not here Read also our offers End 50"
+        assert found[60] == "All copied words"
+    assert style_tree.main_text("<article><p>a</p></article>", {style_tree.hashed("/article[]"), style_tree.hashed("/article[]/p[]")}) == "a"
+
+
 def test_chats(spark):
     conversations = collections.defaultdict(list)
     for conv_id, _, role, text in sorted(read(spark, "conversations", "conv_id", "turn", "role", "text")):

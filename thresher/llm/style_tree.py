@@ -9,8 +9,11 @@ below IMPORTANCE are removed from every page of the host.
 
 Entropy cannot tell an advert that changes from page to page, so nodes whose tag or
 presentation names a role (menu, footer, advert, form, comments and so on) are removed
-whatever their entropy, and so are lists, tables and paragraphs that are mostly links. A page with
-an article or main element is reduced to it first, and inside it only named roles go.
+whatever their entropy, and so are lists, tables and paragraphs that are mostly links. The tree
+decides inside an article or main element too; only the element itself is never removed, and
+neither are marked words of a sentence. Around such an element, text is kept where the tree has found
+importance; where it has seen too few pages to tell, the element alone is the main text. Copies of a
+page count as one page. A page of which the tree would leave nothing is read without it.
 
 Counts are totalled per host, node and value before any row of a host meets another, so
 a large host is no large group; per host only the list of removed nodes is joined to its
@@ -28,9 +31,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from thresher.llm.registry import query, table
 from thresher.llm.texts import arrow, batch, slices
+from thresher.session import pinned
 
 IMPORTANCE = 0.1
-LEAST_PAGES = 8
+LEAST_PAGES = 2
 LINK_SHARE = 0.6
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -47,7 +51,7 @@ NOISE_WORDS = frozenset(
 # Elements that a new one of the same kind closes.
 CLOSED_BY = {"p": INLINE | {"p"}, "li": INLINE | {"li", "p"}, "td": INLINE | {"td", "th", "p"}, "tr": INLINE | {"tr", "td", "th", "p"},
              "dt": INLINE | {"dt", "dd", "p"}, "dd": INLINE | {"dt", "dd", "p"}, "option": {"option"}}
-NODES = "host string, node long, kind int, value long"
+NODES = "host string, node long, kind int, value long, around int, share double"
 
 
 class Node:
@@ -121,17 +125,36 @@ def hashed(text):
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def nodes_of(root):
-    """(node, presentation, content) hashes of the elements of a page that hold text."""
-    todo = [root]
+def branches(root):
+    """The article and main elements of a page, without those inside others or inside noise."""
+    found, todo = [], [root]
     while todo:
         one = todo.pop()
+        if one.main and not one.noise:
+            found.append(one)
+        elif not one.noise:
+            todo += [c for c in one.children[::-1] if not isinstance(c, str)]
+    return found
+
+
+def nodes_of(root):
+    """(node, presentation, content) hashes of the elements of a page that hold text.
+
+    The last value tells elements around an article or main element: neither in one nor above it.
+    """
+    found = branches(root)
+    above = [one.path + "/" for one in found]
+    todo = [(root, not found)]
+    while todo:
+        one, inside = todo.pop()
+        inside = inside or one in found
         below = [c for c in one.children if not isinstance(c, str)]
-        todo += below
+        todo += [(c, inside) for c in below]
         if one is not root:
             shape, text = ",".join(f"{c.tag}[{c.style}]" for c in below), " ".join(text_of(one).split())
             if text:
-                yield hashed(one.path), hashed(shape), hashed(text)
+                around = not inside and not any(path.startswith(one.path + "/") for path in above)
+                yield hashed(one.path), hashed(shape), hashed(text), int(around)
 
 
 def link_share(node):
@@ -148,31 +171,47 @@ def link_share(node):
     return linked / total if total else 0.0
 
 
-def main_text(source, removed):
-    """The text of a page without noise; `removed` holds the nodes its host's tree condemns."""
+def in_sentence(node, parent):
+    """Whether an element marks words of a text that goes on around it."""
+    return node.tag in INLINE and any(isinstance(c, str) and c.strip() for c in parent.children)
+
+
+def main_text(source, removed, important=frozenset()):
+    """The text of a page without noise.
+
+    `removed` holds the nodes its host's tree condemns, `important` those around articles that it does not.
+    """
     root = parsed(source)
-    found, todo = [], [root]
-    while todo:
-        one = todo.pop()
-        if one.main and not one.noise:
-            found.append(one)
-        elif not one.noise:
-            todo += [c for c in one.children[::-1] if not isinstance(c, str)]
-    inside = bool(found)
-    out, todo = [], (found or [root])[::-1]
+    text = text_without(root, removed, important)
+    return text if text or not removed else text_without(root, frozenset(), important)
+
+
+def text_without(root, removed, important):
+    found = branches(root)
+    # Each element with its parent and where it stands: around the main branch, inside it, or in a text of its own.
+    around, inside, own = range(3)
+    out, todo = [], [(root, None, around if found else own)]
     while todo:
-        one = todo.pop()
+        one, parent, place = todo.pop()
         if isinstance(one, str):
-            out.append(one)
+            if place != around:
+                out.append(one)
             continue
-        if one.noise and one not in found:
+        if one in found:
+            place = inside
+        elif one.noise:
             out.append(" ")
             continue
-        if not inside and one is not root and (hashed(one.path) in removed or one.tag in ("ul", "ol", "dl", "table", "p") and link_share(one) > LINK_SHARE):
-            out.append(" ")
-            continue
-        apart = one.tag not in INLINE
-        todo += ([" "] if apart else []) + one.children[::-1] + ([" "] if apart else [])
+        elif one is not root:
+            node = hashed(one.path)
+            if place == around and node in important and link_share(one) <= LINK_SHARE:
+                place = own
+            gone = place != around and node in removed and not (place == inside and in_sentence(one, parent))
+            if gone or place == own and one.tag in ("ul", "ol", "dl", "table", "p") and link_share(one) > LINK_SHARE:
+                out.append(" ")
+                continue
+        apart = [(" ", None, own)] if one.tag not in INLINE else []
+        todo += apart + [(c, one, place) for c in one.children[::-1]] + apart
     return " ".join(entities.unescape("".join(out)).split())
 
 
@@ -181,35 +220,42 @@ def host_of(url):
 
 
 def condemned(pages: DataFrame, importance=IMPORTANCE, least_pages=LEAST_PAGES) -> DataFrame:
-    """(host, removed): per host the nodes of low importance."""
+    """(host, removed, important): per host the nodes of low importance, and those around articles that are not."""
 
     def run(batches):
         schema = arrow(NODES)
         for one in slices(batches, 200):
             rows = []
-            for host, source in zip(one.column(0).to_pylist(), one.column(1).to_pylist()):
-                for node, shape, content in set(nodes_of(parsed(source or ""))):
-                    rows += [(host, node, 0, shape), (host, node, 1, content)]
-            yield batch(schema, *(zip(*rows) if rows else [[]] * 4))
-
-    nodes = pages.select("host", "html").mapInArrow(run, NODES)
-    counts = nodes.groupBy("host", "node", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    spread = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("told"))
+            for host, source, share in zip(*(one.column(c).to_pylist() for c in range(3))):
+                for node, shape, content, around in set(nodes_of(parsed(source or ""))):
+                    rows += [(host, node, 0, shape, around, share), (host, node, 1, content, around, share)]
+            yield batch(schema, *(zip(*rows) if rows else [[]] * len(schema)))
+
+    # Copies of a page tell no more than one of them.
+    page = F.xxhash64("html")
+    copies = pinned(pages.groupBy(F.col("host").alias("of"), page.alias("page")).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
+    weighed = pages.join(copies, (F.col("host") == F.col("of")) & (page == F.col("page")), "left").select(
+        "host", "html", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
+    nodes = weighed.mapInArrow(run, NODES)
+    counts = nodes.groupBy("host", "node", "kind", "value").agg(F.round(F.sum("share")).alias("n"), F.max("around").alias("around"))
+    spread = counts.groupBy("host", "node", "kind").agg(F.max("around").alias("around"), F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("told"))
     entropy = (F.log("pages") - F.col("told") / F.col("pages")) / F.log("pages")
-    least = spread.filter(F.col("pages") >= least_pages).groupBy("host", "node").agg(F.max(entropy).alias("importance"))
-    return least.filter(F.col("importance") < importance).groupBy("host").agg(F.collect_set("node").alias("removed"))
+    least = spread.filter(F.col("pages") >= least_pages).groupBy("host", "node").agg(F.max(entropy).alias("importance"), F.max("around").alias("around"))
+    low = F.col("importance") < importance
+    return least.filter(low | (F.col("around") == 1)).groupBy("host").agg(
+        F.collect_set(F.when(low, F.col("node"))).alias("removed"), F.collect_set(F.when(~low, F.col("node"))).alias("important"))
 
 
 def extracted(pages: DataFrame, importance=IMPORTANCE, least_pages=LEAST_PAGES) -> DataFrame:
     """page_id, url and the main text of every page."""
     pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     lists = condemned(pages, importance, least_pages).withColumnRenamed("host", "of")
-    joined = pages.join(lists, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "removed")
+    joined = pages.join(lists, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "removed", "important")
 
     def run(batches):
         schema = arrow("page_id long, url string, text string, n_chars long")
         for one in slices(batches, 200):
-            texts = [main_text(h or "", frozenset(r or ())) for h, r in zip(one.column(2).to_pylist(), one.column(3).to_pylist())]
+            texts = [main_text(h or "", frozenset(r or ()), frozenset(i or ())) for h, r, i in zip(*(one.column(c).to_pylist() for c in (2, 3, 4)))]
             yield batch(schema, one.column(0), one.column(1).cast("string"), texts, [len(t) for t in texts])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
