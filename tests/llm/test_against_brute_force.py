@@ -6,6 +6,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -308,6 +309,23 @@ def test_toxicity_learns_planted_words(spark):
     assert len(held) > 50 and right > 0.95
 
 
+def test_toxicity_thresholds_use_all_labels(spark):
+    """A language with few of the sampled labels has its own threshold, and the cuts are the best over all rows not fitted."""
+    random = np.random.default_rng(9)
+    lang = lambda i: "fr" if i % 50 < 2 else "en"
+    rows = [(i, " ".join(random.choice(["vile", "mild", "calm", "kind"], 8, p=[.2, .3, .3, .2] if i % 2 else [.1, .3, .3, .3])), lang(i), i % 2) for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    network, used = toxicity.fitted(docs, docs, 100)
+    answered = toxicity.answers(docs, network)
+    cut, cuts = toxicity.calibrated(answered, docs, used)
+    assert set(cuts) == {"en", "fr"} and len(used) == 150
+    spent = {r.doc_id for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(7)).alias("t")).collect() if r.t in set(used)}
+    rest = [(r.logit, r.doc_id % 2) for r in answered.collect() if not r.held_out and r.doc_id not in spent]
+    logits, truth = np.array(rest).T
+    f1 = lambda c: 2 * truth[logits >= c].sum() / ((logits >= c).sum() + truth.sum())
+    assert len(rest) > 1500 and f1(cut) > max(map(f1, np.unique(logits))) - 0.01
+
+
 def test_long_texts_are_pooled_whole():
     network = toxicity.Network()
     text = toxicity.rows_of(" ".join(f"w{i}" for i in range(3000)))

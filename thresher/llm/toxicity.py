@@ -7,8 +7,9 @@ and one linear layer gives the score. Training is plain gradient descent with
 per-parameter steps; only the positions that won the pooling pass a gradient on.
 
 The classifier is fitted on at most TRAIN_ROWS labelled training rows of each label, taken
-in the order of a digest; a quarter of them is set aside to calibrate. The score is
-shifted so that 0.5 maximises F1 at the label rates of all training rows; thresholds per
+in the order of a digest, less a quarter of them. All other labelled training rows calibrate:
+they are counted by language, label and fine bin of their score, and the counts are weighed to the
+label rates of all training rows. The score is shifted so that 0.5 maximises F1 over them; thresholds per
 language do the same among rows of a language, as a column beside the score, which never sees it.
 
 Null and empty texts have one empty position and a score like any other. Labels are read
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from thresher.llm.registry import query, table
 from thresher.llm.texts import arrow, batch, slices
+from thresher.session import pinned
 
 TRAIN_ROWS = 2000
 FOLDS = 5
@@ -36,6 +38,9 @@ BATCH = 32
 RATE = 0.05
 SEGMENT = 20_000  # words that are convolved at once; longer texts are pooled piece by piece
 LEAST_PER_LANGUAGE = 20
+FINE = 256  # bins of the score to one unit of its logit
+FARTHEST = 20  # logits beyond share the outermost bins
+ANSWERS = "doc_id long, held_out boolean, lang string, logit double"
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -169,24 +174,25 @@ class Network:
         value -= rate * pull / np.sqrt(seen)
 
 
-def best_threshold(logits, labels, weights):
-    """The logit above which F1 is greatest, halfway to the next lower one."""
-    order = np.argsort(-logits, kind="stable")
-    logits, labels, weights = logits[order], labels[order], weights[order]
-    hits = np.cumsum(labels * weights)
-    f1 = 2 * hits / (np.cumsum(weights) + (labels * weights).sum())
-    at = int(np.argmax(f1))
-    return float(logits[at] if at + 1 == len(logits) else (logits[at] + logits[at + 1]) / 2)
+def best_threshold(bins, hits, misses):
+    """The logit above which F1 is greatest, halfway to the next lower bin; `hits` and `misses` are weights of distinct bins."""
+    order = np.argsort(-bins)
+    bins, hits, misses = bins[order], np.cumsum(hits[order]), np.cumsum(misses[order])
+    at = int(np.argmax(2 * hits / (hits + misses + hits[-1])))
+    return float(bins[at] if at + 1 == len(bins) else (bins[at] + bins[at + 1] + 1) / 2) / FINE
 
 
 def training_fold(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")), F.lit(0)) % FOLDS != 0
 
 
-def train(documents: DataFrame, labels: DataFrame, rows=TRAIN_ROWS):
-    """(network, thresholds by language) from at most `rows` rows of each label."""
-    known = labels.filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("of"), F.col("toxic").cast("int").alias("label")).filter(training_fold(F.col("of")))
-    rates = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+def known_labels(labels: DataFrame) -> DataFrame:
+    return labels.filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("of"), F.col("toxic").cast("int").alias("label")).filter(training_fold(F.col("of")))
+
+
+def fitted(documents: DataFrame, labels: DataFrame, rows=TRAIN_ROWS):
+    """(network, digests of the doc_ids it was fitted on) from at most `rows` rows of each label; None without both."""
+    known = known_labels(labels)
     order = F.xxhash64("of", F.lit(7))
     picked = None
     for label in (0, 1):
@@ -195,55 +201,103 @@ def train(documents: DataFrame, labels: DataFrame, rows=TRAIN_ROWS):
 
     def run(batches):
         for one in batches:
-            yield batch(arrow("label int, lang string, turn long, tokens binary"), one.column(0), one.column(1), one.column(2),
-                        [rows_of(t).tobytes() for t in one.column(3).to_pylist()])
+            yield batch(arrow("label int, turn long, tokens binary"), one.column(0), one.column(1), [rows_of(t).tobytes() for t in one.column(2).to_pylist()])
 
     # The sample has 2 x rows rows at most.
-    chosen = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).join(F.broadcast(picked), F.col("doc_id") == F.col("of"))
-    sample = chosen.select("label", "lang", order.alias("turn"), "text").mapInArrow(run, "label int, lang string, turn long, tokens binary").collect()
+    chosen = documents.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("of"))
+    sample = chosen.select("label", order.alias("turn"), "text").mapInArrow(run, "label int, turn long, tokens binary").collect()
     network = Network()
     if len({r["label"] for r in sample}) < 2:
-        return network, {}
+        return network, None
     sample.sort(key=lambda r: (r["turn"], r["tokens"]))
-    texts = [np.frombuffer(r["tokens"], np.uint16).reshape(-1, 3) for r in sample]
-    truth = np.array([r["label"] for r in sample], np.float32)
-    held = np.arange(len(sample)) % 4 == 0
-    network.fit([t for t, h in zip(texts, held) if not h], truth[~held])
-    logits, truth = network.logits([t for t, h in zip(texts, held) if h]), truth[held]
-    weights = np.where(truth > 0, rates[1] / max(1, truth.sum()), rates[0] / max(1, (1 - truth).sum()))
-    cut = best_threshold(logits, truth, weights)
-    network.shift = -cut
-    langs = np.array([r["lang"] or "" for r, h in zip(sample, held) if h])
-    cuts = {}
-    for lang in sorted(set(langs)):
-        own = langs == lang
-        if min((truth[own] > 0).sum(), (truth[own] == 0).sum()) >= LEAST_PER_LANGUAGE:
-            cuts[lang] = best_threshold(logits[own], truth[own], weights[own]) - cut
-    return network, {lang: float(1 / (1 + np.exp(-c))) for lang, c in cuts.items()}
+    turns, places = np.unique([r["turn"] for r in sample], return_inverse=True)
+    learnt = [r for r, place in zip(sample, places.tolist()) if place % 4]
+    texts = [np.frombuffer(r["tokens"], np.uint16).reshape(-1, 3) for r in learnt]
+    network.fit(texts, np.array([r["label"] for r in learnt], np.float32))
+    return network, turns[np.arange(len(turns)) % 4 > 0].tolist()
 
 
-def scored(documents: DataFrame, network, thresholds) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the verdict by the language's own threshold."""
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(network)
+def answers(documents: DataFrame, network) -> DataFrame:
+    """doc_id, held_out, lang and the logit of every document."""
+    shared = documents.sparkSession.sparkContext.broadcast(network)
 
     def run(batches):
-        schema = arrow("doc_id long, held_out boolean, lang string, score double")
         for one in slices(batches, 200):
-            logits = shared.value.logits([rows_of(t) for t in one.column(3).to_pylist()])
-            yield batch(schema, one.column(0), one.column(1), one.column(2), 1 / (1 + np.exp(-logits)))
+            yield batch(arrow(ANSWERS), one.column(0), one.column(1), one.column(2), shared.value.logits([rows_of(t) for t in one.column(3).to_pylist()]))
 
     rows = documents.select(F.col("doc_id").cast("long"), (~training_fold(F.col("doc_id"))).alias("held_out"), F.col("lang").cast("string").alias("lang"), "text")
-    done = rows.mapInArrow(run, "doc_id long, held_out boolean, lang string, score double")
+    return rows.mapInArrow(run, ANSWERS)
+
+
+def threshold_of(counts):
+    """The best threshold of counts (bin, label, used, n), and the least number of rows of a label that set it.
+
+    `used` rows were fitted: they count for the label rates alone.
+    """
+    free = counts[~counts["used"]]
+    table = free.pivot_table(index="bin", columns="label", values="n", aggfunc="sum", fill_value=0).reindex(columns=[0, 1], fill_value=0)
+    sums, rates = table.sum(), counts.groupby("label")["n"].sum()
+    least = int(sums.min())
+    if not least:
+        return 0.0, 0
+    return best_threshold(table.index.to_numpy(np.int64), table[1].to_numpy() * (rates[1] / sums[1]), table[0].to_numpy() * (rates[0] / sums[0])), least
+
+
+def calibrated(answered: DataFrame, labels: DataFrame, used):
+    """(logit to decide at, logits by language) over all labelled training rows but the fitted ones."""
+    spark = answered.sparkSession
+    if used is None:
+        return 0.0, {}
+    spent = F.broadcast(spark.createDataFrame([(t,) for t in used], "spent long"))
+    known = known_labels(labels).withColumn("turn", F.xxhash64("of", F.lit(7))).join(spent, F.col("turn") == F.col("spent"), "left")
+    fine = F.floor(F.greatest(F.lit(-FARTHEST), F.least(F.lit(FARTHEST), F.col("logit"))) * FINE).cast("int")
+    rows = answered.join(known, F.col("doc_id") == F.col("of").cast("long")).select(
+        F.coalesce("lang", F.lit("")).alias("lang"), fine.alias("bin"), "label", F.col("spent").isNotNull().alias("used"))
+    counts = pinned(rows.groupBy("lang", "bin", "label", "used").agg(F.count(F.lit(1)).alias("n")))
+    # At most 2 x FARTHEST x FINE bins by label and use.
+    cut = threshold_of(counts.groupBy("bin", "label", "used").agg(F.sum("n").alias("n")).toPandas())[0]
+
+    def of_language(key, group):
+        import pandas as pd
+
+        return pd.DataFrame([(key[0], *threshold_of(group))], columns=["lang", "logit", "least"])
+
+    found = counts.groupBy("lang").applyInPandas(of_language, "lang string, logit double, least long").filter(F.col("least") >= LEAST_PER_LANGUAGE)
+    return cut, {r["lang"]: r["logit"] for r in found.orderBy("lang").collect()}
+
+
+def train(documents: DataFrame, labels: DataFrame, rows=TRAIN_ROWS):
+    """(network, thresholds by language), fitted on at most `rows` rows of each label and calibrated on all others."""
+    network, used = fitted(documents, labels, rows)
+    cut, cuts = calibrated(answers(documents, network), labels, used)
+    network.shift = -cut
+    return network, scores_at(cuts, cut)
+
+
+def scores_at(cuts, cut):
+    return {lang: float(1 / (1 + np.exp(cut - own))) for lang, own in cuts.items()}
+
+
+def verdicts(answered: DataFrame, cut, thresholds) -> DataFrame:
+    """doc_id, held_out, score, predicted, and the verdict by the language's own threshold."""
+    done = answered.withColumn("score", 1 / (1 + F.exp(F.lit(cut) - F.col("logit"))))
     threshold = F.lit(0.5)
-    for lang, cut in thresholds.items():
-        threshold = F.when(F.coalesce("lang", F.lit("")) == lang, F.lit(cut)).otherwise(threshold)
+    for lang, own in thresholds.items():
+        threshold = F.when(F.coalesce("lang", F.lit("")) == lang, F.lit(own)).otherwise(threshold)
     return done.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
                        threshold.alias("threshold"), (F.col("score") >= threshold).alias("flagged"))
 
 
+def scored(documents: DataFrame, network, thresholds) -> DataFrame:
+    """The verdicts on documents by a calibrated network."""
+    return verdicts(answers(documents, network), 0.0, thresholds)
+
+
 @query()
 def op9_toxicity(spark, sf_dir):
     """A score for every document."""
-    documents = table(spark, sf_dir, "documents")
-    return scored(documents, *train(documents, table(spark, sf_dir, "labels")))
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    network, used = fitted(documents, labels)
+    answered = pinned(answers(documents, network))
+    cut, cuts = calibrated(answered, labels, used)
+    return verdicts(answered, cut, scores_at(cuts, cut))
