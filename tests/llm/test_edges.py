@@ -3,6 +3,7 @@
 import os
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,16 @@ def test_contamination(spark, odd, none):
     assert contamination.contained(odd, wanted.limit(0)).count() == 0 and contamination.clean_documents(odd, wanted.limit(0)).count() == odd.count()
 
 
+def test_short_items_in_long_documents(spark):
+    """Items of one to four shingles are found as surely as longer ones."""
+    random = np.random.default_rng(3)
+    text = lambda n: " ".join(f"w{k}" for k in random.integers(0, 10_000, n))
+    items = [(f"i{k}", text(5 + k % 4)) for k in range(600)]
+    docs = [(k, f"{text(40)} {item} {text(40)}") for k, (_, item) in enumerate(items)]
+    found = contamination.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(k, item_id) for k, (item_id, _) in enumerate(items)}
+
+
 def test_overlap_join(odd, none):
     rows = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in overlap_join.near_duplicates(odd).collect())
     assert rows == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 59997, 4), (5, 117, 5), (5, 117, 5), (6, 117, 5), (7, 1, 7), (8, 2, 8), (0, 119, 5),

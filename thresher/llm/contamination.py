@@ -30,7 +30,7 @@ from thresher.session import pinned
 WORDS = 5
 PERCENT = 80
 RECALL = 0.9999
-SMALLEST_CLASS = 8
+SMALLEST_CLASS = 1
 # Bits of the table that tells shingles of items, in words of 64.
 BITS = 1 << 20
 MASK = BITS // 64 - 1
