@@ -1,10 +1,10 @@
-"""Jaccard join of documents on word n-grams by T-occurrence search.
+"""Jaccard join of documents on word n-grams by prefix filtering.
 
 Two sets of n-grams with 100 * intersection >= percent * union share at least
-T = ceil(percent * n / 100) elements, n the size of either. By DivideSkip a set's lists
-are divided: its n - T + 1 shortest inverted lists are merged, which a partner must
-occur in at least once, and the T - 1 longest are never merged but probed by binary
-search for the partners found. Which lists are short is told by a table of counts of
+T = ceil(percent * n / 100) elements, n the size of either. So a partner occurs at least once in
+a set's n - T + 1 shortest inverted lists, and only those are made. This replaces DivideSkip: the
+T - 1 longest lists do not exist, occurrences are not counted, and what meets in a short list
+is verified by its whole set. Which lists are short is told by a table of counts of
 fixed size that n-grams are hashed to; a wrong count makes a list longer, never a link
 lost, since any one order of the n-grams gives the same result. Partners whose parity
 sketches differ too much to be linked are dropped before their sets are fetched.
