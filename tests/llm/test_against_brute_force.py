@@ -128,6 +128,34 @@ def test_exchange_raises_the_likelihood():
     assert values[-1] > values[0]
 
 
+def test_words_beyond_the_frequent_ones_have_classes_of_their_own(spark, monkeypatch):
+    """Rare words of two kinds that take turns are told apart by their neighbours, not by their hash."""
+    monkeypatch.setattr(class_model, "TOP_WORDS", 20)
+    monkeypatch.setattr(class_model, "BUCKET_WORDS", 50)
+    random = np.random.default_rng(6)
+    word = lambda kind: f"{kind}{random.integers(10)}" if random.random() < 0.6 else f"rare{kind}{random.integers(400)}"
+    rows = [(i, " ".join(word("ab"[k % 2]) for k in range(200))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    blocks = links.pinned(class_model.blocks_of(docs))
+    (slots, classes, known), back, buckets, bigrams, sizes, n, distinct = class_model.modelled(blocks)
+    assert sizes.sum(axis=0).tolist() == [distinct, n] and buckets > 4
+    kinds, held = {}, {r["of"]: r["back"] for r in class_model.with_back(blocks, back).withColumnRenamed("block", "of").select("of", "back").collect()}
+    for r in blocks.collect():
+        words = np.array(r["words"], np.int64)
+        found, counts = class_model.kinds_and_counts(words, held[r["block"]], slots, classes, known, buckets)
+        for w, k, c in zip(words.tolist(), found.tolist(), counts.tolist()):
+            assert kinds.setdefault(w, (k, c)) == (k, c)
+    hashed = lambda w: int(class_model.word_hashes([w.encode()]).view(np.int64)[0])
+    sides = [collections.Counter(), collections.Counter()]
+    for side, letter in zip(sides, "ab"):
+        for i in range(400):
+            k, c = kinds.get(hashed(f"rare{letter}{i}"), (0, 0))
+            if c:
+                side[k] += 1
+    mixed = sum(min(sides[0][k], sides[1][k]) for k in sides[0])
+    assert min(sum(side.values()) for side in sides) > 300 and mixed < 20
+
+
 def test_passages_find_long_repeats(spark, documents):
     found = collections.defaultdict(set)
     for r in passages.shared_passages(spark.createDataFrame(documents, "doc_id long, text string")).collect():

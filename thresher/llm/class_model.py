@@ -1,17 +1,20 @@
 """Brown class-based bigram model: exchange clustering, class transitions, word emissions.
 
 The probability of a word after another is P(its class | class before) times
-P(word | its class), both smoothed. Every word has a class through its slot: the
-TOP_WORDS most frequent words have slots of their own and all others share HASHED slots by
-hash, so the tables that are clustered have a fixed size and every word of any corpus
-is covered. Exchange clustering moves one slot after the other, the most frequent first, to
+P(word | its class), both smoothed. The TOP_WORDS most frequent words have slots of their
+own and all others share HASHED slots by hash at first, so the tables that are clustered have a
+fixed size. Exchange clustering moves one slot after the other, the most frequent first, to
 the class that raises the likelihood of the class bigrams most, given counts of what
 classes precede and follow each slot; the counts come from a pass over all training
 tokens before each of the ROUNDS.
 
+Then each other word of the training texts gets a class by its own counts: blocks send what classes
+follow and precede each of their words to the word's bucket, which totals them, takes the class of
+the greatest likelihood by the table of class bigrams, and sends class and count back to the
+blocks. There are OWN_ROUNDS of this. Only words no training text has keep the class of their slot.
+
 Texts are first turned into blocks: documents of a task, at most BLOCK_CHARS characters, as
-numbers into the block's own word list. Only word lists are shuffled, to total the
-counts of the words over all blocks and bring them back; passes read the blocks.
+numbers into the block's own word list; passes read the blocks.
 
 Null, empty and blank texts are the end token alone. Repeated doc_ids are scored (and
 learnt from) each. A null doc_id is held out. With no training rows every probability comes from the
@@ -23,11 +26,11 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from thresher.llm.registry import query, table
-from thresher.llm.texts import arrow, batch, slices, word_hashes, words_of
-from thresher.session import pinned
+from thresher.llm.texts import arrow, batch, mix, slices, word_hashes, words_of
+from thresher.session import parallelism, pinned
 
 FOLDS = 10
 DELTA = 0.1
@@ -38,9 +41,14 @@ HASHED = 4096
 SLOTS = TOP_WORDS + HASHED + 1  # the last one is the end token's
 END = SLOTS - 1
 ROUNDS = 3
+OWN_ROUNDS = 2
+# Words of blocks that one bucket totals.
+BUCKET_WORDS = 200_000
 BLOCK_CHARS = 4_000_000
 CELLS_PER_CHUNK = 8192
 BLOCKS = "block long, doc_ids array<long>, sizes array<int>, held array<boolean>, tokens binary, words array<long>, counts array<long>"
+SENT = "bucket int, block long, words binary, kinds binary, codes binary, counts binary"
+BACK = "block long, bucket int, kinds binary, counts binary, sizes array<long>"
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
           "perplexity double")
 
@@ -53,8 +61,6 @@ def blocks_of(documents: DataFrame) -> DataFrame:
     """Blocks of documents; `words` are hashes, most frequent first, `counts` theirs in the block's training texts."""
 
     def pack(number, ids, hashes):
-        import zstandard
-
         sizes = np.array([len(h) for h in hashes], np.int32)
         held = np.array([held_out(i) for i in ids])
         words, tokens, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]), return_inverse=True, return_counts=True)
@@ -63,8 +69,7 @@ def blocks_of(documents: DataFrame) -> DataFrame:
         place[order] = np.arange(len(order))
         tokens = place[tokens].astype("<u4")
         learnt = np.bincount(tokens[np.repeat(~held, sizes)], minlength=len(words))
-        packed = zstandard.ZstdCompressor(level=1).compress(tokens.tobytes())
-        return number, ids, sizes.tolist(), held.tolist(), packed, words[order].view(np.int64), learnt
+        return number, ids, sizes.tolist(), held.tolist(), packed(tokens), words[order].view(np.int64), learnt
 
     def run(batches):
         from pyspark import TaskContext
@@ -92,22 +97,26 @@ def listed(rows, column, i):
     return np.empty(0, np.int64) if values is None else values.to_numpy(zero_copy_only=False)
 
 
-def tokens_of(packed):
+def packed(values):
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<u4") if packed else np.empty(0, "<u4")
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
 
 
-def counted(blocks: DataFrame) -> DataFrame:
-    """(block, at, n, word): the training count n over all blocks of the word at place `at` of a block's list.
+def unpacked(held, kind="<u4"):
+    import zstandard
 
-    `word` is given once for every word, and null in its other rows.
-    """
-    lists = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select(
-        "block", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    of_word = Window.partitionBy("word")
-    total = lists.select("block", "at", "word", F.sum("n").over(of_word).alias("n"), F.row_number().over(of_word.orderBy("block")).alias("turn"))
-    return total.select("block", "at", "n", F.when(F.col("turn") == 1, F.col("word")).alias("word"))
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(held), kind) if held else np.empty(0, kind)
+
+
+def tokens_of(held):
+    return unpacked(held)
+
+
+def counted(blocks: DataFrame) -> DataFrame:
+    """(word, n): the training count over all blocks of every word of the training texts."""
+    lists = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    return lists.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Slots:
@@ -117,6 +126,10 @@ class Slots:
         self.words = np.array(sorted(top), np.int64)
         self.slots = np.array([top[w] for w in self.words.tolist()], np.int64)
 
+    def own(self, words):
+        """Which words have a slot of their own."""
+        return np.isin(words, self.words)
+
     def __call__(self, words):
         words = np.asarray(words, np.int64)
         shared = TOP_WORDS + (words.view(np.uint64) >> np.uint64(40)).astype(np.int64) % HASHED
@@ -203,62 +216,193 @@ def exchanged(after, before, classes):
     return classes
 
 
-def class_sizes(counts: DataFrame, slots, classes):
-    """Per class the number of known words and of their training tokens."""
-    shared = counts.sparkSession.sparkContext.broadcast((slots, classes))
+def moves_of(bigrams):
+    """The smoothed probabilities of a class after another."""
+    share = (bigrams.sum(axis=0) + ALPHA) / (bigrams.sum() + ALPHA * CLASSES)
+    return (bigrams + ALPHA * CLASSES * share) / (bigrams.sum(axis=1, keepdims=True) + ALPHA * CLASSES)
+
+
+def best_classes(after, before, own, bigrams):
+    """The class of the greatest likelihood for words by what classes follow and precede them.
+
+    A word's own part is taken out of the table where its present class is weighed.
+    """
+    n, moves, share = after.sum(axis=1), np.log(moves_of(bigrams)), (bigrams.sum(axis=0) + ALPHA) / (bigrams.sum() + ALPHA * CLASSES)
+    totals = bigrams.sum(axis=1)
+    gain = after @ moves.T + before @ moves - n[:, None] * np.log(totals + ALPHA)
+    rows, columns = np.maximum(bigrams[own] - after, 0), np.maximum(bigrams[:, own].T - before, 0)
+    left = np.maximum(totals[own] - n, 0)
+    stay = (after * np.log((rows + ALPHA * CLASSES * share) / (left + ALPHA * CLASSES)[:, None])).sum(axis=1)
+    stay += (before * np.log((columns + ALPHA * CLASSES * share[own][:, None]) / (totals + ALPHA * CLASSES))).sum(axis=1)
+    gain[np.arange(len(own)), own] = stay - n * np.log(left + ALPHA)
+    gain[:, 0] = -np.inf
+    return np.where(n > 0, gain.argmax(axis=1), own).astype(np.uint8)
+
+
+def dealt(words, slots, buckets):
+    """The places of a block's words without a slot of their own, by bucket, and the buckets."""
+    places = np.flatnonzero(~slots.own(words))
+    of = (mix(words[places].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    return places[order], of[order]
+
+
+def kinds_and_counts(words, back, slots, classes, known, buckets):
+    """The class and training count of each word of a block; `back` is what the buckets sent, if they have."""
+    kinds, n = classes[slots(words)], np.zeros(len(words), np.int64)
+    if back is not None:
+        places, _ = dealt(words, slots, buckets)
+        back = sorted(back, key=lambda r: r["bucket"])
+        if len(places):
+            kinds[places] = np.concatenate([np.frombuffer(r["kinds"], np.uint8) for r in back])
+            n[places] = np.concatenate([unpacked(r["counts"], "<i8") for r in back])
+    own = slots.own(words)
+    n[own] = known[slots(words[own])]
+    return kinds, n
+
+
+def with_back(blocks: DataFrame, back) -> DataFrame:
+    if back is None:
+        return blocks.withColumn("back", F.lit(None).cast("array<struct<bucket:int,kinds:binary,counts:binary>>"))
+    lists = back.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("bucket", "kinds", "counts")).alias("back"))
+    return blocks.join(lists, F.col("block") == F.col("of"), "left").drop("of")
+
+
+def line_of(one, i, words):
+    """The training tokens of a block in a row, with end tokens, which stand behind the words, around texts."""
+    sizes, held = (listed(one, c, i) for c in (0, 1))
+    kept = tokens_of(one.column(2)[i].as_py())[np.repeat(~held, sizes)].astype(np.int64)
+    return np.insert(kept, np.concatenate([[0], np.cumsum(sizes[~held])]), len(words))
+
+
+def assigned(blocks: DataFrame, back, model, bigrams, buckets) -> DataFrame:
+    """(block, bucket, kinds, counts, sizes): new classes and training counts of the words of blocks, in the order of :func:`dealt`.
+
+    `sizes`, once for a bucket, are the numbers of its words by class and of their training tokens.
+    """
+    shared = blocks.sparkSession.sparkContext.broadcast((model, bigrams))
+
+    def send(batches):
+        (slots, classes, known), _ = shared.value
+        for one in batches:
+            for i in range(one.num_rows):
+                words = listed(one, 3, i)
+                kinds, _ = kinds_and_counts(words, one.column(4)[i].as_py(), slots, classes, known, buckets)
+                places, of = dealt(words, slots, buckets)
+                line, kinds = line_of(one, i, words), np.append(kinds, 0)
+                turn = np.full(len(words) + 1, -1)
+                turn[places] = np.arange(len(places))
+                codes = np.concatenate([(turn[line[:-1]] * 2 * CLASSES + kinds[line[1:]])[turn[line[:-1]] >= 0],
+                                        (turn[line[1:]] * 2 * CLASSES + CLASSES + kinds[line[:-1]])[turn[line[1:]] >= 0]])
+                codes, counts = np.unique(codes, return_counts=True)
+                firsts = np.flatnonzero(np.diff(of, prepend=-1))
+                ends = np.append(firsts[1:], len(of))
+                spots = np.searchsorted(codes, np.append(firsts, len(of)) * 2 * CLASSES)
+                rows = [(int(of[a]), one.column(5)[i].as_py(), words[places[a:b]].tobytes(), kinds[places[a:b]].astype(np.uint8).tobytes(),
+                         packed(np.diff(codes[c:d] - a * 2 * CLASSES, prepend=0).astype("<u4")), packed(counts[c:d].astype("<u4")))
+                        for a, b, c, d in zip(firsts.tolist(), ends.tolist(), spots[:-1].tolist(), spots[1:].tolist())]
+                yield batch(arrow(SENT), *(zip(*rows) if rows else [[]] * 6))
+
+    def total(rows):
+        bigrams = shared.value[1]
+        lists = [np.frombuffer(r["words"], np.int64) for r in rows]
+        words, firsts, places = np.unique(np.concatenate(lists), return_index=True, return_inverse=True)
+        own = np.concatenate([np.frombuffer(r["kinds"], np.uint8) for r in rows])[firsts]
+        found, at = np.zeros(len(words) * 2 * CLASSES), 0
+        for r, some in zip(rows, lists):
+            codes = np.cumsum(unpacked(r["codes"]).astype(np.int64))
+            found += np.bincount(places[at + codes // (2 * CLASSES)] * 2 * CLASSES + codes % (2 * CLASSES), unpacked(r["counts"]), len(found)) if len(codes) else 0
+            at += len(some)
+        after, before = found.reshape(-1, 2, CLASSES).transpose(1, 0, 2)
+        n = after.sum(axis=1).astype(np.int64)
+        kinds = best_classes(after, before, own, bigrams)
+        sizes = np.concatenate([np.bincount(kinds[n > 0], minlength=CLASSES), np.bincount(kinds, n, CLASSES).astype(np.int64)])
+        ends = np.cumsum([0] + [len(some) for some in lists])
+        parts = [places[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        return batch(arrow(BACK), [r["block"] for r in rows], [r["bucket"] for r in rows], [kinds[p].tobytes() for p in parts],
+                     [packed(n[p].astype("<i8")) for p in parts], [sizes] + [None] * (len(rows) - 1))
+
+    def receive(batches):
+        held = []
+        for one in batches:
+            for r in one.to_pylist():
+                if held and held[0]["bucket"] != r["bucket"]:
+                    yield total(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield total(held)
+
+    sent = with_back(blocks, back).select("sizes", "held", "tokens", "words", "back", "block").mapInArrow(send, SENT)
+    return pinned(sent.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(receive, BACK))
+
+
+def transitions(blocks: DataFrame, back, model, buckets):
+    """The class bigrams of the training texts."""
+    shared = blocks.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        slots, classes = shared.value
-        total = np.zeros((CLASSES, 2), np.int64)
+        slots, classes, known = shared.value
+        table = np.zeros(CLASSES * CLASSES, np.int64)
         for one in batches:
-            kinds = classes[slots(one.column(0).to_numpy())]
-            total[:, 0] += np.bincount(kinds, minlength=CLASSES)
-            np.add.at(total[:, 1], kinds, one.column(1).to_numpy())
-        yield batch(arrow("kind int, words long, tokens long"), np.arange(CLASSES), total[:, 0], total[:, 1])
+            for i in range(one.num_rows):
+                words = listed(one, 3, i)
+                kinds = np.append(kinds_and_counts(words, one.column(4)[i].as_py(), slots, classes, known, buckets)[0], 0)[line_of(one, i, words)].astype(np.int64)
+                table += np.bincount(kinds[:-1] * CLASSES + kinds[1:], minlength=len(table))
+        cells = np.flatnonzero(table)
+        yield batch(arrow("chunk int, cells binary, counts binary"), [0], [cells.astype("<u2").tobytes()], [table[cells].astype("<i8").tobytes()])
 
-    known = counts.filter("word is not null and n > 0").select("word", "n").mapInArrow(run, "kind int, words long, tokens long")
-    found = np.zeros((CLASSES, 2), np.int64)
-    for row in known.groupBy("kind").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).collect():
-        found[row["kind"]] = row["words"], row["tokens"]
-    return found
+    parts = with_back(blocks, back).select("sizes", "held", "tokens", "words", "back").mapInArrow(run, "chunk int, cells binary, counts binary")
+    return gathered(parts, CLASSES * CLASSES).reshape(CLASSES, CLASSES).astype(float)
 
 
-def scores(documents: DataFrame, rounds=ROUNDS) -> DataFrame:
-    """Per document its number of tokens, of known ones, and its log10 probability by the unigram and the class model."""
-    blocks = pinned(blocks_of(documents))
+def modelled(blocks: DataFrame, rounds=ROUNDS, own_rounds=OWN_ROUNDS):
+    """(slots, classes, counts of the slots' own words), what buckets sent back, buckets, class bigrams, sizes of classes."""
     counts = pinned(counted(blocks))
-    texts = blocks.select(F.explode("held").alias("held")).filter("not held").count()
-    known = counts.filter("word is not null and n > 0")
-    sums = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("words")).first()
-    train_tokens, distinct = sums["n"] + texts, sums["words"] + (texts > 0)
-    top = known.orderBy(F.desc("n"), "word").limit(TOP_WORDS).select("word").collect()
+    top = counts.orderBy(F.desc("n"), "word").limit(TOP_WORDS).collect()
     slots = Slots({r["word"]: i for i, r in enumerate(top)})
     classes = (np.arange(SLOTS) % (CLASSES - 1) + 1).astype(np.uint8)
     classes[END] = 0
     for _ in range(rounds):
         classes = exchanged(*neighbours(blocks, slots, classes), classes)
     bigrams = by_class(neighbours(blocks, slots, classes)[0], classes)
-    sizes = class_sizes(counts, slots, classes)
+    model = slots, classes, np.array([r["n"] for r in top] + [0], np.int64)
+    words = blocks.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    buckets = max(parallelism(blocks.sparkSession), words // BUCKET_WORDS)
+    back = None
+    for _ in range(own_rounds):
+        back = assigned(blocks, back, model, bigrams, buckets)
+        bigrams = transitions(blocks, back, model, buckets)
+    sizes = np.zeros((CLASSES, 2), np.int64)
+    np.add.at(sizes, classes[:len(top)], [(1, r["n"]) for r in top] or np.zeros((0, 2), np.int64))
+    for row in back.select(F.posexplode("sizes").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
+        sizes[row["at"] % CLASSES, row["at"] // CLASSES] += row["n"]
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("words")).first()
+    return model, back, buckets, bigrams, sizes, sums["n"], sums["words"]
+
+
+def scores(documents: DataFrame, rounds=ROUNDS) -> DataFrame:
+    """Per document its number of tokens, of known ones, and its log10 probability by the unigram and the class model."""
+    blocks = pinned(blocks_of(documents))
+    texts = blocks.select(F.explode("held").alias("held")).filter("not held").count()
+    model, back, buckets, bigrams, sizes, train_tokens, distinct = modelled(blocks, rounds)
+    train_tokens, distinct = train_tokens + texts, distinct + (texts > 0)
     sizes[0] += (int(texts > 0), texts)
-    share = (bigrams.sum(axis=0) + ALPHA) / (bigrams.sum() + ALPHA * CLASSES)
-    moves = np.log10((bigrams + ALPHA * CLASSES * share) / (bigrams.sum(axis=1, keepdims=True) + ALPHA * CLASSES))
     below = sizes[:, 1] + DELTA * (sizes[:, 0] + 1)
-    shared = documents.sparkSession.sparkContext.broadcast((slots, classes, moves, below))
+    shared = documents.sparkSession.sparkContext.broadcast((model, np.log10(moves_of(bigrams)), below))
 
     def run(batches):
-        slots, classes, moves, below = shared.value
+        (slots, classes, known), moves, below = shared.value
         whole = train_tokens + DELTA * (distinct + 1)
         for one in batches:
             for i in range(one.num_rows):
-                sizes, words, places, totals = (listed(one, c, i) for c in (1, 4, 5, 6))
-                packed = one.column(3)[i].as_py()
-                n = np.zeros(len(words) + 1)
-                n[places] = totals
-                n[-1] = texts  # the end token stands last
-                kinds = np.append(classes[slots(words)], 0).astype(np.int64)
+                sizes, words = (listed(one, c, i) for c in (1, 4))
+                kinds, n = kinds_and_counts(words, one.column(5)[i].as_py(), slots, classes, known, buckets)
+                n = np.append(n, texts)  # the end token stands last
+                kinds = np.append(kinds, 0).astype(np.int64)
                 base = np.log10((n + DELTA) / whole)
                 emit = np.log10((n + DELTA) / below[kinds])
-                tokens = tokens_of(packed)
+                tokens = tokens_of(one.column(3)[i].as_py())
                 line = np.insert(tokens.astype(np.int64), np.cumsum(sizes), len(words))
                 turn = kinds[line]
                 steps = moves[np.concatenate([[0], turn[:-1]]), turn]
@@ -268,10 +412,7 @@ def scores(documents: DataFrame, rounds=ROUNDS) -> DataFrame:
                 yield batch(arrow(SCORES), one.column(0)[i].values, one.column(2)[i].values, count, total((n > 0)[line].astype(np.int64)), np.full(len(sizes), train_tokens),
                             total(base[line]), score, 10 ** (-score / count))
 
-    lists = counts.filter("n > 0").groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("at", "n")).alias("found"))
-    joined = blocks.join(lists, F.col("block") == F.col("of"), "left").select(
-        "doc_ids", "sizes", "held", "tokens", "words", F.col("found.at").alias("places"), F.col("found.n").alias("totals"))
-    return joined.mapInArrow(run, SCORES)
+    return with_back(blocks, back).select("doc_ids", "sizes", "held", "tokens", "words", "back").mapInArrow(run, SCORES)
 
 
 @query()
