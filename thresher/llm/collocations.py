@@ -306,18 +306,20 @@ WITH pieces AS (
   SELECT doc, lang, generate_subscripts(ps, 1) AS p, unnest(ps) AS piece FROM (
     SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
       regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents)),
-words AS (SELECT doc, lang, p, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM (SELECT *, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces)),
+words AS MATERIALIZED (SELECT doc, lang, p, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM (SELECT *, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces)),
 starts AS (SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY doc, p ORDER BY i)),
-f AS (
+f AS MATERIALIZED (
   SELECT lang, w1 AS phrase, 1 AS size, count(*) AS n FROM starts GROUP BY ALL
   UNION ALL SELECT lang, w1 || ' ' || w2, 2, count(*) FROM starts WHERE w2 IS NOT NULL GROUP BY ALL
   UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, 3, count(*) FROM starts WHERE w3 IS NOT NULL GROUP BY ALL),
 candidates AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND n >= 10),
-cuts AS (SELECT lang, phrase, n AS a, ws, unnest(range(1, size)) AS k FROM candidates),
+named AS MATERIALIZED (SELECT lang || chr(9) || phrase AS name, n FROM f WHERE n >= 10),
+cuts AS MATERIALIZED (
+  SELECT lang, phrase, a, k, lang || chr(9) || array_to_string(ws[1:k], ' ') AS head, lang || chr(9) || array_to_string(ws[k + 1:], ' ') AS rest
+  FROM (SELECT lang, phrase, n AS a, ws, unnest(range(1, size)) AS k FROM candidates)),
+headed AS MATERIALIZED (SELECT c.*, x.n AS l FROM cuts c JOIN named x ON x.name = c.head),
 scored AS (
-  SELECT c.lang, c.phrase, a, k, x.n AS l, y.n AS r, (1000000::HUGEINT * a * a) // (x.n::HUGEINT * y.n) AS score
-  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:k], ' ')
-    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[k + 1:], ' ')),
+  SELECT c.lang, c.phrase, a, k, l, y.n AS r, (1000000::HUGEINT * a * a) // (l::HUGEINT * y.n) AS score FROM headed c JOIN named y ON y.name = c.rest),
 least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 held AS (
   SELECT lang, part, max(n) AS most FROM (
