@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from thresher.operators.metrics import duplicates
 from thresher.operators.ordering import as_list, guard
+from thresher.session import pinned
 
 
 def concat_unique(*manifests: DataFrame, key) -> DataFrame:
@@ -73,6 +74,22 @@ def preserve_count(before: DataFrame, after: DataFrame) -> DataFrame:
     return guard(after, changed, "rows were lost or added")
 
 
+def transform_preserving(before: DataFrame, transform) -> DataFrame:
+    """`transform(before)`, written; fails unless it has as many rows as `before`.
+
+    Rows of the input are counted while they pass (`observe`), and those of the result by the
+    footers of the written table, so both tables are made once. A repeated stage can make the
+    first count too large, so before the step fails the input is counted for itself.
+    """
+    passed = Observation()
+    counted = before.observe(passed, F.count(F.lit(1)).alias("n"))
+    after = pinned(transform(counted))
+    n_after = after.count()
+    if passed.get["n"] != n_after and before.count() != n_after:
+        raise ValueError("rows were lost or added")
+    return after
+
+
 def row_counts(before: DataFrame, after: DataFrame) -> DataFrame:
     """Row counts of both tables and whether they agree."""
     counted = before.agg(F.count(F.lit(1)).alias("rows_before"))

@@ -8,8 +8,9 @@ from thresher.fixed_values import SPLITS
 from thresher.functions.hashing import hash_number, seeded
 from thresher.functions.labels import root_or_self
 from thresher.operators.ordering import (
-    as_list, attach, dense_index, guard, prefix_sums, take_by_hash, with_digest,
+    HOT_SHARE, as_list, attach, dense_index, guard, prefix_sums, take_by_hash, with_digest,
 )
+from thresher.session import pinned
 
 
 def stratified_group_split(df: DataFrame, group, label, seed, fractions=(0.8, 0.1, 0.1), names=SPLITS) -> DataFrame:
@@ -32,6 +33,63 @@ def stratified_group_split(df: DataFrame, group, label, seed, fractions=(0.8, 0.
     return attach(df, decided, group, "_rows", ["split"])
 
 
+def least_costly(allocated, counts, targets):
+    """The split in which a group's class counts bring squared deviations, relative to the classes, down most; ties to the first."""
+    best, place = None, 0
+    for j, (have, wanted) in enumerate(zip(allocated, targets)):
+        cost = 0.0
+        for label, (total, target) in wanted.items():
+            off = have[label] - target
+            with_it = off + counts.get(label, 0)
+            cost += (with_it * with_it - off * off) / (float(total) * float(total))
+        if best is None or cost < best:
+            best, place = cost, j
+    return place
+
+
+def balanced_group_split(df: DataFrame, group, label, seed, fractions=(0.8, 0.1, 0.1), names=SPLITS, large_share=HOT_SHARE) -> DataFrame:
+    """Adds `split`: whole groups go to one split, and large groups do not upset the shares of the labels.
+
+    A group with at least a `large_share`-th of all rows is large; there are `large_share` of them
+    at most. They are placed first, largest first (ties in seeded digest order), each where
+    the class shares of all splits come closest to their targets. The other groups are cut in digest
+    order as in :func:`stratified_group_split`, but so that each label gets what it still lacks in
+    a split. A null label is a class of its own; a row without a group gets no split.
+    """
+    spark = df.sparkSession
+    counts = pinned(df.filter(F.col(group).isNotNull()).groupBy(group, label).agg(F.count(F.lit(1)).alias("_c")))
+    totals = {r[0]: r[1] for r in counts.groupBy(label).agg(F.sum("_c")).orderBy(label).collect()}  # one row per class
+    groups = with_digest(counts.groupBy(group).agg(
+        F.sum("_c").alias("_rows"), F.min(F.struct(-F.col("_c"), F.col(label).alias("label"))).getField("label").alias("_stratum")), group, seed)
+    is_large = F.col("_rows") * large_share >= sum(totals.values())
+    large = groups.filter(is_large).select(F.col(group).alias("_large"), "_rows", "_digest")
+    rows = counts.join(F.broadcast(large), F.col(group) == F.col("_large")).select(group, label, "_c", "_rows", "_digest").collect()  # large_share x classes at most
+    classes, order = {}, {}
+    for name, kind, c, size, digest in rows:
+        classes.setdefault(name, {})[kind] = c
+        order[name] = (-size, digest, name)
+    targets = [{k: (n, f * n) for k, n in totals.items()} for f in fractions]
+    allocated, placed = [dict.fromkeys(totals, 0) for _ in names], []
+    for name in sorted(order, key=order.get):
+        j = least_costly(allocated, classes[name], targets)
+        placed.append((name, -order[name][0], names[j]))
+        for kind, c in classes[name].items():
+            allocated[j][kind] += c
+    ranked = prefix_sums(groups.filter(~is_large), "_rows", ["_digest", group], "_prefix", ["_stratum"])
+    share = F.col("_rows_upto").cast("double") / F.col("_rows_total")
+    split = F.lit(names[-1])
+    for kind in totals:
+        lacking = [max(0.0, target[kind][1] - have[kind]) for target, have in zip(targets, allocated)]
+        lacking = lacking if sum(lacking) else list(fractions)
+        cut = F.lit(names[-1])
+        for j in range(len(names) - 2, -1, -1):
+            cut = F.when(share <= sum(lacking[:j + 1]) / sum(lacking), names[j]).otherwise(cut)
+        split = F.when(F.col("_stratum").eqNullSafe(F.lit(kind)), cut).otherwise(split)
+    decided = ranked.select(group, "_rows", split.alias("split")).unionByName(
+        spark.createDataFrame(placed, f"`{group}` {df.schema[group].dataType.simpleString()}, _rows bigint, split string"))
+    return attach(df, decided, group, "_rows", ["split"])
+
+
 def assert_no_leaks(df: DataFrame, group, split="split") -> DataFrame:
     """`df`, failing if a group stands in more than one split; apply it to the final table, forced rows included."""
     apart = df.groupBy(group).agg(F.min(split).alias("_low"), F.max(split).alias("_high")).agg(F.count_if(F.col("_low") != F.col("_high")).alias("leaks"))

@@ -163,3 +163,9 @@ def one_shape(t):
 @query("H5", "SELECT count(*) AS rows_before, count(*) AS rows_after, 1 AS preserved FROM documents")
 def rows_preserved(t):
     return M.row_counts(t.documents().select("doc_id"), inherited(t))
+
+
+@query("H5", "SELECT doc_id, lower(lang) AS lang FROM documents")
+def rows_preserved_in_one_pass(t):
+    """Rows are counted while they pass, not by a second scan."""
+    return M.transform_preserving(t.documents().select("doc_id", "lang"), lambda rows: rows.withColumn("lang", F.lower("lang")))

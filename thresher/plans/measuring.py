@@ -7,11 +7,12 @@ from thresher.fixed_values import (
 )
 from thresher.functions.hashing import split_80_10_10
 from thresher.functions.scores import cascade_score, decide, fuse_linear
-from thresher.operators import metrics as D
+from thresher.operators import fingerprints, metrics as D, points
 from thresher.operators.lineage import pair_models
-from thresher.plans.calibrating import curve_sql
+from thresher.plans.calibrating import curve_sql, recall_cut_sql
 from thresher.plans.joining import LATE
 from thresher.plans.registry import query
+from thresher.session import fresh_path
 from thresher.plans.views import (
     DOC_PAGES, EXAMPLES, SCORED, SCORED_BIG, SPLIT_EXAMPLES, auc_sql, confusion_sql, text,
 )
@@ -280,3 +281,48 @@ def run_record(t):
     args = F.array_join(F.transform(F.map_entries("args"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return run.select("seed", args.alias("args"), F.col("manifest.n").alias("manifest_rows"), F.col("manifest.fingerprint").alias("manifest"),
                       F.col("splits.n").alias("splits_rows"), F.col("splits.fingerprint").alias("splits"))
+
+
+POINTS = "split string, s1 double, p bigint, n bigint"
+
+
+def delivered(t):
+    """Three deliveries of the scored rows, the second one twice."""
+    root, rows = fresh_path(t.spark, "points"), t.scored_big()
+    for shard in (0, 1, 1, 2):
+        points.add_delivery(rows.filter(F.pmod("l_orderkey", F.lit(3)) == shard), root, f"shard {shard}", "y", "s1", ["split"])
+    return points.stored_points(t.spark, root, POINTS)
+
+
+@query("D5, D6", f"WITH {SCORED_BIG} SELECT split, round(auc, 9) AS auc FROM ({auc_sql('scored_big', 'y', 's1', 'split')})")
+def roc_area_of_deliveries(t):
+    return points.area(delivered(t), "s1", ["split"]).select("split", F.round("auc", 9).alias("auc"))
+
+
+@query("K1", f"WITH {SCORED_BIG} {recall_cut_sql('scored_big', 's1', 0.95, 'split', 'ceil')}")
+def recall_threshold_of_deliveries(t):
+    return points.threshold(delivered(t), "s1", 0.95, "ceil", ["split"])
+
+
+LABEL_DIGEST = """substr(sha256(sha256(doc_id::VARCHAR)), 1, 3) AS range, ('0x' || substr(sha256(sha256(doc_id::VARCHAR) || '|' || coalesce(sha256(quality::VARCHAR), '-') || '|' || coalesce(sha256(toxic::VARCHAR), '-')), 1, 15))::BIGINT::HUGEINT AS number"""
+
+
+@query("D21", f"SELECT range, count(*) AS n, sum(number)::VARCHAR AS fingerprint FROM (SELECT {LABEL_DIGEST} FROM labels) GROUP BY range")
+def fingerprint_by_range(t):
+    return fingerprints.range_fingerprints(t.table("labels"), "doc_id", ["doc_id", "quality", "toxic"])
+
+
+@query("D21", """SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN 'removed' ELSE 'changed' END AS change FROM labels WHERE doc_id % 97 = 0 OR doc_id % 89 = 0
+UNION ALL SELECT -1, 'added'""")
+def changed_rows_by_range(t):
+    """A table with some rows changed, removed and added; the rows are read from the ranges that tell."""
+    labels, columns = t.table("labels"), ["doc_id", "quality", "toxic"]
+    other = labels.filter(F.col("doc_id") % 97 != 0).withColumn("toxic", F.when(F.col("doc_id") % 89 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic"))).select(*columns)
+    other = other.unionByName(t.spark.range(1).select(F.lit(-1).cast("bigint").alias("doc_id"), F.lit(0).alias("quality"), F.lit(0).alias("toxic")))
+    tables = []
+    for rows in (labels, other):
+        path = fresh_path(t.spark, "ranged")
+        fingerprints.write_by_range(rows, path, "doc_id")
+        tables.append(t.spark.read.schema("doc_id bigint, quality int, toxic int, range string").parquet(path))
+    before, after = (fingerprints.range_fingerprints(rows.drop("range"), "doc_id", columns) for rows in tables)
+    return fingerprints.differing_rows(*tables, fingerprints.differing_ranges(before, after), "doc_id", columns)

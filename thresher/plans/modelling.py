@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from thresher.operators import learning as J
+from thresher.operators import learning as J, staging
 from thresher.operators.metrics import confusion, roc_auc
 from thresher.plans.registry import query
 from thresher.plans.views import text
@@ -28,6 +28,44 @@ def batch_scores(t):
     return scored.select("id", F.round("score", 6).alias("score"))
 
 
+# A second fixed direction, for the model that is asked in doubt.
+SECOND = [((i * 5) % 11 - 5) / 5.0 for i in range(64)]
+DOT_SECOND = " + ".join(f"embedding[{i + 1}]::DOUBLE * {repr(w)}::DOUBLE" for i, w in enumerate(SECOND))
+TWO_MODELS = f"""two_models AS (
+  SELECT vec_id AS id, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-({DOT} + 0.25::DOUBLE))), 6) AS one,
+    round(1.0::DOUBLE / (1.0::DOUBLE + exp(-({DOT_SECOND} - 0.1::DOUBLE))), 6) AS two FROM embeddings)"""
+
+
+def two_models():
+    return (J.linear_scorer(DIRECTION, 0.25), len(DIRECTION)), (J.linear_scorer(SECOND, -0.1), len(SECOND))
+
+
+@query("J1, B27", f"""WITH {TWO_MODELS}
+SELECT id, one AS router, CASE WHEN one >= 0.4 AND one < 0.7 THEN two END AS large,
+  CASE WHEN one >= 0.7 THEN 1 WHEN one >= 0.4 THEN (two >= 0.5)::INT ELSE 0 END AS predicted, (one >= 0.4 AND one < 0.7)::INT AS uncertain FROM two_models""")
+def routed_scores(t):
+    """The second model scores rows between the two thresholds only."""
+    router, large = two_models()
+    return staging.score_routed(vectors(t).select("id", "embedding"), "embedding", router, large, 0.4, 0.7, 0.5, digits=6)
+
+
+@query("J1, B26", f"""WITH {TWO_MODELS}
+SELECT id, one AS gate, CASE WHEN one >= 0.6 THEN two END AS verifier, (one >= 0.6 AND two >= 0.5)::INT AS predicted,
+  CASE WHEN one >= 0.6 THEN two ELSE -1 END AS ranking FROM two_models""")
+def cascaded_scores(t):
+    """The verifier scores what passes the gate only."""
+    gate, verifier = two_models()
+    return staging.score_cascaded(vectors(t).select("id", "embedding"), "embedding", gate, verifier, 0.6, 0.5, digits=6)
+
+
+@query("J1", f"""WITH {TWO_MODELS}
+SELECT count(*) AS n, count(*) FILTER (one >= 0.4 AND one < 0.7) AS second_runs, count(*) FILTER (one >= 0.4 AND one < 0.7) / count(*)::DOUBLE AS second_rate FROM two_models""")
+def second_model_runs(t):
+    router, large = two_models()
+    routed = staging.score_routed(vectors(t).select("id", "embedding"), "embedding", router, large, 0.4, 0.7, 0.5, digits=6)
+    return staging.stage_report(routed, ("router", "large"))
+
+
 @query("J2")
 def weighted_classifier(t):
     """Test metrics of a binary classifier trained with balancing weights."""

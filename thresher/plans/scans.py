@@ -9,12 +9,15 @@ from thresher.plans.calibrating import BEST_FUSION
 from thresher.plans.registry import query
 from thresher.plans.views import ARRIVALS, EXAMPLES, NESTED_TEXT, SCORED
 from thresher.session import fresh_path
-from thresher.sources.annotations import parse_records, read_annotations
+from thresher.sources.annotations import PARAGRAPHS, parse_records, read_annotations
 from thresher.sources.files import scan_files
+from thresher.sources.history import remember, unseen
+from thresher.sources.json_arrays import read_array_records
 from thresher.sources.manifests import (
     append_manifest, new_arrivals, read_manifest, read_operating_point, report_json, scan_split, write_manifest,
     write_report, write_splits,
 )
+from thresher.sources.versions import open_version, publish, replace
 
 MANIFEST = EXAMPLES + """,
 manifest AS (
@@ -50,6 +53,19 @@ def write_declared_fields(t):
     return t.spark.read.parquet(path)
 
 
+@query("A3", f"""WITH {MANIFEST}
+SELECT 1 AS version, filepath, invoice_label FROM manifest
+UNION ALL SELECT 2, filepath, coalesce(invoice_label, 0) FROM manifest""")
+def replace_manifest(t):
+    """A manifest with repaired labels takes the place of the first one, which a reader goes on reading."""
+    root, fields = fresh_path(t.spark, "versions"), "filepath string, invoice_label int"
+    publish(manifest(t).select("filepath", "invoice_label"), root)
+    opened = open_version(t.spark, root, fields)
+    replace(t.spark, root, fields, lambda newest: newest.withColumn("invoice_label", F.coalesce("invoice_label", F.lit(0))))
+    number = lambda df, n: df.select(F.lit(n).alias("version"), "filepath", "invoice_label")
+    return number(opened, 1).unionByName(number(open_version(t.spark, root, fields), 2))
+
+
 @query("A4", f"""WITH {MANIFEST}
 SELECT filepath, source, invoice_label, source_doc FROM manifest
 UNION ALL SELECT 'syn/' || filepath, 'synthetic_hard_pos', invoice_label, source_doc FROM manifest WHERE invoice_label = 1""")
@@ -81,6 +97,30 @@ def nested_annotation_scan(t):
     return read.select("image_id", F.sha2(nested_text("paragraphs"), 256).alias("digest"))
 
 
+@query("A6", f"""WITH {NESTED_TEXT}
+SELECT image_id, sha256(text) AS digest FROM nested_texts""")
+def large_annotation_files(t):
+    """Each file is one object with all its records, on many lines; records are read one by one."""
+    path = fresh_path(t.spark, "annotations")
+    record, role = F.to_json(F.struct("image_id", "paragraphs")), F.substring("image_id", -1, 1)
+    parts = t.nested().select(role.alias("file"), record.alias("record")).groupBy("file").agg(F.concat_ws(",\n", F.collect_list("record")).alias("records"))
+    whole = F.concat(F.lit('{"info": {"annotations": [1]},\n"annotations": [\n'), "records", F.lit("\n], \"end\": 0}"))
+    parts.select("file", whole.alias("value")).repartition("file").write.partitionBy("file").option("compression", "gzip").text(path)
+    read = read_array_records(t.spark, path, "annotations", f"image_id string, paragraphs {PARAGRAPHS}", single="image_id")
+    return read.select("image_id", F.sha2(nested_text("paragraphs"), 256).alias("digest"))
+
+
+@query("A7", "SELECT event_id, event_type, (props->>'k')::BIGINT AS k FROM events")
+def image_array_records(t):
+    """The `images` array of a metadata file for each split."""
+    path = fresh_path(t.spark, "images")
+    record = F.to_json(F.struct("event_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k")))
+    parts = t.table("events").select(F.pmod("user_id", F.lit(3)).alias("file"), record.alias("record")).groupBy("file").agg(F.concat_ws(", ", F.collect_list("record")).alias("records"))
+    whole = F.concat(F.lit('{"images": ['), "records", F.lit("]}"))
+    parts.select("file", whole.alias("value")).repartition("file").write.partitionBy("file").text(path)
+    return read_array_records(t.spark, path, "images", "event_id bigint, event_type string, k bigint")
+
+
 @query("A7", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
 def image_records(t):
     return parse_records(t.table("events"), "props", "k bigint", keep=["event_id"])
@@ -130,3 +170,15 @@ def resume_arrivals(t):
     shard = rows.filter(F.col("source_object") == "click").select("source_object")
     fresh = new_arrivals(new_arrivals(rows, shard, "source_object"), first_day, "digest")
     return fresh.select("event_id", "source_object", "digest")
+
+
+@query("A11, S2", f"""WITH {ARRIVALS}
+SELECT event_id, source_object, digest FROM arrivals
+WHERE digest NOT IN (SELECT digest FROM arrivals WHERE arrived < TIMESTAMP '2024-01-02 00:00:00')""")
+def resume_by_index(t):
+    """The history is an index in buckets with filter pages, built by two deliveries."""
+    rows, root = t.arrivals(), fresh_path(t.spark, "history")
+    before = lambda at: F.col("arrived") < F.lit(at).cast("timestamp_ntz")
+    remember(rows.filter(before("2024-01-01 12:00:00")), root, "digest")
+    remember(rows.filter(before("2024-01-02 00:00:00") & ~before("2024-01-01 12:00:00")), root, "digest")
+    return unseen(rows, root, "digest").select("event_id", "source_object", "digest")

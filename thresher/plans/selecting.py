@@ -146,6 +146,41 @@ def no_leaks_after_group_split(t):
     return leaks(stratified(t), "source_doc", "split").agg(F.count(F.lit(1)).alias("leaking"))
 
 
+CLASSES, SHARES = ("A", "N", "R"), (0.8, 0.1, 0.1)
+COST = " + ".join(f"((a[j][{c}] + g[{c}] - f[j] * t[{c}]) * (a[j][{c}] + g[{c}] - f[j] * t[{c}]) - (a[j][{c}] - f[j] * t[{c}]) * (a[j][{c}] - f[j] * t[{c}])) / (t[{c}] * t[{c}])" for c in (1, 2, 3))
+BALANCED = f"""rows_in AS (
+  SELECT {IDS}, l_returnflag AS label, CASE WHEN l_suppkey % 10 < 3 THEN 'brand-' || l_suppkey % 10 ELSE 'part-' || l_partkey END AS grp FROM lineitem),
+goals AS (SELECT [count(*) FILTER (label = 'A'), count(*) FILTER (label = 'N'), count(*) FILTER (label = 'R')]::DOUBLE[] AS t, {list(SHARES)}::DOUBLE[] AS f, count(*) AS n FROM rows_in),
+groups AS (
+  SELECT grp, count(*) AS n, [count(*) FILTER (label = 'A'), count(*) FILTER (label = 'N'), count(*) FILTER (label = 'R')]::DOUBLE[] AS g, sha256('11:' || grp) AS d FROM rows_in GROUP BY grp),
+large AS (SELECT grp, g, row_number() OVER (ORDER BY n DESC, d, grp) AS i FROM groups WHERE n * 100 >= (SELECT n FROM goals)),
+walk AS (
+  SELECT 0::BIGINT AS i, ''::VARCHAR AS grp, 0 AS split, [[0, 0, 0], [0, 0, 0], [0, 0, 0]]::DOUBLE[][] AS a
+  UNION ALL
+  SELECT i, grp, j AS split, list_transform([1, 2, 3], lambda k: CASE WHEN k = j THEN [a[k][1] + g[1], a[k][2] + g[2], a[k][3] + g[3]] ELSE a[k] END) AS a FROM (
+    SELECT *, list_position(costs, list_min(costs)) AS j FROM (
+      SELECT l.i, l.grp, l.g, w.a, list_transform([1, 2, 3], lambda j: {COST}) AS costs FROM walk w JOIN large l ON l.i = w.i + 1, goals))),
+lacking AS (
+  SELECT s, [greatest(0, f[1] * t[s] - a[1][s]), greatest(0, f[2] * t[s] - a[2][s]), greatest(0, f[3] * t[s] - a[3][s])] AS d
+  FROM (SELECT a FROM walk ORDER BY i DESC LIMIT 1), goals, (VALUES (1), (2), (3)) v(s)),
+small AS (
+  SELECT grp, s, sum(n) OVER (PARTITION BY s ORDER BY d, grp)::DOUBLE / sum(n) OVER (PARTITION BY s) AS share
+  FROM (SELECT *, list_position(g, list_max(g)) AS s FROM groups WHERE grp NOT IN (SELECT grp FROM large))),
+placed AS (
+  SELECT grp, ['train', 'val', 'test'][split] AS split FROM walk WHERE i > 0
+  UNION ALL SELECT grp, CASE WHEN share <= d[1] / (d[1] + d[2] + d[3]) THEN 'train' WHEN share <= (d[1] + d[2]) / (d[1] + d[2] + d[3]) THEN 'val' ELSE 'test' END
+  FROM small JOIN lacking USING (s))"""
+
+
+@query("G3", f"WITH RECURSIVE {BALANCED} SELECT {IDS}, grp, split FROM rows_in JOIN placed USING (grp)")
+def balanced_group_split(t):
+    """Three groups hold a tenth of the rows each; they are placed by what the classes lack, the others by digest."""
+    supplier = F.col("l_suppkey") % 10
+    group = F.when(supplier < 3, F.concat(F.lit("brand-"), supplier.cast("string"))).otherwise(F.concat(F.lit("part-"), text("l_partkey")))
+    rows = t.table("lineitem").select(*BIG_ID, "l_returnflag", group.alias("grp"))
+    return G.balanced_group_split(rows, "grp", "l_returnflag", 11, large_share=100).drop("l_returnflag")
+
+
 @query("G4", f"""WITH {SPLIT_EXAMPLES} SELECT id::VARCHAR AS filepath, split FROM split_examples
 UNION ALL SELECT url, CASE WHEN url LIKE 'https%' THEN 'test' ELSE 'val' END FROM pages""")
 def forced_splits(t):

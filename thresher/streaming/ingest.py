@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException, StreamingQueryException
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thresher.functions.hashing import split_70_15_15
 from thresher.operators.ranking import arrival_caps, first_per_key
 from thresher.session import parallelism
+from thresher.sources.history import commit_state, merged_folders, read_state, unseen, write_keys
 
 
 def stream_ingest(spark: SparkSession, path, schema, form="parquet", max_files=None) -> DataFrame:
@@ -58,24 +59,32 @@ def stream_quota_sink(df: DataFrame, targets, path, checkpoint, digest, order, s
     higher targets begins with its shards. Targets that the input cannot reach are an
     error with `on_short="error"`.
 
-    Per batch: first occurrence per digest, minus digests already in the table, then as
-    many rows per split, in arrival order, as the target still allows. A batch writes
-    its own partition, so a batch that is repeated after a failure replaces itself.
+    Per batch: first occurrence per digest, minus digests taken before, then as many rows per
+    split, in arrival order, as the target still allows. What was taken before is kept as state
+    beside the rows: totals by split and a history of digests (see :mod:`thresher.sources.history`), so
+    a batch does not read what earlier ones wrote. Rows, digests and totals count from the
+    moment the state is committed; a batch that failed before that is written again, and one
+    that comes again after it is passed over. A sink has one writer at a time.
     """
-    spark = df.sparkSession
+    spark, path = df.sparkSession, path.rstrip("/")
 
     def write(batch: DataFrame, batch_id):
-        fresh = first_per_key(batch, digest, order)
-        left = dict(targets)
-        earlier = earlier_batches(spark, path, batch_id)
-        if earlier is not None:
-            for row in earlier.groupBy(split).count().collect():  # one row per split
-                left[row[split]] = left.get(row[split], 0) - row["count"]
-            fresh = fresh.join(earlier.select(digest), digest, "left_anti")
+        number, state = read_state(spark, path)
+        if state["batches"].get(checkpoint, -1) >= batch_id:
+            return
+        left = {name: n - state["totals"].get(name, 0) for name, n in targets.items()}
         left = {name: n for name, n in left.items() if n > 0}
         if not left:
             raise QuotasFull("all targets are reached")
-        arrival_caps(fresh, split, order, left).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        fresh = unseen(first_per_key(batch, digest, order), path, digest, state)
+        accepted, target = arrival_caps(fresh, split, order, left), rows_of_state(path, number + 1)
+        accepted.write.mode("overwrite").parquet(target)
+        written = spark.read.schema(accepted.schema).parquet(target)
+        totals = dict(state["totals"])
+        for row in written.groupBy(split).count().collect():  # one row per split
+            totals[row[split]] = totals.get(row[split], 0) + row["count"]
+        folders = merged_folders(spark, path, [*state["folders"], write_keys(written.select(digest), path)])
+        commit_state(spark, path, number, {"folders": folders, "totals": totals, "batches": {**state["batches"], checkpoint: batch_id}})
 
     query = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
@@ -84,24 +93,18 @@ def stream_quota_sink(df: DataFrame, targets, path, checkpoint, digest, order, s
         if QuotasFull.__name__ not in str(ended):
             raise
     if on_short == "error":
-        got = {r[split]: r["count"] for r in batches_done(spark, path).groupBy(split).count().collect()}  # one row per split
+        got = read_state(spark, path)[1]["totals"]
         short = {name: n - got.get(name, 0) for name, n in targets.items() if n > got.get(name, 0)}
         if short:
             raise QuotasShort(f"rows missing by split: {short}")
     return query
 
 
-def earlier_batches(spark, path, batch_id):
-    """The rows of the batches before this one, or None while nothing is written."""
-    try:
-        table = spark.read.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return table.filter(F.col("batch_id") < batch_id)
+def rows_of_state(path, number):
+    return f"{path}/rows/state={number}"
 
 
 def batches_done(spark, path) -> DataFrame:
-    """The table the quota sink has written."""
-    return spark.read.parquet(path)
+    """The rows that the quota sink has committed; `state` tells with which batch."""
+    path = path.rstrip("/")
+    return spark.read.parquet(f"{path}/rows").filter(F.col("state") <= read_state(spark, path)[0])
