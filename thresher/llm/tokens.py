@@ -2,7 +2,9 @@
 
 A text is cut before every blank that a visible ASCII character or Latin letter follows. The
 tokenizer's own pre-tokenization always has a border there, so the pieces encode to
-the same ids as the whole text, and the ids of frequent pieces are remembered.
+the same ids as the whole text. Most pieces are letters and the marks behind them, with
+another border between the two: Arrow kernels take them apart, letters are looked up once
+whatever follows them, and the ids of frequent ones are remembered.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import regex
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 ID_TYPE = np.dtype("<u2")  # of the default vocabulary: 50,257 ids
-KEPT_PIECES = 150_000
+KEPT_WORDS, KEPT_PIECES = 250_000, 25_000
 KEPT_LENGTH = 64
 KEPT_TAILS = 20_000
 CUT = re.compile(r" (?=[!-~\u00a1-\u02ff])")
@@ -29,6 +31,8 @@ WHITE_PAIRS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c", " \x85", " \xa0")
 # the model alone then gives their ids, at half the cost.
 LATIN = re.compile(r"[\n -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# Letters and what marks follow them, of the same characters.
+LETTERS = r"^(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]{1,64})(?P<marks>[!-/:-@\[-`{-~]{0,16})$"
 # Byte-level vocabularies show a byte as a visible character: itself, or one from U+0100 on.
 HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
 VISIBLE = {b: 256 + i for i, b in enumerate(HIDDEN)}
@@ -49,8 +53,28 @@ def vocabulary_path(name=VOCABULARY):
     return public_tokenizers.path(name)
 
 
+class Remembered:
+    """A map of bounded size: what has not been asked for while `limit` others came in is forgotten."""
+
+    def __init__(self, limit):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def get(self, keys):
+        found = list(map(self.young.get, keys))
+        if self.old:
+            for i, ids in enumerate(found):
+                if ids is None and (ids := self.old.get(keys[i])) is not None:
+                    found[i] = self.young[keys[i]] = ids
+        return found
+
+    def add(self, pairs):
+        self.young.update(pairs)
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+
+
 class Encoder:
-    """Encodes texts to little-endian bytes of ids; keeps about KEPT_PIECES pieces."""
+    """Encodes texts to little-endian bytes of ids; remembers 2 x KEPT_WORDS words and 2 x KEPT_PIECES other pieces at most."""
 
     def __init__(self, path):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -63,7 +87,8 @@ class Encoder:
         self.model = Tokenizer(self.tokenizer.model)  # without its pre-tokenization
         self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.tokenizer.get_vocab_size())])
         self.tails = {}
-        self.known = {}  # by piece, without the blank it begins with
+        # Without the blank they begin with.
+        self.known, self.known_words = Remembered(KEPT_PIECES), Remembered(KEPT_WORDS)
 
     def tail(self, word):
         """The ids of one pre-token."""
@@ -112,14 +137,33 @@ class Encoder:
                 found[p] = np.array(e.ids, ID_TYPE).tobytes()
         return found
 
+    def looked_up(self, pieces, known, make, counts=None):
+        """The ids of distinct pieces as a list; `known` remembers them, with `counts` those that came more than once."""
+        ids = known.get(pieces)
+        spots = [i for i, x in enumerate(ids) if x is None]
+        fresh = [pieces[i] for i in spots]
+        for i, x in zip(spots, make(fresh) if fresh else []):
+            ids[i] = x
+        known.add((pieces[i], ids[i]) for i in spots if counts is None or (counts[i] > 1 and len(pieces[i]) < KEPT_LENGTH))
+        return ids
+
+    def others(self, pieces):
+        found = self.ids_of(pieces)
+        return [found[p] for p in pieces]
+
     def found(self, pieces, counts):
-        """The ids of distinct pieces, with a blank in front, as a list; remembers those that came more than once."""
-        ids = list(map(self.known.get, pieces))
-        fresh = self.ids_of([p for p, i in zip(pieces, ids) if i is None])
-        if len(self.known) > KEPT_PIECES:
-            self.known = {}
-        self.known.update((p, fresh[p]) for p, i, n in zip(pieces, ids, counts) if i is None and n > 1 and len(p) < KEPT_LENGTH)
-        return [fresh[p] if i is None else i for p, i in zip(pieces, ids)]
+        """The ids of an Arrow array of distinct pieces, with a blank in front of each, as an Arrow array."""
+        parts = pc.extract_regex(pieces, LETTERS)
+        spots, rest = np.flatnonzero(pc.is_valid(parts).to_numpy(zero_copy_only=False)), np.flatnonzero(pc.is_null(parts).to_numpy(zero_copy_only=False))
+        some = parts.take(pa.array(spots))
+        letters, marks = (some.field(i).dictionary_encode() for i in range(2))
+        heads = pa.array(self.looked_up(letters.dictionary.to_pylist(), self.known_words, self.words), pa.large_binary())
+        tails = pa.array([self.tail(m) if m else b"" for m in marks.dictionary.to_pylist()], pa.large_binary())
+        whole = pc.binary_join_element_wise(heads.take(letters.indices), tails.take(marks.indices), pa.scalar(b"", pa.large_binary()))
+        other = pa.array(self.looked_up(pieces.take(pa.array(rest)).to_pylist(), self.known, self.others, counts[rest]), pa.large_binary())
+        place = np.empty(len(pieces), np.int64)
+        place[spots], place[rest] = np.arange(len(spots)), len(spots) + np.arange(len(rest))
+        return pa.concat_arrays([whole, other]).take(pa.array(place))
 
     def encode_all(self, texts):
         """The ids of each text, as bytes; none of an empty one or a null.
@@ -139,7 +183,7 @@ class Encoder:
         counts = pc.fill_null(pc.list_value_length(cut), 0).to_numpy().astype(np.int64)
         ends, extra = np.cumsum(counts), len(pieces)
         coded = flat.dictionary_encode()
-        placed = pa.array(self.found(coded.dictionary.to_pylist(), np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)).tolist()), pa.large_binary()).take(coded.indices)
+        placed = self.found(coded.dictionary, np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))).take(coded.indices)
         offsets = np.frombuffer(placed.buffers()[1], np.int64)[placed.offset:placed.offset + len(placed) + 1]
         data = placed.buffers()[2].to_pybytes() if len(placed) else b""
         firsts = [t.partition(" ")[0] if s else o[0] if o else "" for t, s, o in zip(texts, simple, others)]
