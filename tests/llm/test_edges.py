@@ -45,8 +45,8 @@ def texts(odd):
 
 def test_records(odd, none):
     rows = records.read_records(records.write_records(odd)).orderBy("start").collect()
-    wanted = sorted(texts(odd), key=lambda r: r[0] or 0)
-    assert [r.doc_id for r in rows] == [i or 0 for i, _ in wanted]
+    wanted = sorted(texts(odd), key=lambda r: (r[0] is not None, r[0]))
+    assert [r.doc_id for r in rows] == [i for i, _ in wanted]
     assert sorted((r.n_tokens, r.ids_crc32) for r in rows) == sorted((len(i), brute.crc(i)) for i in brute.token_ids([t for _, t in wanted]))
     assert [r.start for r in rows] == [sum(r.n_tokens for r in rows[:k]) for k in range(len(rows))]
     assert records.read_records(records.write_records(none)).count() == 0

@@ -4,7 +4,7 @@ A record file is a row of frames; a frame is
 
     length of the payload   8 bytes, little-endian
     masked CRC-32C of those 8 bytes   4 bytes
-    payload   doc_id as 8 bytes, then the ids as 2 bytes each
+    payload   1 if there is a doc_id or else 0, doc_id as 8 bytes, then the ids as 2 bytes each
     masked CRC-32C of the payload   4 bytes
 
 which is the framing of TFRecord files, so their readers can open the files. The mask
@@ -17,8 +17,8 @@ only the rows of the attempt that Spark commits are kept, so a lost executor or
 speculative copy leaves at most files that nothing refers to.
 
 Null texts are empty documents (the end id alone); empty tables give no files. Other
-columns of the input are ignored. Repeated doc_ids stay separate records; a null one is
-written as 0.
+columns of the input are ignored. Repeated doc_ids stay separate records, and so do those without
+a doc_id, which come first.
 """
 
 from __future__ import annotations
@@ -40,6 +40,9 @@ POLYNOMIAL = 0x82F63B78  # CRC-32C, bits reversed
 BLOCK = 1024
 HEADER = 12
 FOOTER = 4
+HEAD = 9  # of a payload
+# Hadoop's names of stores and Arrow's.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
 CHUNK_BYTES = 4 << 20
 END = np.array([END_ID], ID_TYPE).tobytes()
 
@@ -129,11 +132,21 @@ def payloads_of(data, offsets):
 # --- files -----------------------------------------------------------------------------
 
 
+def head_of(doc_id):
+    """A payload begins with a byte that tells whether there is an id, and the id."""
+    return bytes([doc_id is not None]) + int(doc_id or 0).to_bytes(8, "little", signed=True)
+
+
+def id_of(payload):
+    return int.from_bytes(payload[1:HEAD], "little", signed=True) if payload[0] else None
+
+
 def file_system(path):
-    """The file system of a path and the path on it; any store that Arrow knows."""
+    """The file system of a path and the path on it; any store that Arrow knows, also by Hadoop's names for it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    scheme, mark, rest = path.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{mark}{rest}")
 
 
 def write_files(batches, folder, vocabulary):
@@ -164,15 +177,15 @@ def write_files(batches, folder, vocabulary):
         state["tokens"] += int(counts.sum())
 
     waiting, held = [], 0
-    for one in slices(batches, 1_000):
+    for one in slices(batches):
         for doc_id, ids in zip(one.column(0).to_pylist(), encode(one.column(1).to_pylist())):
-            waiting.append(int(doc_id or 0).to_bytes(8, "little", signed=True) + ids + END)
+            waiting.append(head_of(doc_id) + ids + END)
             held += len(waiting[-1])
             if held >= CHUNK_BYTES:
-                put(waiting, np.array([(len(w) - 8) // 2 for w in waiting], np.int64))
+                put(waiting, np.array([(len(w) - HEAD) // 2 for w in waiting], np.int64))
                 waiting, held = [], 0
     if waiting:
-        put(waiting, np.array([(len(w) - 8) // 2 for w in waiting], np.int64))
+        put(waiting, np.array([(len(w) - HEAD) // 2 for w in waiting], np.int64))
     if records is not None:
         records.close()
         offsets.close()
@@ -190,10 +203,10 @@ def read_chunks(batches):
             with system.open_input_file(f"{place}.offsets") as source:
                 index = np.frombuffer(source.read_at(16 * row["records"], 16 * row["first_record"]), "<i8").reshape(-1, 2)
             found = payloads_of(data, (index[:, 0] - row["first_byte"]).tolist())
-            counts = np.array([(len(p) - 8) // 2 for p in found], np.int64)
-            crc = [zlib.crc32(np.frombuffer(p, ID_TYPE, offset=8).astype("<u4").tobytes()) for p in found]
+            counts = np.array([(len(p) - HEAD) // 2 for p in found], np.int64)
+            crc = [zlib.crc32(np.frombuffer(p, ID_TYPE, offset=HEAD).astype("<u4").tobytes()) for p in found]
             yield batch(
-                schema, [int.from_bytes(p[:8], "little", signed=True) for p in found], np.full(len(found), row["part"], np.int32),
+                schema, [id_of(p) for p in found], np.full(len(found), row["part"], np.int32),
                 row["first_record"] + np.arange(len(found)), row["tokens_before"] + np.cumsum(counts) - counts, counts, crc,
                 counts == index[:, 1])
 
@@ -246,8 +259,8 @@ def read_shuffled(chunks: DataFrame, seed=0, epoch=0) -> DataFrame:
                     data = source.read_at(row["bytes"], row["first_byte"])
                 order = np.random.default_rng([seed, epoch, row["part"], row["chunk"]]).permutation(len(index))
                 found = payloads_of(data, (index[order, 0] - row["first_byte"]).tolist())
-                yield batch(schema, [int.from_bytes(p[:8], "little", signed=True) for p in found],
-                            [np.frombuffer(p, ID_TYPE, offset=8).astype(np.int32) for p in found])
+                yield batch(schema, [id_of(p) for p in found],
+                            [np.frombuffer(p, ID_TYPE, offset=HEAD).astype(np.int32) for p in found])
 
     return dealt.mapInArrow(read, "doc_id long, ids array<int>")
 

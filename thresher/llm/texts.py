@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 # Odd multipliers of the shingle and of the finishing mix.
@@ -72,13 +73,20 @@ def batch(schema, *columns):
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def slices(batches, limit=2_000):
-    """Batches cut to at most `limit` rows, so that a task holds few texts at once.
+def slices(batches, limit=2_000, most=4 << 20):
+    """Batches cut to at most `limit` rows and about `most` bytes of text, so that a task holds few texts at once.
 
     Workers outlive their tasks, so what Arrow keeps for later goes back at the end.
     """
     for one in batches:
-        for start in range(0, one.num_rows, limit):
-            yield one.slice(start, limit)
+        upto = np.zeros(one.num_rows + 1, np.int64)
+        for column in one.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                upto[1:] += np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < one.num_rows:
+            stop = min(start + limit, max(start + 1, int(np.searchsorted(upto, upto[start] + most, "right")) - 1))
+            yield one.slice(start, stop - start)
+            start = stop
     del batches
     pa.default_memory_pool().release_unused()
