@@ -148,8 +148,11 @@ def contained(documents: DataFrame, items: DataFrame, percent=PERCENT, recall=RE
 
 
 def clean_documents(documents: DataFrame, items: DataFrame, percent=PERCENT) -> DataFrame:
-    """The documents that hold no item; documents that share a doc_id with one that does go with it."""
-    bad = contained(documents, items, percent).select(F.col("doc_id").alias("_contaminated")).distinct()
+    """The documents that hold no item; documents that share a doc_id with one that does go with it.
+
+    The list of these is written first: while it is small, Spark knows that no text needs to move.
+    """
+    bad = pinned(contained(documents, items, percent).select(F.col("doc_id").alias("_contaminated")).distinct())
     return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_contaminated")), "left_anti")
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from thresher.llm.registry import query, table
+from thresher.operators.ordering import join_small
 from thresher.session import pinned
 
 LEAST_WORDS = 50
@@ -81,7 +82,7 @@ def base_failed():
 
 
 def host_verdicts(figures: DataFrame) -> DataFrame:
-    """(host, rejected): failures by rule and host, shrunk by a beta prior.
+    """(host, n, rejected): failures by rule and host of n documents, shrunk by a beta prior.
 
     The prior has the mean m and the spread v of the hosts' rates: its two parameters add
     up to m (1 - m) / v - 1. With one host, or equal rates, it is the strongest allowed.
@@ -99,17 +100,17 @@ def host_verdicts(figures: DataFrame) -> DataFrame:
         total = F.col("n") + strength
         rate = (F.col(r) + m * strength) / total
         bad = bad | (rate - 2 * F.sqrt(rate * (1 - rate) / (total + 1)) > HOST_LIMIT)
-    return judged.select("host", bad.alias("rejected"))
+    return judged.select("host", "n", bad.alias("rejected"))
 
 
 def judged(documents: DataFrame, keep=()) -> DataFrame:
     """The figures of each document and whether it is kept; `keep` columns come back under their names.
 
-    The figures are written once: hosts are totalled from them and joined back to them.
+    The figures are written once: hosts are totalled from them and joined back to them. Rows of hot
+    hosts are not moved for that, nor any as long as the verdicts are few.
     """
     figures = pinned(measured(documents, keep))
-    verdicts = host_verdicts(figures).withColumnRenamed("host", "judged_host")
-    rows = figures.join(verdicts, F.col("host").eqNullSafe(F.col("judged_host")), "left")
+    rows = join_small(figures, host_verdicts(figures), ["host"], "n", "left")
     return rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("rejected", F.lit(False)))
 
 
