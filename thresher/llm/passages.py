@@ -8,13 +8,20 @@ REACH words to either side. Whatever stands around a passage, its inside is cut
 Paragraphs are banded by MinHash values of their 5-word shingles; bands are tuned to the
 recall asked for. Paragraphs that collide in a band and differ are compared by exact
 Jaccard similarity and linked at 80 % (:mod:`thresher.llm.links`); equal ones are one item
-from the start. Each component keeps its first paragraph, by doc_id and place, and the
-others are removed if, with the linked paragraphs next to them, they make up at least
-LEAST_WORDS words. Shorter repeats, such as licence lines, stay.
+from the start. Each component keeps its first paragraph, by doc_id and place.
+
+The other paragraphs are seeds. A changed word spoils the paragraph around it and a passage
+begins inside one, so a seed is extended over the words of its text and of the keeper's text
+to either side, as long as that gains: an equal word counts 1, an unequal one takes PENALTY away.
+The extended span is removed with its seed if the shingles of both spans are 80 % alike, exactly
+counted. What is removed side by side is one span, and stays if it has under LEAST_WORDS words, as
+licence lines do. A text is compared with the texts of its keepers only, which have lesser
+doc_ids, so of every passage a copy stays, and a passage in n texts costs n comparisons.
 
 Null, empty and blank texts have no paragraphs and stay as they are. Repeats inside one
 doc_id are left alone, and so are texts without a doc_id. Rows with equal doc_id and text are the same document and lose
-the same words. Columns other than doc_id and text travel along under their names.
+the same words. Very long texts are many paragraphs like any others. An empty table has no passages.
+Columns other than doc_id and text travel along under their names.
 """
 
 from __future__ import annotations
@@ -23,11 +30,13 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from thresher.llm.links import bit_table, compared, linked, runs_of, sketch, told
 from thresher.llm.registry import query, table
 from thresher.llm.texts import arrow, batch, mix, shingles, signed, slices, word_hashes, words_of
+from thresher.operators.ordering import attach
 from thresher.session import pinned
 
 WORDS = 5
@@ -37,6 +46,12 @@ ROWS = 2
 REACH = 5
 LEAST_WORDS = 15
 SKETCH_BITS = 64
+PENALTY = 5
+# An extension ends where it has lost so much against its best point; AROUND words are at hand beyond the seeds.
+DROP = 40
+AROUND = 64
+STEP_WORDS = 128
+SPANS = "doc_id long, text_hash long, first long, words long, first_doc_id long"
 PLACES = "doc_id long, text_hash long, item long, block int, first int, words int, hashes binary"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -159,8 +174,121 @@ def sketches_of(batches):
         yield batch(arrow("item long, size long, sketch binary"), one.column(0), [n // 8 for n in one.column(1).to_pylist()], prints)
 
 
+def extension(a, b):
+    """How many words of two arrays go on alike from their beginnings."""
+    best = total = at = length = 0
+    end = min(len(a), len(b))
+    while at < end and total >= best - DROP:
+        stop = min(at + STEP_WORDS, end)
+        sums = total + np.cumsum(np.where(a[at:stop] == b[at:stop], 1, -PENALTY))
+        k = int(sums.argmax())
+        if sums[k] > best:
+            best, length = int(sums[k]), at + k + 1
+        total, at = int(sums[-1]), stop
+    return length
+
+
+def alike_spans(a, b, percent):
+    few, many = (np.unique(shingles(x.astype(np.uint64), WORDS)) for x in (a, b))
+    shared = len(np.intersect1d(few, many, assume_unique=True))
+    return 100 * shared >= percent * (len(few) + len(many) - shared)
+
+
+def grown(a, b, seeds, percent):
+    """The spans (first, words) of `a` that seeds (first, words, other first, other words) grow to; `b` holds the others."""
+    spans, done = [], -1
+    for first, words, other, others in sorted(seeds):
+        if first + words <= done:
+            continue
+        end, other_end = first + words, other + others
+        left, right = extension(a[:first][::-1], b[:other][::-1]), extension(a[end:], b[other_end:])
+        low, other_low, high, other_high = first - left, other - left, end + right, other_end + right
+        if words != others:  # the two may be cut apart at one end only
+            back, on = extension(a[:end][::-1], b[:other_end][::-1]), extension(a[first:], b[other:])
+            if back > words + left:
+                low, other_low = end - back, other_end - back
+            if on > words + right:
+                high, other_high = first + on, other + on
+        if alike_spans(a[low:high], b[other_low:other_high], percent):
+            spans.append((low, high - low))
+            done = high
+    return spans
+
+
+def word_rows(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, hash, hashes) of the documents whose (id, hash) is wanted: 32 bits a word."""
+    key = lambda a, b: F.xxhash64(a, b)
+    shared = documents.sparkSession.sparkContext.broadcast(bit_table(wanted.select(key("id", "hash"))))
+
+    def run(batches):
+        schema = arrow("id long, hash long, hashes binary")
+        for one in slices(batches, 500):
+            spots = np.flatnonzero(told(shared.value, one.column(3).to_numpy()))
+            yield batch(schema, one.column(0).take(pa.array(spots)), one.column(1).take(pa.array(spots)),
+                        [word_hashes(words_of(one.column(2)[i].as_py())).astype("<u4").tobytes() for i in spots.tolist()])
+
+    named = documents.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    return named.withColumn("key", key("id", "hash")).mapInArrow(run, "id long, hash long, hashes binary").dropDuplicates(["id", "hash"])
+
+
+def extended(documents: DataFrame, seeds: DataFrame, percent) -> DataFrame:
+    """The spans that seeds grow to.
+
+    `seeds` has doc_id, text_hash, first, words, and the same of the keeper in a struct. A row goes out
+    for each document and keeper, with the words of both around their seeds only.
+    """
+    pairs = pinned(seeds.filter(F.col("doc_id") != F.col("keeper.doc_id")).groupBy(
+        "doc_id", "text_hash", F.col("keeper.doc_id").alias("k_id"), F.col("keeper.text_hash").alias("k_hash")).agg(
+        F.collect_list(F.array("first", "words", "keeper.first", "keeper.words")).alias("seeds")))
+    ends = F.explode(F.array(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")), F.struct(F.col("k_id").alias("id"), F.col("k_hash").alias("hash"))))
+    texts = pinned(word_rows(documents, pairs.select(ends.alias("e")).select("e.*").distinct()))
+
+    def beside(rows, name, id_column, hash_column, at):
+        low = F.greatest(F.lit(0), F.array_min(F.transform("seeds", lambda x: x[at])) - AROUND)
+        high = F.array_max(F.transform("seeds", lambda x: x[at] + x[at + 1])) + AROUND
+        held = texts.select(F.col("id").alias(f"{name}_of"), F.col("hash").alias(f"{name}_text"), F.col("hashes").alias(f"{name}_hashes"))
+        joined = rows.withColumns({f"{name}_low": low, f"{name}_high": high}).join(held, (F.col(id_column) == F.col(f"{name}_of")) & (F.col(hash_column) == F.col(f"{name}_text")))
+        part = F.substring(F.col(f"{name}_hashes"), F.col(f"{name}_low") * 4 + 1, (F.col(f"{name}_high") - F.col(f"{name}_low")) * 4)
+        return joined.withColumn(name, part).drop(f"{name}_of", f"{name}_text", f"{name}_hashes", f"{name}_high")
+
+    both = beside(beside(pairs, "a", "doc_id", "text_hash", 0), "b", "k_id", "k_hash", 2)
+
+    def run(batches):
+        schema = arrow(SPANS)
+        for one in slices(batches, 200):
+            rows = []
+            for doc_id, text_hash, k_id, seeds, a_low, a, b_low, b in zip(*(c.to_pylist() for c in one.columns)):
+                found = grown(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), [(f - a_low, n, g - b_low, m) for f, n, g, m in seeds], percent)
+                rows += [(doc_id, text_hash, first + a_low, words, k_id) for first, words in found]
+            yield batch(schema, *(zip(*rows) if rows else [[]] * 5))
+
+    return both.select("doc_id", "text_hash", "k_id", "seeds", "a_low", "a", "b_low", "b").mapInArrow(run, SPANS)
+
+
+def merged(spans: DataFrame, least_words) -> DataFrame:
+    """Spans of a text that touch, made one; those of fewer than `least_words` go."""
+    lists = spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("first", "words", "first_doc_id"))).alias("spans"))
+
+    def run(batches):
+        schema = arrow(SPANS)
+        for one in slices(batches, 1_000):
+            rows = []
+            for doc_id, text_hash, found in zip(*(c.to_pylist() for c in one.columns)):
+                whole = []
+                for x in found:
+                    low, high, of = x["first"], x["first"] + x["words"], x["first_doc_id"]
+                    if whole and low <= whole[-1][1]:
+                        whole[-1] = (whole[-1][0], max(whole[-1][1], high), min(whole[-1][2], of))
+                    else:
+                        whole.append((low, high, of))
+                rows += [(doc_id, text_hash, low, high - low, of) for low, high, of in whole if high - low >= least_words]
+            yield batch(schema, *(zip(*rows) if rows else [[]] * 5))
+
+    return lists.mapInArrow(run, SPANS)
+
+
 def shared_passages(documents: DataFrame, percent=PERCENT, recall=RECALL, least_words=LEAST_WORDS) -> DataFrame:
-    """One row per run of linked paragraphs of a document.
+    """One row per passage that a document shares with others.
 
     doc_id, text_hash, first (word), words, first_doc_id (the least doc_id that has one
     of the paragraphs), removed (false for the copy that stays).
@@ -175,22 +303,22 @@ def shared_passages(documents: DataFrame, percent=PERCENT, recall=RECALL, least_
     sets = pinned(places.filter("hashes is not null").groupBy("item").agg(F.first("hashes").alias("hashes")))
     sketches = sets.select("item", F.length("hashes").cast("long").alias("bytes"), "hashes").mapInArrow(sketches_of, "item long, size long, sketch binary")
     found = linked(differing, pinned(sketches), lambda pairs: compared(pairs, sets, percent), percent)
-    named = places.join(found.withColumnRenamed("item", "of"), F.col("item") == F.col("of"), "left").select(
-        "doc_id", "text_hash", "block", "first", "words", F.coalesce("component", "item").alias("component"))
-    named = pinned(named)
-    spot = F.struct("doc_id", "block")
-    firsts = named.groupBy("component").agg(F.min(spot).alias("keeper"), F.max("doc_id").alias("last")).filter("keeper.doc_id < last").select(
-        F.col("component").alias("of"), "keeper")
-    repeated = named.join(firsts, F.col("component") == F.col("of")).withColumn("removed", spot != F.col("keeper"))
-    # Neighbouring paragraphs form one run: their blocks rise as their row numbers do. A document's rows are few.
-    of_text = Window.partitionBy("doc_id", "text_hash").orderBy("block")
-    distinct = repeated.dropDuplicates(["doc_id", "text_hash", "block"])
-    numbered = distinct.withColumn("run", F.col("block") - F.row_number().over(of_text))
+    named = pinned(places.join(found.withColumnRenamed("item", "of"), F.col("item") == F.col("of"), "left").select(
+        "doc_id", "text_hash", "block", "first", "words", F.coalesce("component", "item").alias("component")))
+    spot = F.struct("doc_id", "block", "text_hash", "first", "words")
+    firsts = named.groupBy("component").agg(F.min(spot).alias("keeper"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size")).filter("keeper.doc_id < last")
+    repeated = attach(named, firsts, "component", "size", ["keeper"]).filter("keeper is not null").dropDuplicates(["doc_id", "text_hash", "block"])
+    repeated = pinned(repeated.withColumn("removed", (F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("block") != F.col("keeper.block"))).drop("component"))
+    copies = repeated.filter("removed")
+    gone = merged(extended(documents, copies, percent).unionByName(copies.select(
+        "doc_id", "text_hash", F.col("first").cast("long").alias("first"), F.col("words").cast("long").alias("words"), F.col("keeper.doc_id").alias("first_doc_id"))), least_words)
+    # The copies that stay. Neighbouring paragraphs form one run: their blocks rise as their row numbers do. A document's rows are few.
+    numbered = repeated.withColumn("run", F.col("block") - F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("block")))
     whole = numbered.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "text_hash", "run"))).filter(F.col("run_words") >= least_words)
-    parts = whole.withColumn("part", F.col("block") - F.row_number().over(Window.partitionBy("doc_id", "text_hash", "removed").orderBy("block")))
-    return parts.groupBy("doc_id", "text_hash", "removed", "part").agg(
-        F.min("first").cast("long").alias("first"), F.sum("words").cast("long").alias("words"),
-        F.min("keeper.doc_id").alias("first_doc_id")).drop("part")
+    stay = whole.filter("not removed").withColumn("part", F.col("block") - F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("block")))
+    stay = stay.groupBy("doc_id", "text_hash", "part").agg(
+        F.min("first").cast("long").alias("first"), F.sum("words").cast("long").alias("words"), F.min("keeper.doc_id").alias("first_doc_id")).drop("part")
+    return gone.withColumn("removed", F.lit(True)).unionByName(stay.withColumn("removed", F.lit(False)))
 
 
 def without(text, spans):
