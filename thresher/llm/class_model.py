@@ -23,6 +23,7 @@ smoothing. Only doc_id and text are read of the documents.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from thresher.llm.registry import query, table
 from thresher.llm.texts import arrow, batch, mix, slices, word_hashes, words_of
-from thresher.session import parallelism, pinned
+from thresher.session import fresh_path, parallelism, pinned
 
 FOLDS = 10
 DELTA = 0.1
@@ -43,7 +44,7 @@ END = SLOTS - 1
 ROUNDS = 3
 OWN_ROUNDS = 2
 # Words of blocks that one bucket totals.
-BUCKET_WORDS = 200_000
+BUCKET_WORDS = 100_000
 BLOCK_CHARS = 4_000_000
 CELLS_PER_CHUNK = 8192
 BLOCKS = "block long, doc_ids array<long>, sizes array<int>, held array<boolean>, tokens binary, words array<long>, counts array<long>"
@@ -91,6 +92,29 @@ def blocks_of(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, BLOCKS)
 
 
+def laid_out(blocks: DataFrame) -> DataFrame:
+    """The blocks, written in buckets by their number.
+
+    What buckets of words send back is joined to them round after round: only that moves then, and the
+    blocks stay where they are. The name in the catalog goes at once; the files are those of the path.
+    """
+    spark = blocks.sparkSession
+    path, name = fresh_path(spark, "blocks"), f"blocks_{uuid.uuid4().hex}"
+    blocks.write.format("parquet").bucketBy(parallelism(spark), "block").sortBy("block").option("path", path).saveAsTable(name)
+    written = spark.table(name)
+    written.schema  # resolved now
+    spark.sql(f"DROP TABLE {name}")
+    return written
+
+
+def forgotten(spark, df) -> None:
+    """Deletes the files of a written table that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def listed(rows, column, i):
     """A list of a record batch as an array, without Python objects; empty for a null."""
     values = rows.column(column)[i].values
@@ -371,7 +395,9 @@ def modelled(blocks: DataFrame, rounds=ROUNDS, own_rounds=OWN_ROUNDS):
     buckets = max(parallelism(blocks.sparkSession), words // BUCKET_WORDS)
     back = None
     for _ in range(own_rounds):
-        back = assigned(blocks, back, model, bigrams, buckets)
+        earlier, back = back, assigned(blocks, back, model, bigrams, buckets)
+        if earlier is not None:
+            forgotten(blocks.sparkSession, earlier)
         bigrams = transitions(blocks, back, model, buckets)
     sizes = np.zeros((CLASSES, 2), np.int64)
     np.add.at(sizes, classes[:len(top)], [(1, r["n"]) for r in top] or np.zeros((0, 2), np.int64))
@@ -383,7 +409,7 @@ def modelled(blocks: DataFrame, rounds=ROUNDS, own_rounds=OWN_ROUNDS):
 
 def scores(documents: DataFrame, rounds=ROUNDS) -> DataFrame:
     """Per document its number of tokens, of known ones, and its log10 probability by the unigram and the class model."""
-    blocks = pinned(blocks_of(documents))
+    blocks = laid_out(blocks_of(documents))
     texts = blocks.select(F.explode("held").alias("held")).filter("not held").count()
     model, back, buckets, bigrams, sizes, train_tokens, distinct = modelled(blocks, rounds)
     train_tokens, distinct = train_tokens + texts, distinct + (texts > 0)
