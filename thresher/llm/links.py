@@ -11,9 +11,11 @@ inside a component is needed.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from thresher.llm.texts import arrow, batch
 from thresher.session import pinned
@@ -22,10 +24,13 @@ from thresher.session import pinned
 PARTNERS = 500
 RUNS = "key long, item long, size long, before long"
 # About one key in (size / CHAIN_SIZE) of a large set is used for the first comparisons.
-CHAIN_SIZE = 150
+CHAIN_SIZE = 40
 # Pairs a task holds before it passes them on.
 HELD_PAIRS = 50_000
+# Rows of a key that one task compares with each other, or with as many others.
+BLOCK_ROWS = 4_096
 FOUND = "a long, b long"
+COUNTED = "a long, b long, need long, n long"
 
 
 def lowest(shared, of, percent):
@@ -217,52 +222,78 @@ def alike(pairs: DataFrame, sketches: DataFrame, percent) -> DataFrame:
     return both.select("a", "b", "sketch_a", "sketch_b", (F.col("size_a") + F.col("size_b")).alias("sizes")).mapInArrow(run, FOUND)
 
 
-def apart(placed: DataFrame, percent) -> DataFrame:
-    """The pairs of one key and different components that sizes and sketches do not rule out.
+def in_blocks(placed: DataFrame) -> DataFrame:
+    """Rows (key, rows, size, item, component, sketch) dealt to pairs of blocks of a key: adds i, j and second.
 
-    `placed` is (key, size, item, component, sketch). Rows stream through sorted by key and
-    size; of a key, only the rows not yet too small for the next one are held, and pairs
-    are dropped where they are made.
+    Most keys are one block, paired with itself. Those of more than BLOCK_ROWS rows are cut by size into
+    blocks, and each pair of blocks is a group of its own, so no task compares all of a key.
+    """
+    small = placed.filter(F.col("rows") <= BLOCK_ROWS).drop("rows").withColumns({"i": F.lit(0), "j": F.lit(0), "second": F.lit(False)})
+    place = F.row_number().over(Window.partitionBy("key").orderBy("size", "item")) - 1
+    large = placed.filter(F.col("rows") > BLOCK_ROWS).withColumn("block", F.floor(place / BLOCK_ROWS).cast("int")).withColumn(
+        "last", F.floor((F.col("rows") - 1) / BLOCK_ROWS).cast("int")).drop("rows")
+    other = lambda low, high: F.transform(F.sequence(low, high), lambda b: F.struct(
+        F.least("block", b).alias("i"), F.greatest("block", b).alias("j"), (b < F.col("block")).alias("second")))
+    pairs = large.withColumn("pair", F.explode(other(F.lit(0), F.col("last")))).select(*[c for c in large.columns if c not in ("block", "last")], "pair.*")
+    return small.unionByName(pairs)
+
+
+def apart(placed: DataFrame, percent, least) -> DataFrame:
+    """The pairs of different components that meet under keys often enough and that sizes and sketches do not rule out.
+
+    `placed` is (key, rows, size, item, component, sketch); `least` makes of an array of sizes how
+    often a set of that size meets each partner at least. Rows stream through sorted by key and size;
+    of a key, only the rows not yet too small for the next one are held, and pairs are counted where they
+    are made.
     """
 
     def run(batches):
-        schema = arrow(FOUND)
+        schema = arrow(COUNTED)
         last, window = None, None
         for one in batches:
-            keys = one.column(0).to_numpy()
-            columns = [one.column(i).to_numpy() for i in (1, 2, 3)] + [sketched(one.column(4)) if one.num_rows else np.empty((0, 1), np.uint8)]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
-            found = set()
+            keys = np.column_stack([one.column(i).to_numpy() for i in (0, 1, 2)])
+            columns = [one.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6)] + [sketched(one.column(7)) if one.num_rows else np.empty((0, 1), np.uint8)]
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1, [len(keys)]])
+            found = Counter()
             for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if start == end:
                     continue
-                rows = [c[start:end] for c in columns]
-                before = 0
-                if keys[start] == last:
+                rows, before, key = [c[start:end] for c in columns], 0, tuple(keys[start].tolist())
+                if key == last:
                     before = len(window[0])
                     rows = [np.concatenate([w, r]) for w, r in zip(window, rows)]
-                sizes, items, kinds, prints = rows
-                least = np.searchsorted(sizes, (sizes * percent + 99) // 100)
-                for i in range(before, len(sizes)):
-                    other = np.flatnonzero(kinds[least[i]:i] != kinds[i]) + least[i]
+                second, sizes, items, kinds, prints = rows
+                needs = least(sizes)
+                lows = np.searchsorted(sizes, (sizes * percent + 99) // 100)
+                ends = np.arange(len(sizes)) if key[1] == key[2] else np.where(second, np.argmax(second) if second.any() else len(sizes), 0)
+                for k in range(before, len(sizes)):
+                    other = np.flatnonzero(kinds[lows[k]:ends[k]] != kinds[k]) + lows[k]
                     if len(other):
-                        differ = np.bitwise_count(prints[other] ^ prints[i]).sum(axis=1, dtype=np.int64)
-                        found.update((int(items[i]), int(items[j])) for j in other[may_link(differ, sizes[other] + sizes[i], percent)])
+                        differ = np.bitwise_count(prints[other] ^ prints[k]).sum(axis=1, dtype=np.int64)
+                        other = other[may_link(differ, sizes[other] + sizes[k], percent)]
+                        found.update((int(items[k]), int(items[m]), int(min(needs[k], needs[m]))) for m in other)
                         if len(found) > HELD_PAIRS:
-                            yield batch(schema, *zip(*found))
-                            found = set()
-                last, window = keys[start], [r[least[-1]:] for r in rows]
-            yield batch(schema, *(zip(*found) if found else [[]] * 2))
+                            yield batch(schema, *zip(*[(*pair, n) for pair, n in found.items()]))
+                            found = Counter()
+                # Rows of the second block meet all of the first, and those of a block the ones before them.
+                last, window = key, [r[lows[-1]:] for r in rows] if key[1] == key[2] else [r[~second] for r in rows]
+            yield batch(schema, *(zip(*[(*pair, n) for pair, n in found.items()]) if found else [[]] * 4))
+
+    dealt = in_blocks(placed).select("key", "i", "j", "second", "size", "item", "component", "sketch")
+    ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "second", "size", "item")
+    return ordered.mapInArrow(run, COUNTED).groupBy("a", "b", "need").agg(F.sum("n").alias("n")).filter("n >= need").select("a", "b")
+
 
-    ordered = placed.select("key", "size", "item", "component", "sketch").repartition("key").sortWithinPartitions("key", "size", "item")
-    return ordered.mapInArrow(run, FOUND).distinct()
+def once(sizes):
+    return np.ones(len(sizes), np.int64)
 
 
-def linked(runs: DataFrame, sketches: DataFrame, compare, percent) -> DataFrame:
+def linked(runs: DataFrame, sketches: DataFrame, compare, percent, least=once) -> DataFrame:
     """(item, component) of all items that have a link.
 
     `runs` is what :func:`runs_of` gives, written; `sketches` is (item, size, sketch) of its
-    items; `compare` takes pairs (a, b) and gives those that are similar.
+    items; `compare` takes pairs (a, b) and gives those that are similar; `least` tells how many keys
+    a set of a size has in common with any set it is linked with.
     """
     some = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.floor(F.col("size") / CHAIN_SIZE))) == 0
     chain = runs.filter(F.col("item") != F.col("before")).filter(some).select(
@@ -271,9 +302,11 @@ def linked(runs: DataFrame, sketches: DataFrame, compare, percent) -> DataFrame:
     found = components(pinned(compare(seen)))
     placed = pinned(runs.join(found.withColumnRenamed("item", "of"), F.col("item") == F.col("of"), "left").select(
         "key", "item", "size", F.coalesce("component", "item").alias("component")))
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(F.col("key").alias("split_key"))
-    rest = placed.join(split, F.col("key") == F.col("split_key"), "left_semi")
-    rest = apart(rest.join(sketches.select(F.col("item").alias("of"), "sketch"), F.col("item") == F.col("of")), percent)
+    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low <> high").select(
+        F.col("key").alias("split_key"), "rows")
+    rest = placed.join(split, F.col("key") == F.col("split_key"))
+    rest = rest.join(sketches.select(F.col("item").alias("of"), "sketch"), F.col("item") == F.col("of")).select("key", "rows", "size", "item", "component", "sketch")
+    rest = apart(rest, percent, least)
     seen = seen.select(F.col("a").alias("seen_a"), F.col("b").alias("seen_b"))
     seen = seen.union(seen.select("seen_b", "seen_a"))
     rest = pinned(rest.join(seen, (F.col("a") == F.col("seen_a")) & (F.col("b") == F.col("seen_b")), "left_anti"))

@@ -1,16 +1,22 @@
-"""Jaccard join of documents on word n-grams by prefix filtering.
+"""Jaccard join of documents on word n-grams by T-occurrence search.
 
 Two sets of n-grams with 100 * intersection >= percent * union share at least
-T = ceil(percent * n / 100) elements, n the size of either. So a partner occurs at least once in
-a set's n - T + 1 shortest inverted lists, and only those are made. This replaces DivideSkip: the
-T - 1 longest lists do not exist, occurrences are not counted, and what meets in a short list
-is verified by its whole set. Which lists are short is told by a table of counts of
-fixed size that n-grams are hashed to; a wrong count makes a list longer, never a link
-lost, since any one order of the n-grams gives the same result. Partners whose parity
-sketches differ too much to be linked are dropped before their sets are fetched.
+T = ceil(percent * n / 100) elements, n the size of either. As in DivideSkip the inverted lists of a
+set are divided: it is posted under its n - T + t shortest lists only, t = OCCURS (or T, if that
+is less), and a partner occurs in at least t of these. Sets under a key are merged in the order of size; what
+occurs together is counted, and pairs of t occurrences are kept. The T - t long lists are never
+made: whether a pair reaches T is told by binary probes of the one set's elements in the
+other's sorted ones. Groups of near copies do not make all their pairs: neighbours under a key are
+probed first, and only sets of different components are counted (:mod:`thresher.llm.links`).
+
+Which lists are short is told by a table of counts of fixed size that n-grams are hashed to; a wrong
+count makes a list longer, never a link lost, since any one order of the n-grams gives the same
+result. Partners whose parity sketches differ too much to be linked are dropped before their sets are
+fetched.
 
 Documents with equal sets are one class, found by a digest, and take part once. Null,
-empty and blank texts have an empty set and no links. Repeated doc_ids are separate rows.
+empty and blank texts have an empty set and no links. Repeated doc_ids are separate rows. A very long
+text is a large set; sets of equal size meet in an order by digest. An empty table gives an empty result.
 Only doc_id and text are read of the input.
 """
 
@@ -26,6 +32,8 @@ from thresher.session import pinned
 
 WORDS = 4
 PERCENT = 85
+# How many of a set's short lists a partner occurs in.
+OCCURS = 3
 # Cells of the count table that is broadcast, two bytes each.
 CELL_BITS = 21
 CELLS_PER_CHUNK = 4096
@@ -99,7 +107,8 @@ def short_lists(documents: DataFrame, ranks, words, percent) -> DataFrame:
                     continue
                 seen.add(item)
                 size = len(hashes)
-                short = size - (percent * size + 99) // 100 + 1
+                most = (percent * size + 99) // 100
+                short = size - most + min(OCCURS, most)
                 rank = order_by[hashes & np.uint64((1 << CELL_BITS) - 1)]
                 keys.append(hashes[np.argsort(rank, kind="stable")[:short]])
                 items.append(np.full(short, item, np.int64))
@@ -145,7 +154,8 @@ def near_duplicates(documents: DataFrame, words=WORDS, percent=PERCENT) -> DataF
         wanted = pinned(classes.join(ends, F.col("item") == F.col("end"), "left_semi").select("item", "first"))
         return compared(pairs, pinned(sets_of(documents, wanted, words)), percent)
 
-    found = linked(runs, classes.select("item", "size", "sketch"), compare, percent)
+    occurs = lambda sizes: np.minimum(OCCURS, (percent * sizes + 99) // 100)
+    found = linked(runs, classes.select("item", "size", "sketch"), compare, percent, occurs)
     placed = pinned(classes.join(found.withColumnRenamed("item", "of"), F.col("item") == F.col("of"), "left").select(
         "item", "first", F.coalesce("component", "item").alias("component")))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
