@@ -18,7 +18,8 @@ page count as one page. A page of which the tree would leave nothing is read wit
 Counts are totalled per host, node and value before any row of a host meets another, so
 a large host is no large group; per host only the list of removed nodes is joined to its
 pages. Null, empty and broken html, and urls without a host, give the text found, or an
-empty one. Repeated pages are separate rows. Other columns are ignored.
+empty one. Repeated pages are separate rows. A very long page is read whole, its text in one piece; an empty
+table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +32,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from thresher.llm.registry import query, table
 from thresher.llm.texts import arrow, batch, slices
+from thresher.operators.ordering import HOT_SHARE, join_small
 from thresher.session import pinned
 
 IMPORTANCE = 0.1
 LEAST_PAGES = 2
+# Pages of a hot host that are cleaned with one copy of its lists.
+PAGES_PER_TASK = 2_000
 LINK_SHARE = 0.6
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -233,9 +237,9 @@ def condemned(pages: DataFrame, importance=IMPORTANCE, least_pages=LEAST_PAGES)
 
     # Copies of a page tell no more than one of them.
     page = F.xxhash64("html")
-    copies = pinned(pages.groupBy(F.col("host").alias("of"), page.alias("page")).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
-    weighed = pages.join(copies, (F.col("host") == F.col("of")) & (page == F.col("page")), "left").select(
-        "host", "html", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
+    copies = pages.groupBy("host", page.alias("page")).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").withColumn("part", 1 / F.col("copies"))
+    weighed = join_small(pages.select("host", "html", page.alias("page")), copies, ["host", "page"], "copies", "left").select(
+        "host", "html", F.coalesce("part", F.lit(1.0)).alias("share"))
     nodes = weighed.mapInArrow(run, NODES)
     counts = nodes.groupBy("host", "node", "kind", "value").agg(F.round(F.sum("share")).alias("n"), F.max("around").alias("around"))
     spread = counts.groupBy("host", "node", "kind").agg(F.max("around").alias("around"), F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("told"))
@@ -249,8 +253,16 @@ def condemned(pages: DataFrame, importance=IMPORTANCE, least_pages=LEAST_PAGES)
 def extracted(pages: DataFrame, importance=IMPORTANCE, least_pages=LEAST_PAGES) -> DataFrame:
     """page_id, url and the main text of every page."""
     pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    lists = condemned(pages, importance, least_pages).withColumnRenamed("host", "of")
-    joined = pages.join(lists, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "removed", "important")
+    lists = pinned(condemned(pages, importance, least_pages))
+    # A host with very many pages is dealt out over several tasks, with its lists for each of them.
+    hosts = pinned(pages.groupBy(F.col("host").alias("hot")).agg(F.count(F.lit(1)).alias("n")))
+    hosts = F.broadcast(hosts.filter(F.col("n") * HOT_SHARE >= hosts.agg(F.sum("n")).scalar()).select(  # HOT_SHARE rows at most
+        "hot", F.ceil(F.col("n") / PAGES_PER_TASK).cast("int").alias("tasks")))
+    shared = lambda rows: rows.join(hosts, F.col("host") == F.col("hot"), "left")
+    tasks = F.coalesce("tasks", F.lit(1))
+    dealt = shared(pages).withColumn("task", F.pmod(F.xxhash64("page_id", "url"), tasks).cast("int"))
+    lists = shared(lists).select(F.col("host").alias("of"), "removed", "important", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("for_task"))
+    joined = dealt.join(lists, (F.col("host") == F.col("of")) & (F.col("task") == F.col("for_task")), "left").select("page_id", "url", "html", "removed", "important")
 
     def run(batches):
         schema = arrow("page_id long, url string, text string, n_chars long")
