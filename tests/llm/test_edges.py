@@ -142,7 +142,24 @@ def test_pages(spark):
 
 def test_packing(odd, none):
     rows = packing.pack(odd).collect()
-    assert sum(r.length for r in rows) == sum(map(len, brute.token_ids([t for _, t in texts(odd)])))
+    wanted = []
+    for (doc_id, _), ids in zip(texts(odd), brute.token_ids([t for _, t in texts(odd)])):  # repeated rows and rows without an id too
+        first = (len(ids) - 1) % packing.CAPACITY + 1
+        cuts = [0, *range(first, len(ids) + 1, packing.CAPACITY)]
+        wanted += [(doc_id, i, a, b - a, brute.crc(ids[a:b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    order = lambda r: (r[0] is not None, *[x or 0 for x in r])
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=order) == sorted(wanted, key=order)
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in sequences.values():
+        ends = 0
+        for offset, length in sorted(places):
+            assert offset == ends
+            ends += length
+        assert ends <= packing.CAPACITY
+    equal = odd.filter("doc_id = 5")
+    assert packing.pack(equal.unionByName(equal).unionByName(equal)).count() == 6  # ties: pieces of the same length
     assert packing.pack(none).count() == 0
 
 

@@ -18,7 +18,8 @@ numbers into the block's own word list; passes read the blocks.
 
 Null, empty and blank texts are the end token alone. Repeated doc_ids are scored (and
 learnt from) each. A null doc_id is held out. With no training rows every probability comes from the
-smoothing. Only doc_id and text are read of the documents.
+smoothing; an empty table gives an empty result. A very long text is a block of its own. Words of equal counts are
+taken in the order of their hash. Only doc_id and text are read of the documents.
 """
 
 from __future__ import annotations

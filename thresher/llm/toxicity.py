@@ -14,7 +14,8 @@ language do the same among rows of a language, as a column beside the score, whi
 
 Null and empty texts have one empty position and a score like any other. Labels are read
 from training rows only; repeated rows count as often as they occur; without labels of
-both kinds the score is the same for all. Only doc_id, text and lang are read of the documents.
+both kinds the score is the same for all, and an empty table gives an empty result. Filters slide over the whole
+of a very long text. Only doc_id, text and lang are read of the documents.
 """
 
 from __future__ import annotations
