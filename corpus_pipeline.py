@@ -2,6 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet
 and read back as the next stage's docs. All but the last return the columns of docs.
+
+Odd input has a defined result in every stage. Null, empty and blank texts fail the quality rules; handed to
+a later stage they have no n-grams, passages or items, stay, and are packed as the end token alone. Documents
+without a doc_id are judged, packed and searched for items like others; the join drops none of them and no
+passage is cut from them. Repeated rows are judged each, and the join keeps one of them. Very long texts are treated whole.
+Ties are settled by the least doc_id. An empty table gives an empty one. Columns other than doc_id, text, source and
+n_chars travel along whatever their names.
 """
 
 from __future__ import annotations
