@@ -75,7 +75,7 @@ def preserve_count(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def transform_preserving(before: DataFrame, transform) -> DataFrame:
-    """`transform(before)`, written; fails unless it has as many rows as `before`.
+    """`transform(before)`, written; fails unless it has as many rows as `before`. It must read its argument.
 
     Rows of the input are counted while they pass (`observe`), and those of the result by the
     footers of the written table, so both tables are made once. A repeated stage can make the

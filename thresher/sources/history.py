@@ -29,8 +29,6 @@ PAGE_BITS = 32_768  # of the bitmap functions
 KEYS_PER_PAGE = 3_000
 HASHES = 4
 MOST_FOLDERS = 16
-# Keys in a file, about, and bytes in a row group.
-KEYS_PER_FILE = 5_000_000
 ROW_GROUP_BYTES = 4 << 20
 # Versions of the state that stay for readers that hold one.
 STATES_KEPT = 4
@@ -80,10 +78,11 @@ def all_keys(spark, root):
 def write_keys(keys: DataFrame, root) -> str:
     """Writes distinct keys and their pages as a new delivery, not yet committed; returns its name."""
     spark, folder = keys.sparkSession, uuid.uuid4().hex
-    known = pinned(keys.select(F.col(keys.columns[0]).cast("string").alias("key")).filter("key is not null").distinct().withColumn("bucket", bucket_of(F.col("key"))))
-    files = max(1, -(-known.count() // KEYS_PER_FILE))
-    sorted_out = lambda df, *order: df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.option("parquet.block.size", ROW_GROUP_BYTES)
-    sorted_out(known, "bucket", "key").parquet(f"{root}/keys/folder={folder}")
+    named = keys.select(F.col(keys.columns[0]).cast("string").alias("key")).filter("key is not null").distinct()
+    # Spark makes as many files as the bytes ask for.
+    sorted_out = lambda df, *order: df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.size", ROW_GROUP_BYTES)
+    sorted_out(named.withColumn("bucket", bucket_of(F.col("key"))), "bucket", "key").parquet(f"{root}/keys/folder={folder}")
+    known = spark.read.schema("key string, bucket int").parquet(f"{root}/keys/folder={folder}")
     sizes = known.groupBy(F.col("bucket").alias("of")).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / KEYS_PER_PAGE)).cast("long").alias("pages"))
     paged = known.join(F.broadcast(sizes), F.col("bucket") == F.col("of"))  # BUCKETS rows
     bits = paged.select("bucket", "pages", page_of(F.col("key"), F.col("pages")).alias("page"), F.explode(bits_of(F.col("key"))).alias("bit"))
