@@ -171,7 +171,7 @@ def first_documents(documents: DataFrame, words=WORDS, percent=PERCENT) -> DataF
     Repeated rows are one document; rows that share a doc_id and differ in text all stay.
     """
     named = pinned(near_duplicates(documents, words, percent))
-    gone = named.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = pinned(named.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())  # its size decides whether texts move
     kept = documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     twice = named.groupBy(F.col("doc_id").alias("_twice")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_twice")
     if twice.isEmpty():
