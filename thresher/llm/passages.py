@@ -180,15 +180,27 @@ def extension(a, b):
     end = min(len(a), len(b))
     while at < end and total >= best - DROP:
         stop = min(at + STEP_WORDS, end)
-        sums = total + np.cumsum(np.where(a[at:stop] == b[at:stop], 1, -PENALTY))
-        k = int(sums.argmax())
-        if sums[k] > best:
-            best, length = int(sums[k]), at + k + 1
-        total, at = int(sums[-1]), stop
+        same = a[at:stop] == b[at:stop]
+        first = int(same.argmin()) if len(same) else 0  # the first unequal word, or 0 if all are equal
+        if same[first]:
+            total += stop - at
+            if total > best:
+                best, length = total, stop
+        elif stop == end and np.count_nonzero(same[first:]) <= PENALTY:  # nothing behind it can make up for it
+            return at + first if total + first > best else length
+        else:
+            sums = total + np.cumsum(np.where(same, 1, -PENALTY))
+            k = int(sums.argmax())
+            if sums[k] > best:
+                best, length = int(sums[k]), at + k + 1
+            total = int(sums[-1])
+        at = stop
     return length
 
 
 def alike_spans(a, b, percent):
+    if len(a) == len(b) and (a == b).all():
+        return True
     few, many = (np.unique(shingles(x.astype(np.uint64), WORDS)) for x in (a, b))
     shared = len(np.intersect1d(few, many, assume_unique=True))
     return 100 * shared >= percent * (len(few) + len(many) - shared)
