@@ -61,17 +61,25 @@ def bands_for(percent=PERCENT, recall=RECALL, rows=ROWS):
     return math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** rows))
 
 
+def least_of(values, size):
+    """The least of each `size` values in a row."""
+    have = 1
+    while 2 * have <= size:
+        values, have = np.minimum(values[:-have], values[have:]), 2 * have
+    return np.minimum(values[:len(values) - (size - have)], values[size - have:]) if have < size else values
+
+
 def cuts(hashes, reach=REACH):
     """Where paragraphs begin, and the number of words at the end."""
     count = len(hashes)
     if count < 2:
         return [0, count] if count else [0]
     pairs = mix(hashes[:-1] * np.uint64(3) + hashes[1:])
-    highest = np.uint64(0xFFFFFFFFFFFFFFFF)
-    padded = np.concatenate([np.full(reach, highest), pairs, np.full(reach, highest)])
-    around = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1)
-    found = np.flatnonzero(around.argmin(axis=1) == reach)
-    return [0, *[int(c) for c in found if c > 0], count]
+    highest = np.full(reach, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    least = least_of(np.concatenate([highest, pairs, highest]), reach)
+    # Of equal ones the first counts.
+    found = np.flatnonzero((pairs < least[:len(pairs)]) & (pairs <= least[reach + 1:reach + 1 + len(pairs)]))
+    return [0, *found[found > 0].tolist(), count]
 
 
 class Paragraphs:
@@ -98,10 +106,12 @@ class Paragraphs:
             spots = np.searchsorted(of, short)
             elements, of = np.insert(elements, spots, own), np.insert(of, spots, short)
         self.elements, self.starts = elements, np.searchsorted(of, np.arange(count + 1))
-        order = np.lexsort((elements, of))
-        new = np.ones(len(order), np.int64)
-        new[1:] = (np.diff(of) != 0) | (elements[order][1:] != elements[order][:-1])
-        self.sizes = np.add.reduceat(new, self.starts[:-1])
+        self.sizes = np.diff(self.starts)
+        if len(np.unique(elements)) < len(elements):  # some shingle comes again, perhaps in one paragraph
+            order = np.lexsort((elements, of))
+            new = np.ones(len(order), np.int64)
+            new[1:] = (np.diff(of) != 0) | (elements[order][1:] != elements[order][:-1])
+            self.sizes = np.add.reduceat(new, self.starts[:-1])
         self.items = signed(mix(np.add.reduceat(mix(elements + np.uint64(1)), self.starts[:-1]) + np.diff(self.starts).astype(np.uint64)))
 
     def __len__(self):
