@@ -23,8 +23,8 @@ from thresher.session import pinned
 # Sets that meet one set in one task; a set with more partners is sent to several tasks.
 PARTNERS = 500
 RUNS = "key long, item long, size long, before long"
-# About one key in (size / CHAIN_SIZE) of a large set is used for the first comparisons.
-CHAIN_SIZE = 40
+# A set of up to CHAIN_SIZE elements uses all its keys for the first comparisons; larger ones use about as many, whatever their size.
+CHAIN_SIZE = 80
 # Pairs a task holds before it passes them on.
 HELD_PAIRS = 50_000
 # Rows of a key that one task compares with each other, or with as many others.
@@ -295,7 +295,7 @@ def linked(runs: DataFrame, sketches: DataFrame, compare, percent, least=once) -
     items; `compare` takes pairs (a, b) and gives those that are similar; `least` tells how many keys
     a set of a size has in common with any set it is linked with.
     """
-    some = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.floor(F.col("size") / CHAIN_SIZE))) == 0
+    some = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.floor(2 * (F.col("size") - CHAIN_SIZE) / CHAIN_SIZE))) == 0
     chain = runs.filter(F.col("item") != F.col("before")).filter(some).select(
         F.least("item", "before").alias("a"), F.greatest("item", "before").alias("b")).distinct()
     seen = pinned(alike(chain, sketches, percent))
