@@ -5,7 +5,7 @@ import math
 
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from thresher.fixed_values import CLASS_NAMES, FIELDS, RECALL_TARGETS
 from thresher.functions import labels as L, scores as S
@@ -636,3 +636,12 @@ def test_training_and_mining(spark):
     before, mined, after = J.mine_replay_retrain(df, "v", "y", "id", 5, 3)
     assert {tuple(r)[0] % 10 for r in mined.collect()} == {6}
     assert after.coefficients[0] != before.coefficients[0]
+
+
+def test_models_score_in_a_session_that_has_observed(spark):
+    df = spark.createDataFrame([(i, [float(i % 10), 1.0], int(i % 10 > 6)) for i in range(100)], "id int, v array<float>, y int")
+    passed = Observation()
+    df.observe(passed, F.count(F.lit(1)).alias("n")).collect()
+    assert passed.get["n"] == 100
+    scored = J.apply_model(J.train_weighted(df, "v", "y", classes=2), df, "v")
+    assert one(scored.filter((F.element_at("probability", 2) > 0.5) == (F.col("y") == 1)).agg(F.count(F.lit(1)).alias("n"))).n == 100

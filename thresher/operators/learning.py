@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
@@ -11,6 +11,7 @@ from thresher.operators.metrics import weigh_rows
 from thresher.operators.ordering import as_list
 from thresher.operators.ranking import hardest
 from thresher.operators.sampling import oversample
+from thresher.session import fresh_path
 
 # Most hard examples that are broadcast to the rows they are taken from.
 BROADCAST_ROWS = 100_000
@@ -46,12 +47,18 @@ def linear_scorer(coefficients, intercept):
 
 def train_weighted(df: DataFrame, features, label, family="binomial", classes=None, weight="_weight",
                    iterations=50, regularization=1e-3, **weighing):
-    """Fits a logistic model with balancing class weights; returns the fitted model."""
+    """Fits a logistic model with balancing class weights; returns the fitted model.
+
+    The model is written and read back, which leaves its training summary behind: a summary holds the
+    session, and tasks cannot take that once the session has observed a query or tagged a job.
+    """
     weighed = weigh_rows(df, label, weight, classes, **weighing) if weight not in df.columns else df
     ready = weighed.select(array_to_vector(F.col(features)).alias("features"), F.col(label).cast("double").alias("label"), weight)
     estimator = LogisticRegression(
         featuresCol="features", labelCol="label", weightCol=weight, family=family, maxIter=iterations, regParam=regularization)
-    return estimator.fit(ready)
+    path = fresh_path(df.sparkSession, "model")
+    estimator.fit(ready).write().save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def apply_model(model, df: DataFrame, features, name="probability") -> DataFrame:
