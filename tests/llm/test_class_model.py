@@ -76,6 +76,21 @@ def test_scores_equal_plain_loops(spark, documents):
         assert found[i].n_tokens == len(line) + 1 and found[i].n_known == sum(count[w] > 0 for w, _, _ in line) + (texts > 0)
 
 
+def test_a_table_is_walked_once_for_many_blocks(monkeypatch):
+    """Not once for each block, of which there are as many as the input is long."""
+    rng, walks, bincount = np.random.default_rng(5), [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda cells, *rest: walks.append(len(cells)) or bincount(cells, *rest))
+    monkeypatch.setattr(class_model, "HELD_CODES", 1_000)
+    parts = [(rng.integers(0, 500, n), rng.integers(1, 9, n).astype("<u4")) for n in [0, 30, 70] * 40]
+    wanted = collections.Counter()
+    for cells, counts in parts:
+        for cell, n in zip(cells.tolist(), counts.tolist()):
+            wanted[cell] += n
+    found = class_model.added_up(parts, 500)
+    assert found.tolist() == [wanted[i] for i in range(500)]
+    assert len(walks) <= 5 and sum(walks) == 4_000
+
+
 def test_blocks_stay_where_they_are(spark, documents):
     """Only what buckets send back is shuffled for the joins."""
     docs = spark.createDataFrame(documents, "doc_id long, text string").repartition(3)

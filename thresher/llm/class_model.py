@@ -46,6 +46,8 @@ ROUNDS = 3
 OWN_ROUNDS = 2
 # Words of blocks that one bucket totals.
 BUCKET_WORDS = 100_000
+# Codes of a bucket that are added up at once.
+HELD_CODES = 2_000_000
 BLOCK_CHARS = 4_000_000
 CELLS_PER_CHUNK = 8192
 BLOCKS = "block long, doc_ids array<long>, sizes array<int>, held array<boolean>, tokens binary, words array<long>, counts array<long>"
@@ -300,6 +302,19 @@ def line_of(one, i, words):
     return np.insert(kept, np.concatenate([[0], np.cumsum(sizes[~held])]), len(words))
 
 
+def added_up(parts, size):
+    """The sums of (cells, counts) as an array; it is walked once for HELD_CODES cells, not once for each part."""
+    total, held, waiting = np.zeros(size), [], 0
+    for i, part in enumerate(parts, 1):
+        held.append(part)
+        waiting += len(part[0])
+        if waiting >= HELD_CODES or i == len(parts):
+            cells, counts = (np.concatenate(x) for x in zip(*held))
+            total += np.bincount(cells, counts, size)
+            held, waiting = [], 0
+    return total
+
+
 def assigned(blocks: DataFrame, back, model, bigrams, buckets) -> DataFrame:
     """(block, bucket, kinds, counts, sizes): new classes and training counts of the words of blocks, in the order of :func:`dealt`.
 
@@ -333,11 +348,12 @@ def assigned(blocks: DataFrame, back, model, bigrams, buckets) -> DataFrame:
         lists = [np.frombuffer(r["words"], np.int64) for r in rows]
         words, firsts, places = np.unique(np.concatenate(lists), return_index=True, return_inverse=True)
         own = np.concatenate([np.frombuffer(r["kinds"], np.uint8) for r in rows])[firsts]
-        found, at = np.zeros(len(words) * 2 * CLASSES), 0
+        at, parts = 0, []
         for r, some in zip(rows, lists):
             codes = np.cumsum(unpacked(r["codes"]).astype(np.int64))
-            found += np.bincount(places[at + codes // (2 * CLASSES)] * 2 * CLASSES + codes % (2 * CLASSES), unpacked(r["counts"]), len(found)) if len(codes) else 0
+            parts.append((places[at + codes // (2 * CLASSES)] * 2 * CLASSES + codes % (2 * CLASSES), unpacked(r["counts"])))
             at += len(some)
+        found = added_up(parts, len(words) * 2 * CLASSES)
         after, before = found.reshape(-1, 2, CLASSES).transpose(1, 0, 2)
         n = after.sum(axis=1).astype(np.int64)
         kinds = best_classes(after, before, own, bigrams)
