@@ -1,11 +1,13 @@
 """Shared passages: whole spans against comparing all texts, and how much of planted passages goes."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from thresher.llm import passages
+from thresher import session
+from thresher.llm import overlap_join, passages
 
 SCHEMA = "doc_id long, text string"
 
@@ -107,3 +109,31 @@ def test_growing():
     assert passages.grown(a, a, [(40, 5, 40, 5)], 80) == [(0, 100)]
     other = np.concatenate([np.arange(5000, 5030, dtype=np.uint32), a[20:60], np.arange(6000, 6030, dtype=np.uint32)])
     assert passages.grown(a, other, [(30, 4, 40, 4), (50, 3, 60, 3)], 80) == [(20, 40)]
+
+
+def test_paragraphs_of_many_texts_are_those_of_each():
+    rng = random.Random(8)
+    texts = [None, "", " ", "a", "a b", "a " * 40, "k l m n o", None, *(" ".join(rng.choices("abcdefgh", k=rng.randint(0, 70))) for _ in range(300)), ""]
+    whole = passages.Paragraphs(texts)
+    for i, text in enumerate(texts):
+        own, at = passages.Paragraphs([text]), np.flatnonzero(whole.texts == i)
+        assert [whole.firsts[at].tolist(), whole.words[at].tolist(), whole.items[at].tolist(), whole.blocks[at].tolist()] == [
+            own.firsts.tolist(), own.words.tolist(), own.items.tolist(), list(range(len(own)))]
+        assert whole.sets(at) == own.sets(np.arange(len(own))) and [8 * n for n in whole.sizes[at]] == [len(x) for x in whole.sets(at)]
+        assert sum(own.words) == len((text or "").split())
+
+
+def test_superseded_tables_go(spark):
+    """What a stage wrote on the way does not lie beside the next stage's tables."""
+    folder = Path(session.shared_folder(spark)) / spark.sparkContext.applicationId
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i % 20) * 100 + k}" for k in range(80))) for i in range(60)], "doc_id long, text string")
+    before = set(folder.glob("pinned-*"))
+    left = passages.deduplicated(docs)
+    assert len(set(folder.glob("pinned-*")) - before) == 1
+    assert left.count() == 20
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # texts are cut once
+    before = set(folder.glob("pinned-*"))
+    kept = overlap_join.first_documents(docs)
+    assert len(set(folder.glob("pinned-*")) - before) <= 3
+    assert kept.count() == 20

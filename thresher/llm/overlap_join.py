@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from thresher.llm.links import bit_table, compared, linked, runs_of, sketch, told
 from thresher.llm.registry import query, table
 from thresher.llm.texts import arrow, batch, digest, shingles, signed, slices, word_hashes, words_of
-from thresher.session import pinned
+from thresher.session import pinned, settled
 
 WORDS = 4
 PERCENT = 85
@@ -170,7 +170,7 @@ def first_documents(documents: DataFrame, words=WORDS, percent=PERCENT) -> DataF
 
     Repeated rows are one document; rows that share a doc_id and differ in text all stay.
     """
-    named = pinned(near_duplicates(documents, words, percent))
+    named = settled(documents.sparkSession, lambda: near_duplicates(documents, words, percent))
     gone = pinned(named.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())  # its size decides whether texts move
     kept = documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     twice = named.groupBy(F.col("doc_id").alias("_twice")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_twice")

@@ -31,13 +31,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from thresher.llm.links import bit_table, compared, linked, runs_of, sketch, told
 from thresher.llm.registry import query, table
 from thresher.llm.texts import arrow, batch, mix, shingles, signed, slices, word_hashes, words_of
 from thresher.operators.ordering import attach
-from thresher.session import pinned
+from thresher.session import pinned, settled
 
 WORDS = 5
 PERCENT = 80
@@ -69,57 +70,77 @@ def least_of(values, size):
     return np.minimum(values[:len(values) - (size - have)], values[size - have:]) if have < size else values
 
 
-def cuts(hashes, reach=REACH):
-    """Where paragraphs begin, and the number of words at the end."""
-    count = len(hashes)
-    if count < 2:
-        return [0, count] if count else [0]
-    pairs = mix(hashes[:-1] * np.uint64(3) + hashes[1:])
-    highest = np.full(reach, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    least = least_of(np.concatenate([highest, pairs, highest]), reach)
+def cuts(hashes, sizes, reach=REACH):
+    """Where paragraphs begin in texts of so many words that stand one after the other in `hashes`."""
+    count, ends = len(hashes), np.cumsum(sizes)
+    highest = np.uint64(0xFFFFFFFFFFFFFFFF)
+    # Between texts stand `reach` pairs that are no less than any; the last word of a text begins no pair.
+    places = np.arange(count) + reach * (1 + np.repeat(np.arange(len(sizes)), sizes))
+    pairs = np.full(count + reach * (len(sizes) + 1), highest)
+    pairs[places[:-1]] = mix(hashes[:-1] * np.uint64(3) + hashes[1:])
+    pairs[places[ends[sizes > 0] - 1]] = highest
+    least = least_of(pairs, reach)
     # Of equal ones the first counts.
-    found = np.flatnonzero((pairs < least[:len(pairs)]) & (pairs <= least[reach + 1:reach + 1 + len(pairs)]))
-    return [0, *found[found > 0].tolist(), count]
+    begins = (pairs[places] < least[places - reach]) & (pairs[places] <= least[places + 1])
+    begins[(ends - sizes)[sizes > 0]] = True
+    return np.flatnonzero(begins)
 
 
 class Paragraphs:
-    """The paragraphs of a text: first words, numbers of words, and shingles one after the other.
+    """The paragraphs of some texts: text, place in it, first word, number of words, and shingles one after the other.
 
     `elements[starts[i]:starts[i + 1]]` are the shingles of the i-th, `items` name their
     multisets, `sizes` count distinct ones. A paragraph of fewer words than a shingle is one element.
     """
 
-    def __init__(self, text):
-        hashes = word_hashes(words_of(text))
-        ends = np.array(cuts(hashes))
-        self.firsts, self.words = ends[:-1], np.diff(ends)
-        count = len(self.firsts)
-        if not count:
-            self.elements, self.starts, self.items, self.sizes = np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    def __init__(self, texts):
+        lists = [words_of(text) for text in texts]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        hashes = word_hashes([w for words in lists for w in words])
+        begins = cuts(hashes, counts) if len(hashes) else np.empty(0, np.int64)
+        text_begins = np.cumsum(counts) - counts
+        self.texts = np.repeat(np.arange(len(counts)), counts)[begins]
+        self.words = np.diff(begins, append=len(hashes))
+        self.firsts = begins - text_begins[self.texts]
+        self.blocks = np.arange(len(begins)) - np.searchsorted(self.texts, np.arange(len(counts)))[self.texts]
+        self.starts = np.concatenate([[0], np.cumsum(np.maximum(self.words - WORDS + 1, 1))])
+        self.elements = np.empty(self.starts[-1], np.uint64)
+        for size in range(1, WORDS):
+            short = np.flatnonzero(self.words == size)
+            self.elements[self.starts[short]] = shingles_at(hashes, begins[short], size)
+        long = self.words >= WORDS
+        lengths = (self.words - WORDS + 1)[long]
+        inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        windows = shingles(hashes, WORDS) if len(hashes) >= WORDS else np.empty(0, np.uint64)
+        self.elements[np.repeat(self.starts[:-1][long], lengths) + inside] = windows[np.repeat(begins[long], lengths) + inside]
+        if not len(begins):
+            self.sizes, self.items = np.empty(0, np.int64), np.empty(0, np.int64)
             return
-        of = np.repeat(np.arange(count), self.words)
-        inside = of[:1 - WORDS] == of[WORDS - 1:]
-        elements, of = (shingles(hashes, WORDS)[inside], of[:1 - WORDS][inside]) if len(hashes) >= WORDS else (np.empty(0, np.uint64), of[:0])
-        short = np.flatnonzero(self.words < WORDS)
-        if len(short):
-            own = np.concatenate([shingles(hashes[self.firsts[i]:self.firsts[i] + self.words[i]], WORDS) for i in short])
-            spots = np.searchsorted(of, short)
-            elements, of = np.insert(elements, spots, own), np.insert(of, spots, short)
-        self.elements, self.starts = elements, np.searchsorted(of, np.arange(count + 1))
-        self.sizes = np.diff(self.starts)
-        if len(np.unique(elements)) < len(elements):  # some shingle comes again, perhaps in one paragraph
-            order = np.lexsort((elements, of))
-            new = np.ones(len(order), np.int64)
-            new[1:] = (np.diff(of) != 0) | (elements[order][1:] != elements[order][:-1])
-            self.sizes = np.add.reduceat(new, self.starts[:-1])
-        self.items = signed(mix(np.add.reduceat(mix(elements + np.uint64(1)), self.starts[:-1]) + np.diff(self.starts).astype(np.uint64)))
+        self.sizes = self.distinct_sizes()
+        self.items = signed(mix(np.add.reduceat(mix(self.elements + np.uint64(1)), self.starts[:-1]) + np.diff(self.starts).astype(np.uint64)))
 
     def __len__(self):
         return len(self.firsts)
 
-    def set(self, i):
-        """The sorted distinct shingles of a paragraph."""
-        return np.unique(self.elements[self.starts[i]:self.starts[i + 1]])
+    def distinct_sizes(self):
+        sizes = np.diff(self.starts)
+        of = np.repeat(np.arange(len(self)), sizes)
+        keys = mix(self.elements + mix(of.astype(np.uint64)))  # a shingle that comes again in a paragraph has an equal key
+        order = np.sort(keys)
+        again = order[1:][order[1:] == order[:-1]]
+        if len(again):
+            for i in np.unique(of[np.isin(keys, again)]).tolist():
+                sizes[i] = len(np.unique(self.elements[self.starts[i]:self.starts[i + 1]]))
+        return sizes
+
+    def sets(self, chosen):
+        """The sorted distinct shingles of the chosen paragraphs, as bytes."""
+        return [np.unique(self.elements[a:b]).tobytes() for a, b in zip(self.starts[chosen].tolist(), self.starts[chosen + 1].tolist())]
+
+
+def shingles_at(hashes, begins, size):
+    """The shingles of `size` words that begin at the given words."""
+    return shingles(hashes[begins[:, None] + np.arange(size)].T, size)[0] if len(begins) else np.empty(0, np.uint64)
 
 
 def band_keys(whole, starts, bands, rows, seeds):
@@ -141,14 +162,11 @@ def postings(documents: DataFrame, bands, rows) -> DataFrame:
 
     def run(batches):
         schema, seeds = arrow("key long, item long, size long"), seeds_of(bands * rows)
-        for one in slices(batches, 500):
-            found = [p for p in (Paragraphs(text.as_py()) for text in one.column(0)) if len(p)]
-            if found:
-                shifts = np.cumsum([0] + [len(p.elements) for p in found])
-                starts = np.concatenate([p.starts[:-1] + shift for p, shift in zip(found, shifts)])
-                keys = band_keys(np.concatenate([p.elements for p in found]), starts, bands, rows, seeds)
-                items, sizes = np.concatenate([p.items for p in found]), np.concatenate([p.sizes for p in found])
-                yield batch(schema, signed(keys.ravel()), np.tile(items, bands), np.tile(sizes, bands))
+        for one in slices(batches, 500, 1 << 20):
+            found = Paragraphs(one.column(0).to_pylist())
+            if len(found):
+                keys = band_keys(found.elements, found.starts[:-1], bands, rows, seeds)
+                yield batch(schema, signed(keys.ravel()), np.tile(found.items, bands), np.tile(found.sizes, bands))
 
     return documents.select("text").mapInArrow(run, "key long, item long, size long")
 
@@ -164,15 +182,14 @@ def places_of(documents: DataFrame, wanted: DataFrame, differing: DataFrame) ->
     def run(batches):
         schema = arrow(PLACES)
         known, unlike = shared.value
-        for one in slices(batches, 500):
-            rows = []
-            for doc_id, text, text_hash in zip(*(one.column(i).to_pylist() for i in range(3))):
-                found = Paragraphs(text)
-                differs = told(unlike, found.items)
-                for i in np.flatnonzero(told(known, found.items)).tolist():
-                    rows.append((doc_id, text_hash, int(found.items[i]), i, int(found.firsts[i]), int(found.words[i]),
-                                 found.set(i).tobytes() if differs[i] else None))
-            yield batch(schema, *(zip(*rows) if rows else [[]] * len(schema)))
+        for one in slices(batches, 500, 1 << 20):
+            found = Paragraphs(one.column(1).to_pylist())
+            spots = np.flatnonzero(told(known, found.items))
+            texts, differs = pa.array(found.texts[spots]), told(unlike, found.items[spots])
+            hashes = np.full(len(spots), None, object)
+            hashes[differs] = found.sets(spots[differs])
+            yield batch(schema, one.column(0).take(texts), one.column(2).take(texts), found.items[spots],
+                        *(x[spots].astype(np.int32) for x in (found.blocks, found.firsts, found.words)), hashes)
 
     found = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, PLACES)
     return found.join(wanted.withColumnRenamed("item", "wanted"), F.col("item") == F.col("wanted"), "left_semi")
@@ -278,10 +295,13 @@ def extended(documents: DataFrame, seeds: DataFrame, percent) -> DataFrame:
     def run(batches):
         schema = arrow(SPANS)
         for one in slices(batches, 200):
-            rows = []
-            for doc_id, text_hash, k_id, seeds, a_low, a, b_low, b in zip(*(c.to_pylist() for c in one.columns)):
-                found = grown(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), [(f - a_low, n, g - b_low, m) for f, n, g, m in seeds], percent)
-                rows += [(doc_id, text_hash, first + a_low, words, k_id) for first, words in found]
+            rows, bounds = [], np.cumsum(pc.list_value_length(one.column(3)).to_numpy()).tolist()
+            doc_ids, hashes, k_ids, a_lows, b_lows = (one.column(i).to_pylist() for i in (0, 1, 2, 4, 6))
+            seeds = one.column(3).flatten().flatten().to_numpy().reshape(-1, 4)
+            for i, (low, high) in enumerate(zip([0, *bounds], bounds)):
+                a, b = (np.frombuffer(one.column(c)[i].as_buffer(), "<u4") for c in (5, 7))
+                found = grown(a, b, (seeds[low:high] - np.array([a_lows[i], 0, b_lows[i], 0])).tolist(), percent)
+                rows += [(doc_ids[i], hashes[i], first + a_lows[i], words, k_ids[i]) for first, words in found]
             yield batch(schema, *(zip(*rows) if rows else [[]] * 5))
 
     return both.select("doc_id", "text_hash", "k_id", "seeds", "a_low", "a", "b_low", "b").mapInArrow(run, SPANS)
@@ -309,14 +329,9 @@ def merged(spans: DataFrame, least_words) -> DataFrame:
     return lists.mapInArrow(run, SPANS)
 
 
-def shared_passages(documents: DataFrame, percent=PERCENT, recall=RECALL, least_words=LEAST_WORDS) -> DataFrame:
-    """One row per passage that a document shares with others.
-
-    doc_id, text_hash, first (word), words, first_doc_id (the least doc_id that has one
-    of the paragraphs), removed (false for the copy that stays).
-    """
+def repeated_paragraphs(documents: DataFrame, percent, recall) -> DataFrame:
+    """The paragraphs of components that several documents have, each with its keeper and whether it is a copy."""
     bands = bands_for(percent, recall)
-    documents = documents.filter("doc_id is not null")
     runs = pinned(runs_of(postings(documents, bands, ROWS), percent, copies=True))
     wanted = pinned(runs.select("item").distinct())
     differing = pinned(runs.groupBy("key").agg(F.min("item").alias("low"), F.max("item").alias("high")).filter("low <> high")
@@ -330,7 +345,17 @@ def shared_passages(documents: DataFrame, percent=PERCENT, recall=RECALL, least_
     spot = F.struct("doc_id", "block", "text_hash", "first", "words")
     firsts = named.groupBy("component").agg(F.min(spot).alias("keeper"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size")).filter("keeper.doc_id < last")
     repeated = attach(named, firsts, "component", "size", ["keeper"]).filter("keeper is not null").dropDuplicates(["doc_id", "text_hash", "block"])
-    repeated = pinned(repeated.withColumn("removed", (F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("block") != F.col("keeper.block"))).drop("component"))
+    return repeated.withColumn("removed", (F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("block") != F.col("keeper.block"))).drop("component")
+
+
+def shared_passages(documents: DataFrame, percent=PERCENT, recall=RECALL, least_words=LEAST_WORDS) -> DataFrame:
+    """One row per passage that a document shares with others.
+
+    doc_id, text_hash, first (word), words, first_doc_id (the least doc_id that has one
+    of the paragraphs), removed (false for the copy that stays).
+    """
+    documents = documents.filter("doc_id is not null")
+    repeated = settled(documents.sparkSession, lambda: repeated_paragraphs(documents, percent, recall))
     copies = repeated.filter("removed")
     gone = merged(extended(documents, copies, percent).unionByName(copies.select(
         "doc_id", "text_hash", F.col("first").cast("long").alias("first"), F.col("words").cast("long").alias("words"), F.col("keeper.doc_id").alias("first_doc_id"))), least_words)
@@ -358,17 +383,18 @@ def deduplicated(documents: DataFrame, **settings) -> DataFrame:
 
     `n_chars`, where there is one, is counted again.
     """
-    spans = shared_passages(documents, **settings).filter("removed").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
-        F.collect_list(F.struct("first", "words")).alias("_spans"))
+    # Written, so that all else may go and Spark knows whether texts need to move to them.
+    spans = settled(documents.sparkSession, lambda: shared_passages(documents, **settings).filter("removed").groupBy(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("first", "words")).alias("_spans")))
     joined = documents.join(spans, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
 
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        import pandas as pd
-
-        return pd.Series([t if s is None else without(t, [(int(x["first"]), int(x["words"])) for x in s]) for t, s in zip(texts, spans)])
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else without(t, [(x["first"], x["words"]) for x in s]) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
 
-    edited = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans"))
+    # Said to be nondeterministic, or the filter would cut once more, in a worker of its own.
+    cut = cut.asNondeterministic()
+    edited = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut(F.when(F.col("_spans").isNotNull(), F.col("text")), "_spans"))
     rows = joined.withColumn("text", edited)
     rows = rows.filter(F.col("_spans").isNull() | (F.length(F.btrim("text", F.lit(" \t\n\x0b\f\r"))) > 0))
     if "n_chars" in documents.columns:

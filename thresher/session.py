@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
+# The paths that each open `settled` has seen pinned, the innermost last.
+PASSING: ContextVar[list] = ContextVar("passing", default=[])
+
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -70,10 +74,29 @@ def pinned(df):
     change it, and its size is known: small ones are broadcast by Spark's own limit.
     """
     path = fresh_path(df.sparkSession, "pinned")
+    for paths in PASSING.get()[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark, make):
+    """What `make()` gives, pinned; the tables pinned on the way there are deleted.
+
+    Only the result may be read afterwards, so `make` must hand out nothing else.
+    """
+    paths = []
+    token = PASSING.set([*PASSING.get(), paths])
+    try:
+        made = make()
+    finally:
+        PASSING.reset(token)
+    result = pinned(made)
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return result
+
+
 def parallelism(spark) -> int:
     """How many ways a shuffle is split; also how many slices hot groups get."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
