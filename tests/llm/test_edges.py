@@ -12,6 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from thresher.llm import chat, class_model, contamination, host_rules, overlap_join, packing, passages, records, style_tree, toxicity  # noqa: E402
+from thresher.session import pinned  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHING = ["row", "host", "item", "key", "size", "block", "of", "component", "found", "hits", "windows", "class", "ws", "spots", "bits", "held", "kept", "first"]
@@ -88,6 +89,20 @@ def test_a_failing_host_goes_and_a_small_one_stays(spark):
     assert kept == {r[0] for r in rows if r[1] == good and r[3] != "junk"}
 
 
+def test_kept_documents_write_no_text(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{w:x}" for w in rng.integers(1 << 62, size=80 if i % 3 else 20)) for i in range(300)]
+    docs = spark.createDataFrame([(i, text, "xx", f"h{i % 4}", 1) for i, text in enumerate(texts)], SCHEMA)
+    written = []
+    monkeypatch.setattr(host_rules, "pinned", lambda df: written.append(pinned(df)) or written[-1])
+    kept = host_rules.kept_documents(docs)
+    assert sum(os.path.getsize(f.removeprefix("file:")) for t in written for f in t.inputFiles()) < 20_000 < sum(map(len, texts))
+    assert {r.doc_id: r.text for r in kept.collect()} == {i: text for i, text in enumerate(texts) if i % 3}
+    # Text is taken apart by steps of the plan, not by a filter that would do so for every word.
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("split(" in line for line in plan.splitlines() if "Filter " in line)
+
+
 def test_contamination(spark, odd, none):
     wanted = items(spark, odd)
     found = sorted((r.doc_id or 0, r.item_id, r.found, r["size"]) for r in contamination.contained(odd, wanted).collect())
