@@ -12,6 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from thresher.llm import chat, class_model, contamination, host_rules, overlap_join, packing, passages, records, style_tree, toxicity  # noqa: E402
+from thresher.llm.texts import arrow, batch  # noqa: E402
 from thresher.session import pinned  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -198,6 +199,24 @@ def test_pipeline_stages(spark, odd, none, tmp_path):
                 after.count()
 
 
+@pytest.mark.parametrize("step", ["n-gram Jaccard join", "substring dedup", "best-fit packing"])
+def test_pipeline_sends_texts_in_batches_of_few_bytes(spark, step):
+    """A task's whole share of texts went to its Python worker as one batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(3_000, numPartitions=1).selectExpr("id AS doc_id", "repeat(md5(string(id)), 250) AS text", "'xx' AS lang", "'h' AS source", "8000L AS n_chars")
+    measured = lambda: [r.size for r in docs.select("text").mapInArrow(lambda batches: (batch(arrow("size long"), [b.nbytes]) for b in batches), "size long").collect()]
+    had = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        dict(corpus_pipeline.STAGES)[step](spark, docs.limit(0), "")
+        assert max(measured()) < 5 << 20 and sum(measured()) >= 3_000 * 8_000
+        spark.conf.set(name, "1m")  # a session's own limit holds
+        dict(corpus_pipeline.STAGES)[step](spark, docs.limit(0), "")
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, had) if had else spark.conf.unset(name)
+
+
 def test_pipeline_of_the_small_tables(spark):
     """Each stage against its brute-force version on what the one before it kept."""
     folder = "/root/testdata/sf0.001"

@@ -11,6 +11,9 @@ from pyspark.sql import SparkSession
 # The paths that each open `settled` has seen pinned, the innermost last.
 PASSING: ContextVar[list] = ContextVar("passing", default=[])
 
+# Bytes of an Arrow batch that goes to a Python worker; what `slices` of thresher.llm.texts holds at once.
+BATCH_BYTES = 4 << 20
+
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -97,6 +100,17 @@ def settled(spark, make):
     return result
 
 
+def bounded_batches(spark) -> None:
+    """Cuts Arrow batches at BATCH_BYTES from now on, unless the session names a limit of its own.
+
+    Spark's own limits are 10,000 rows and 256 MB. A task's whole share of texts is one batch then, which the
+    executor holds outside its heap while it is filled and the Python worker once more.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def parallelism(spark) -> int:
     """How many ways a shuffle is split; also how many slices hot groups get."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
